@@ -56,23 +56,36 @@ def ngram_orders(max_n: int) -> list[int]:
     return list(range(MIN_NGRAM_ORDER, max_n + 1))
 
 
+def _shifted(tk: Column, k: int, length: Column) -> Column:
+    """tk[k+1 .. k+length] (0-based shift k), as a slice; ``length`` may be 0."""
+    return F.slice(tk, k + 1, length)
+
+
 def ngrams(tokens: Column | str, n: int, start_filter=None) -> Column:
     """All order-``n`` n-grams of a token array, space-joined, in position order.
 
-    ``start_filter`` (optional ``token -> boolean`` Column lambda) keeps only the
-    n-grams whose first token passes it; it is a pruning device for callers that
-    know which first words can possibly match.  Orders below 1 give ``[]``.
+    Built with ``zip_with`` over shifted slices, so no lambda ever refers to
+    an outer array (Spark would re-evaluate such a reference per element).
+    ``start_filter`` (optional ``token -> boolean``) keeps only n-grams whose
+    first token passes it; pruned positions never build their string.
+    Orders below 1 give ``[]``; documents shorter than ``n`` give ``[]``.
     """
     tk = _col(tokens)
     if n < 1:
         return F.array().cast("array<string>")
-    size = F.size(tk)
-    positions = F.sequence(F.lit(1), size - F.lit(n - 1))
+    length = F.greatest(F.size(tk) - F.lit(n - 1), F.lit(0))
+    first = _shifted(tk, 0, length)
+    if n == 1:
+        return first if start_filter is None else F.filter(first, start_filter)
+    if start_filter is not None:
+        acc = F.zip_with(first, _shifted(tk, 1, length), lambda x, y: F.when(start_filter(x), F.concat(x, F.lit(" "), y)))
+    else:
+        acc = F.zip_with(first, _shifted(tk, 1, length), lambda x, y: F.concat(x, F.lit(" "), y))
+    for k in range(2, n):
+        acc = F.zip_with(acc, _shifted(tk, k, length), lambda x, y: F.concat(x, F.lit(" "), y))
     if start_filter is not None:
-        positions = F.filter(positions, lambda i: start_filter(F.element_at(tk, i)))
-    grams = F.transform(positions, lambda i: F.array_join(F.slice(tk, i, n), " "))
-    # sequence(1, 0) counts down, so short documents need the guard.
-    return F.when(size >= F.lit(n), grams).otherwise(F.array().cast("array<string>"))
+        acc = F.filter(acc, lambda g: g.isNotNull())
+    return acc
 
 
 def all_ngrams(tokens: Column | str, orders: list[int]) -> Column:
@@ -83,25 +96,37 @@ def all_ngrams(tokens: Column | str, orders: list[int]) -> Column:
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
-def run_length_pairs(values: Column) -> Column:
-    """``array<string>`` -> sorted ``array<struct<term,occ:bigint>>`` of distinct values with counts.
+def run_ends(sorted_values: Column) -> Column:
+    """Sorted ``array<string>`` -> ``array<struct<term, pos>>``: the last position of each run.
 
-    Sorts once, then finds run starts; each run becomes one ``(term, occ)``.
-    Linear after the sort, so it stays cheap for long documents.
+    Each element is compared with its successor via ``zip_with`` (no lambda
+    refers to an outer array, which Spark would re-evaluate per element).
     """
-    s = F.array_sort(values)
-    n = F.size(s)
-    starts = F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: (i <= n) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1))))),
-    )
-    return F.transform(
-        starts,
-        lambda p, k: F.struct(
-            F.element_at(s, p).alias("term"),
-            (F.coalesce(F.get(starts, k + 1), n + 1) - p).cast("bigint").alias("occ"),
-        ),
-    )
+    s = sorted_values
+    # s must be a column reference here (it is used twice)
+    nxt = F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.lit(None).cast("string")))
+    marked = F.zip_with(s, nxt, lambda a, b: F.struct(a.alias("term"), a.eqNullSafe(b).alias("same")))
+    indexed = F.transform(marked, lambda x, i: F.struct(x["term"].alias("term"), x["same"].alias("same"), (i + 1).alias("pos")))
+    return F.transform(F.filter(indexed, lambda x: ~x["same"]), lambda x: F.struct(x["term"].alias("term"), x["pos"].alias("pos")))
+
+
+def pairs_from_ends(ends: Column) -> Column:
+    """Run ends -> ``array<struct<term, occ:bigint>>`` (occ = end - previous end)."""
+    prev = F.concat(F.array(F.lit(0)), F.transform(ends, lambda e: e["pos"]))
+    out = F.zip_with(ends, prev, lambda e, p: F.struct(e["term"].alias("term"), (e["pos"] - p).cast("bigint").alias("occ")))
+    return F.filter(out, lambda x: x["term"].isNotNull())
+
+
+def with_run_length(df: DataFrame, values: Column, out: str, keep: list[str] | None = None) -> DataFrame:
+    """Add ``out`` = distinct values of the array ``values`` with their counts, sorted by value.
+
+    Three projections (sort once -> run ends -> pairs), each intermediate
+    materialised once: linear after one native ``sort_array``.
+    """
+    keep_cols = [F.col(f"`{c}`") for c in (keep if keep is not None else df.columns)]
+    a = df.select(*keep_cols, F.sort_array(values).alias("__rl_s"))
+    b = a.select(*keep_cols, run_ends(F.col("__rl_s")).alias("__rl_e"))
+    return b.select(*keep_cols, pairs_from_ends(F.col("__rl_e")).alias(out))
 
 
 def format_detected(m: Column | str) -> Column:

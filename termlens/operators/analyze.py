@@ -35,11 +35,13 @@ from termlens.errors import AnalysisConfigError, NoTextColumnError
 from termlens.functions.naming import uniquify
 from termlens.functions.text import (
     DEFAULT_MAX_N,
-    run_length_pairs,
+    ngrams,
     text_column_of,
     tokenize,
+    with_run_length,
     word_share,
 )
+from termlens.plans.strategy import balance
 from termlens.operators.vocabulary import LiteralVocabulary, Vocabulary, collect_literal_vocabulary, needed_orders
 
 # Above this many vocabulary entries the row-local plan stops embedding literals
@@ -182,6 +184,7 @@ def _analyze_rowlocal(
     keep_columns: bool,
     key_col: str | None,
 ) -> DataFrame:
+    df = balance(df)
     cats = list(lv.categories)
     orders = needed_orders(lv, max_n)
     originals = list(df.columns) if keep_columns else ([key_col] if key_col else [])
@@ -209,12 +212,7 @@ def _analyze_rowlocal(
             [c for c in (_in(g, all_em) if all_em else None, _any_prefix(g, all_pm) if all_pm else None) if c is not None]
         )
         for n in orders:
-            start = _start_filter(lv, n)
-            size = F.size(tk)
-            pos = F.filter(F.sequence(F.lit(1), F.greatest(size - F.lit(n - 1), F.lit(1))), lambda i: start(F.element_at(tk, i)))
-            grams = F.transform(pos, lambda i: F.array_join(F.slice(tk, i, n), " "))
-            grams = F.when(size >= F.lit(n), grams).otherwise(F.array().cast("array<string>"))
-            hit_parts.append(F.filter(grams, gram_hit))
+            hit_parts.append(F.filter(ngrams(tk, n, _start_filter(lv, n)), gram_hit))
     if not hit_parts:
         hits = F.array().cast("array<string>")
     elif len(hit_parts) == 1:
@@ -222,12 +220,14 @@ def _analyze_rowlocal(
     else:
         hits = F.concat(*hit_parts)
 
-    lvl2 = base.select(
+    sized = base.select(
         *[F.col(f"`{c}`") for c in originals],
         F.size(tk).cast("bigint").alias(f"{tmp}n_tokens"),
         F.size(F.array_distinct(tk)).cast("bigint").alias(f"{tmp}n_types"),
-        run_length_pairs(hits).alias(f"{tmp}pairs"),
+        hits.alias(f"{tmp}hits"),
     )
+    keep = originals + [f"{tmp}n_tokens", f"{tmp}n_types"]
+    lvl2 = with_run_length(sized, F.col(f"{tmp}hits"), f"{tmp}pairs", keep)
     pairs = F.col(f"{tmp}pairs")
 
     # level 3: per category matched pairs with weights

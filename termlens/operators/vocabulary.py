@@ -308,6 +308,8 @@ def vocabulary_summary(vocab: Vocabulary, sample: int = 10) -> DataFrame:
 
     Sample order: exact single sorted, exact multi sorted, then prefix single
     and prefix multi with ``*`` re-attached (sorted; a bag has no file order in Spark).
+    The sample is a per-category top-k (window limit), so no category's whole
+    term list is ever gathered in one task.
     """
     t = vocab.table
     rank = (
@@ -317,19 +319,16 @@ def vocabulary_summary(vocab: Vocabulary, sample: int = 10) -> DataFrame:
         .otherwise(3)
     )
     shown = F.when(F.col("match_kind") == "prefix", F.concat(F.col("key"), F.lit(WILDCARD))).otherwise(F.col("key"))
-    expanded = t.select(
-        "namespace",
-        "category",
-        "category_pos",
-        "weight",
-        F.struct(rank.alias("r"), shown.alias("term")).alias("s"),
-    )
-    return expanded.groupBy("namespace", "category", "category_pos").agg(
-        F.sum("weight").cast("bigint").alias("n_terms"),
-        F.array_join(
-            F.transform(F.slice(F.array_sort(F.collect_list("s")), 1, sample), lambda x: x["term"]), ", "
-        ).alias("sample_terms"),
+    keyed = t.select("namespace", "category", "category_pos", "weight", rank.alias("r"), shown.alias("term"))
+    w = Window.partitionBy("namespace", "category").orderBy("r", "term")
+    samples = (
+        keyed.withColumn("i", F.row_number().over(w))
+        .filter(F.col("i") <= sample)
+        .groupBy("namespace", "category")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), ", ").alias("sample_terms"))
     )
+    totals = t.groupBy("namespace", "category", "category_pos").agg(F.sum("weight").cast("bigint").alias("n_terms"))
+    return totals.join(samples, ["namespace", "category"], "left").select("namespace", "category", "category_pos", "n_terms", "sample_terms")
 
 
 def vocabulary_head_tail(vocab: Vocabulary) -> DataFrame:
