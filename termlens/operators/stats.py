@@ -30,11 +30,24 @@ MAX_TUKEY_GROUPS = 5000
 
 
 def _clean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """FLT-1: listwise deletion of null and NaN on exactly these columns."""
+    """FLT-1: listwise deletion of null and NaN on exactly these columns (a row filter)."""
     require_columns(df.columns, list(cols))
     return df.select(*[F.col(f"`{c}`") for c in cols]).na.drop()
 
 
+def _valid(*cols: Column) -> Column:
+    """Row is complete: every column non-null and not NaN (FLT-1 as an aggregate condition).
+
+    Statistics use conditional aggregates instead of a Filter: a filter on
+    computed columns would be pushed below the projections that compute them
+    and evaluate the (expensive) text analysis twice.
+    """
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & c.isNotNull() & ~F.isnan(c.cast("double"))
+    return cond
+
+
 def _attach(rows: DataFrame, scalar_row: DataFrame) -> DataFrame:
     """Attach a one-row global aggregate to every row (broadcast equi-join on a constant)."""
     return rows.withColumn("__one", F.lit(1)).join(F.broadcast(scalar_row.withColumn("__one", F.lit(1))), "__one").drop("__one")
@@ -51,9 +64,12 @@ def pearson(df: DataFrame, col1: str, col2: str) -> DataFrame:
     """One row ``(col1, col2, coefficient, p_value, n)`` (AGG-8)."""
     if col1 == col2:
         raise StatisticsError(f"Pearson needs two distinct columns; got {col1!r} twice")
-    pair = _clean(df, [col1, col2]).select(F.col(f"`{col1}`").cast("double").alias("x"), F.col(f"`{col2}`").cast("double").alias("y"))
+    require_columns(df.columns, [col1, col2])
+    x0, y0 = F.col(f"`{col1}`").cast("double"), F.col(f"`{col2}`").cast("double")
+    ok = _valid(x0, y0)
+    pair = df.select(F.when(ok, x0).alias("x"), F.when(ok, y0).alias("y"))
     agg = pair.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("x").alias("n"),
         F.covar_samp("x", "y").alias("cov"),
         F.stddev_samp("x").alias("sx"),
         F.stddev_samp("y").alias("sy"),
@@ -114,12 +130,15 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def ols_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """OLS of y on x (AGG-11 / PLT-3 line): slope, intercept, r2, n and the fitted ends."""
-    pair = _clean(df, [x, y]).select(F.col(f"`{x}`").cast("double").alias("x"), F.col(f"`{y}`").cast("double").alias("y"))
+    require_columns(df.columns, [x, y])
+    x0, y0 = F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")
+    ok = _valid(x0, y0)
+    pair = df.select(F.when(ok, x0).alias("x"), F.when(ok, y0).alias("y"))
     agg = pair.agg(
         F.regr_slope("y", "x").alias("slope"),
         F.regr_intercept("y", "x").alias("intercept"),
         F.regr_r2("y", "x").alias("r2"),
-        F.count(F.lit(1)).cast("bigint").alias("n"),
+        F.count("x").cast("bigint").alias("n"),
         F.min("x").alias("x_min"),
         F.max("x").alias("x_max"),
     )
@@ -147,12 +166,17 @@ def scatter_points(df: DataFrame, x: str, y: str, fraction: float | None = None,
 # group descriptives, ANOVA, Tukey
 # --------------------------------------------------------------------------- #
 def _groups(df: DataFrame, cat_var: str, num_var: str) -> DataFrame:
-    clean = _clean(df, [cat_var, num_var])
-    return clean.groupBy(F.col(f"`{cat_var}`").alias("__g")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"),
-        F.avg(F.col(f"`{num_var}`").cast("double")).alias("mean"),
-        F.var_samp(F.col(f"`{num_var}`").cast("double")).alias("var"),
+    """Per group (n, mean, var) over complete rows; partial aggregation combines a hot group map-side."""
+    require_columns(df.columns, [cat_var, num_var])
+    g0, v0 = F.col(f"`{cat_var}`"), F.col(f"`{num_var}`").cast("double")
+    v = F.when(_valid(v0) & g0.isNotNull(), v0)
+    agg = df.select(g0.alias("__g"), v.alias("__v")).groupBy("__g").agg(
+        F.count("__v").cast("bigint").alias("n"),
+        F.avg("__v").alias("mean"),
+        F.var_samp("__v").alias("var"),
     )
+    # the null-label group and groups without a complete row are dropped (small table)
+    return agg.filter(F.col("__g").isNotNull() & (F.col("n") > 0))
 
 
 def group_statistics(df: DataFrame, cat_var: str, num_var: str, confidence: float = CONFIDENCE, interval: str = "t") -> DataFrame:
@@ -196,20 +220,21 @@ def anova_table(df: DataFrame, cat_var: str, num_var: str) -> DataFrame:
     """
     g = _groups(df, cat_var, num_var)
     tot = g.agg(
-        F.sum("n").alias("N"),
+        F.sum("n").alias("n_total"),
         F.count(F.lit(1)).alias("k"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("M"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand_mean"),
     )
     j = _attach(g, tot)
-    s = j.groupBy("N", "k").agg(
-        F.sum(F.col("n") * (F.col("mean") - F.col("M")) * (F.col("mean") - F.col("M"))).alias("ssb"),
+    dev = F.col("mean") - F.col("grand_mean")
+    s = j.groupBy("n_total", "k").agg(
+        F.sum(F.col("n") * dev * dev).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
     )
     s = s.select(
         _fail(F.col("k") < 2, f"ANOVA needs at least 2 groups in {cat_var!r}", F.col("ssb")).alias("ssb"),
         "ssw",
         (F.col("k") - 1).cast("double").alias("df_b"),
-        (F.col("N") - F.col("k")).cast("double").alias("df_w"),
+        (F.col("n_total") - F.col("k")).cast("double").alias("df_w"),
     )
     msb = F.try_divide(F.col("ssb"), F.col("df_b"))
     msw = F.try_divide(F.col("ssw"), F.col("df_w"))
@@ -255,14 +280,14 @@ def tukey_hsd(df: DataFrame, cat_var: str, num_var: str, alpha: float = ALPHA, r
 def pair_statistics(g: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Per group pair: meandiff, se, q, df, k and Tukey p / interval (unrounded)."""
     tot = g.agg(
-        F.sum("n").alias("N"),
+        F.sum("n").alias("n_total"),
         F.count(F.lit(1)).alias("k"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
     ).select(
         _fail(F.col("k") < 2, "Tukey HSD needs at least 2 groups", F.col("k")).alias("k"),
         _fail(F.col("k") > MAX_TUKEY_GROUPS, f"Tukey HSD over more than {MAX_TUKEY_GROUPS} groups", F.col("k")).alias("k_checked"),
-        (F.col("N") - F.col("k")).cast("double").alias("df"),
-        F.try_divide(F.col("ssw"), (F.col("N") - F.col("k")).cast("double")).alias("mse"),
+        (F.col("n_total") - F.col("k")).cast("double").alias("df"),
+        F.try_divide(F.col("ssw"), (F.col("n_total") - F.col("k")).cast("double")).alias("mse"),
     )
     a = g.select(F.col("__g").alias("g1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
     b = g.select(F.col("__g").alias("g2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
@@ -285,9 +310,9 @@ def tukey_pair_statistics(df: DataFrame, cat_var: str, num_var: str) -> DataFram
     """SQL-checkable part of Tukey HSD: ``(group1, group2, meandiff, se, q, df)``."""
     g = _groups(df, cat_var, num_var)
     tot = g.agg(
-        F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+        F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
-    ).select((F.col("N") - F.col("k")).cast("double").alias("df"), F.try_divide(F.col("ssw"), (F.col("N") - F.col("k")).cast("double")).alias("mse"))
+    ).select((F.col("n_total") - F.col("k")).cast("double").alias("df"), F.try_divide(F.col("ssw"), (F.col("n_total") - F.col("k")).cast("double")).alias("mse"))
     a = g.select(F.col("__g").alias("g1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
     b = g.select(F.col("__g").alias("g2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
     pairs = _attach(a.join(b, F.col("g1") < F.col("g2")), tot)

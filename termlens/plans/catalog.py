@@ -474,7 +474,7 @@ def q_group_ci_lineitem(spark, sf_dir):
 
 
 def q_anova_lineitem(spark, sf_dir):
-    t = stats.anova_table(table(spark, sf_dir, "lineitem"), "l_shipmode", "l_discount")
+    t = stats.anova_table(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_discount")
     return _round_cols(t, ["sum_sq", "df", "F", "PR(>F)"])
 
 

@@ -109,12 +109,12 @@ def _ibeta(src: str, a: str, b: str, x: str, keys: str) -> str:
         * sum((case when i = 0 or i = {n} then 1 when i % 2 = 1 then 4 else 2 end)
               * pow(sin(asin(sqrt({x})) * i / {n}), 2 * {a} - 1)
               * pow(cos(asin(sqrt({x})) * i / {n}), 2 * {b} - 1)))) ib
-      from {src}, range(0, {n} + 1) r(i) group by all)"""
+      from {src}, range(0, {n} + 1) r(i) group by {keys})"""
 
 
 def _t_quantile_975(src: str, nu: str, keys: str) -> str:
     """t_{0.975}(nu) for each row: Cornish-Fisher start, one Newton step on the Simpson CDF."""
-    z = "1.959963984540054"
+    z = "1.959963984540054::double"
     t0 = (
         f"({z} + ({z}^3 + {z}) / (4 * {nu}) + (5 * {z}^5 + 16 * {z}^3 + 3 * {z}) / (96 * {nu}^2)"
         f" + (3 * {z}^7 + 19 * {z}^5 + 17 * {z}^3 - 15 * {z}) / (384 * {nu}^3)"
@@ -140,12 +140,12 @@ select col1, col2, round(r, 6) coefficient, round(case when n <= 2 then 1.0 when
 
 def _groups_sql(an_cte: str, cat: str, val: str, source: str = "an") -> str:
     return f"""{an_cte},
-g as (select {cat} grp, count(*)::bigint n, avg({val}::double) mean, var_samp({val}::double) var
+gp as (select {cat} grp, count(*)::bigint n, avg({val}::double) mean, var_samp({val}::double) var
       from {source} where {cat} is not null and {val} is not null and not isnan({val}::double) group by {cat})"""
 
 
 def _ci_sql(an_cte: str, cat: str, val: str, z: bool = False, bars: bool = False, source: str = "an") -> str:
-    base = _groups_sql(an_cte, cat, val, source) + ",\ngs as (select grp, n, mean, coalesce(sqrt(var / n), 0.0) sem from g)"
+    base = _groups_sql(an_cte, cat, val, source) + ",\ngs as (select grp, n, mean, coalesce(sqrt(var / n), 0.0) sem from gp)"
     if z:
         half = "1.96 * sem"
         body = f"{base},\nci as (select grp, n, mean, sem, {half} half from gs)"
@@ -159,8 +159,8 @@ def _ci_sql(an_cte: str, cat: str, val: str, z: bool = False, bars: bool = False
 
 def _anova_sql(an_cte: str, cat: str, val: str, source: str = "an") -> str:
     return f"""{_groups_sql(an_cte, cat, val, source)},
-tot as (select sum(n) nn, count(*) kk, sum(n * mean) / sum(n) mm from g),
-s as (select sum(n * (mean - mm) * (mean - mm)) ssb, sum(coalesce((n - 1) * var, 0.0)) ssw, (kk - 1)::double df_b, (nn - kk)::double df_w from g, tot group by kk, nn),
+tot as (select sum(n) nn, count(*) kk, sum(n * mean) / sum(n) mm from gp),
+s as (select sum(n * (mean - mm) * (mean - mm)) ssb, sum(coalesce((n - 1) * var, 0.0)) ssw, (kk - 1)::double df_b, (nn - kk)::double df_w from gp, tot group by kk, nn),
 f as (select *, (ssb / df_b) / (ssw / df_w) fstat from s),
 pv as {_ibeta("f", "(df_w / 2.0)", "(df_b / 2.0)", "(df_w / (df_w + df_b * fstat))", "ssb, ssw, df_b, df_w, fstat")}
 select 'C({cat})' source, round(ssb, 6) sum_sq, round(df_b, 6) df, round(fstat, 6) "F", round(ib, 6) "PR(>F)" from pv
@@ -285,8 +285,12 @@ select role, count(*)::bigint n_turns, sum(n_tokens)::bigint n_tokens, {conv_col
     q["top_terms_all_categories"] = _top_sql("", 5, "frequency", "category, rank, term, frequency, doc_frequency")
     q["top_terms_by_docs"] = _top_sql("", 3, "doc_frequency", "category, rank, term, doc_frequency")
     q["enhance"] = _enhance_select()
-    q["csv_roundtrip"] = q["enhance"]
-    q["tsv_roundtrip"] = q["enhance"]
+    # CSV/TSV cannot tell an empty string from a missing cell: empty cells read back as missing.
+    rt_cols = ["doc_id", "nullif(text, '') text", "nullif(lang, '') lang", "nullif(source, '') source", "n_chars", "n_tokens", "n_types"]
+    for c in CATEGORIES:
+        rt_cols += [f"{c}_word_count", f"{c}_word_perc", f"nullif({c}_detected_words, '') {c}_detected_words"]
+    q["csv_roundtrip"] = f"select {', '.join(rt_cols)} from ({q['enhance']})"
+    q["tsv_roundtrip"] = q["csv_roundtrip"]
     q["parquet_roundtrip"] = q["enhance"]
     q["export_without_text"] = _enhance_select(drop_text=True)
     q["enhanced_page"] = _enhance_select(tail="order by d.doc_id limit 50 offset 100")
@@ -352,13 +356,13 @@ select 'n_tokens' x, 'art_word_count' y, round(slope, 6) slope, round(intercept,
     an_lab = an_raw + ",\nal as (select an.*, l.quality from an join labels l on an.k = l.doc_id)"
     q["anova_labels"] = _anova_sql(an_lab, "quality", "conj_word_perc", source="al")
     q["tukey_pairs_stats"] = f"""{_groups_sql(an_raw, 'lang', 'art_word_perc')},
-tot as (select (sum(n) - count(*))::double df, sum(coalesce((n - 1) * var, 0.0)) / (sum(n) - count(*)) mse from g)
+tot as (select (sum(n) - count(*))::double df, sum(coalesce((n - 1) * var, 0.0)) / (sum(n) - count(*)) mse from gp)
 select a.grp::varchar group1, b.grp::varchar group2, round(b.mean - a.mean, 6) meandiff,
        round(sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) se,
        round(abs(b.mean - a.mean) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) q, round(df, 6) df
-from g a join g b on a.grp < b.grp, tot"""
+from gp a join gp b on a.grp < b.grp, tot"""
     li = "with li0 as (select 1)"
     q["pearson_lineitem"] = _pearson_sql(li, [("l_quantity", "l_extendedprice")], source="lineitem")
     q["group_ci_lineitem"] = _ci_sql(li, "l_returnflag", "l_extendedprice", source="lineitem")
-    q["anova_lineitem"] = _anova_sql(li, "l_shipmode", "l_discount", source="lineitem")
+    q["anova_lineitem"] = _anova_sql(li, "l_linestatus", "l_discount", source="lineitem")
     return q
