@@ -23,6 +23,18 @@ PAIR_SEPARATOR = ", "
 TERM_COUNT_SEPARATOR = ": "
 
 
+def explode_rows(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """``explode`` without the inferred ``size(array) > 0`` filter.
+
+    For a plain explode Catalyst infers ``size(array) > 0`` and pushes it down
+    through the projections that compute the array, so an expensive array
+    (tokens, n-grams, matches) would be computed twice, the first time before
+    any repartition.  ``explode_outer`` plus a null filter on the generated
+    element keeps the filter above the generator.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens.errors import UnknownCategoryError
-from termlens.functions.text import parse_detected
+from termlens.functions.text import explode_rows, parse_detected
 
 DETECTED_SUFFIX = "_detected_words"
 
@@ -49,9 +49,8 @@ def detected_long(df: DataFrame, key_cols: Sequence[str], categories: Sequence[s
             for c in cats
         ]
     )
-    exploded = df.select(*[F.col(f"`{k}`") for k in key_cols], F.explode(per_cat).alias("__c")).select(
-        *key_cols, F.col("__c.category").alias("category"), F.explode("__c.pairs").alias("__p")
-    )
+    per = explode_rows(df, [F.col(f"`{k}`") for k in key_cols], per_cat, "__c")
+    exploded = explode_rows(per, [*key_cols, F.col("__c.category").alias("category")], F.col("__c.pairs"), "__p")
     out = exploded.select(*key_cols, "category", F.col("__p.term").alias("term"), F.col("__p.occ").alias("occ"))
     if not isinstance(df.schema[f"{cats[0]}{DETECTED_SUFFIX}"].dataType, T.MapType):
         out = out.groupBy(*key_cols, "category", "term").agg(F.sum("occ").cast("bigint").alias("occ"))

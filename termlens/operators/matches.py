@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.errors import AnalysisConfigError
-from termlens.functions.text import all_ngrams, text_column_of, tokenize, with_run_length, word_share
+from termlens.functions.text import all_ngrams, explode_rows, text_column_of, tokenize, with_run_length, word_share
 from termlens.operators.vocabulary import Vocabulary, checked_categories, needed_orders
 from termlens.plans.strategy import balance
 
@@ -50,7 +50,7 @@ def term_bag(df: DataFrame, key_col: str, text_col: str, orders: list[int]) -> D
     else:
         arr = F.transform(F.col("__u"), lambda p: F.struct(F.lit(False).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ")))
         src = uni
-    return src.select("__key", F.explode(arr).alias("__p")).select(
+    return explode_rows(src, ["__key"], arr, "__p").select(
         F.col("__key").alias(key_col), "__p.is_multi", "__p.term", "__p.occ"
     )
 
@@ -82,36 +82,43 @@ def term_matches(
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
     salt_buckets: int = SALT_BUCKETS,
 ) -> DataFrame:
-    """Long-form hits ``(key, category, term, occ, weight, match_kind)``."""
-    v = vocab.table
+    """Long-form hits ``(key, category, term, occ, weight, match_kind)``.
+
+    One pass over the term bag: each distinct (row, term) gets an exact probe
+    plus one prefix probe per distinct prefix length of its kind (single-word
+    prefixes for tokens, multi-word prefixes for n-grams, only lengths up to
+    the term's length); one join on ``(is_multi, match_kind, key_len, key)``.
+    """
+    # the vocabulary is read by several small planning jobs and by the join:
+    # keep it cached (it is dictionary-sized)
+    v = vocab.table.persist()
     orders = needed_orders(None, max_n, v)
     bag = term_bag(df, key_col, text_col, orders)
-    fits = estimated_bytes(v, ["key", "category"]) <= broadcast_limit_bytes
 
-    exact_v = v.filter(F.col("match_kind") == "exact").select(
-        "is_multi", F.col("key").alias("term"), "category", "weight", "match_kind"
+    rows = (
+        v.filter(F.col("match_kind") == "prefix").select("is_multi", "key_len").distinct().limit(2 * MAX_PREFIX_LENGTHS + 1).collect()
     )
-    exact_hits = _join_vocab(bag, exact_v, ["is_multi", "term"], key_col, fits, salt_buckets)
-
-    lens = [int(r["key_len"]) for r in v.filter(F.col("match_kind") == "prefix").select("key_len").distinct().limit(MAX_PREFIX_LENGTHS + 1).collect()]
-    if len(lens) > MAX_PREFIX_LENGTHS:
+    lens = {False: sorted(int(r["key_len"]) for r in rows if not r["is_multi"]), True: sorted(int(r["key_len"]) for r in rows if r["is_multi"])}
+    if max(len(lens[False]), len(lens[True])) > MAX_PREFIX_LENGTHS:
         raise AnalysisConfigError(f"more than {MAX_PREFIX_LENGTHS} distinct prefix lengths")
-    cols = [key_col, "category", "term", "occ", "weight", "match_kind"]
-    if not lens:
-        return exact_hits.select(*cols)
-    lens_arr = F.array(*[F.lit(L) for L in sorted(lens)])
-    probes = bag.select(
-        key_col,
-        "is_multi",
-        "term",
-        "occ",
-        F.explode(F.filter(lens_arr, lambda L: F.length("term") >= L)).alias("key_len"),
-    ).withColumn("probe", F.expr("substring(term, 1, key_len)"))
-    prefix_v = v.filter(F.col("match_kind") == "prefix").select(
-        "is_multi", "key_len", F.col("key").alias("probe"), "category", "weight", "match_kind"
+
+    tlen = F.length("term")
+
+    def prefix_probe(L: int, multi: bool):
+        return F.when(
+            (F.col("is_multi") == F.lit(multi)) & (tlen >= L),
+            F.struct(F.lit("prefix").alias("match_kind"), F.lit(L).alias("key_len"), F.substring("term", 1, L).alias("key")),
+        )
+
+    probe_list = [F.struct(F.lit("exact").alias("match_kind"), tlen.cast("int").alias("key_len"), F.col("term").alias("key"))]
+    probe_list += [prefix_probe(L, False) for L in lens[False]] + [prefix_probe(L, True) for L in lens[True]]
+    probes = explode_rows(bag, [key_col, "is_multi", "term", "occ"], F.filter(F.array(*probe_list), lambda p: p.isNotNull()), "__pr").select(
+        key_col, "is_multi", "term", "occ", "__pr.match_kind", "__pr.key_len", "__pr.key"
     )
-    prefix_hits = _join_vocab(probes, prefix_v, ["is_multi", "key_len", "probe"], key_col, fits, salt_buckets)
-    return exact_hits.select(*cols).unionByName(prefix_hits.select(*cols))
+    vside = v.select("is_multi", "match_kind", "key_len", "key", "category", "weight")
+    fits = estimated_bytes(v, ["key", "category"]) <= broadcast_limit_bytes
+    hits = _join_vocab(probes, vside, ["is_multi", "match_kind", "key_len", "key"], key_col, fits, salt_buckets)
+    return hits.select(key_col, "category", "term", "occ", "weight", "match_kind")
 
 
 def analyze_by_join(
@@ -136,16 +143,18 @@ def analyze_by_join(
     cats = checked_categories(vocab.table)
     hits = term_matches(df, key_col, text_col, vocab, max_n)
     hits = hits.repartition(shuffle_partitions, key_col) if shuffle_partitions else hits.repartition(key_col)
-    per_term = hits.groupBy(key_col, "category", "term").agg(
-        F.max("occ").alias("occ"),
-        F.sum(F.when(F.col("match_kind") == "exact", F.col("weight")).otherwise(0)).alias("e"),
-        F.sum(F.when(F.col("match_kind") == "prefix", F.col("weight")).otherwise(0)).alias("m"),
-    )
-    cnt = (F.col("occ") * (F.col("e") + F.col("m"))) if convention == "tokens" else (F.col("e") + F.col("occ") * F.col("m"))
-    per_cat = per_term.groupBy(key_col, "category").agg(
-        F.sum(cnt).cast("bigint").alias("cnt"),
-        F.map_from_entries(F.collect_list(F.struct("term", "occ"))).alias("det"),
-    )
+    is_exact = F.col("match_kind") == "exact"
+    if convention == "tokens":
+        contrib = F.col("occ") * F.col("weight")
+    else:  # legacy: an exact entry counts the term once, a prefix entry its occurrences
+        contrib = F.when(is_exact, F.col("weight")).otherwise(F.col("occ") * F.col("weight"))
+    aggs = [F.sum(contrib).cast("bigint").alias("cnt")]
+    if with_detected:
+        # the same term hit by several entries repeats an identical (term, occ): the set dedupes it
+        aggs.append(F.map_from_entries(F.array_sort(F.collect_set(F.struct("term", "occ")))).alias("det"))
+    else:
+        aggs.append(F.lit(None).cast("map<string,bigint>").alias("det"))
+    per_cat = hits.groupBy(key_col, "category").agg(*aggs)
     per_row = per_cat.groupBy(key_col).agg(
         F.map_from_entries(F.collect_list(F.struct("category", F.struct("cnt", "det")))).alias("__res")
     )

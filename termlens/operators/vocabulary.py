@@ -277,14 +277,14 @@ class LiteralVocabulary:
 def collect_literal_vocabulary(vocab: Vocabulary, max_entries: int) -> LiteralVocabulary | None:
     """Collect the entries if there are at most ``max_entries`` of them, else ``None``.
 
-    The count runs first (one tiny aggregate) so an oversized vocabulary never
-    reaches the driver.
+    One bounded job: at most ``max_entries + 1`` rows ever reach the driver,
+    so an oversized vocabulary is detected without being collected.
     """
-    n = vocab.table.count()
-    if n > max_entries:
+    rows = vocab.table.select("category", "is_multi", "match_kind", "key", "weight").limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
         return None
     entries: dict = {}
-    for r in vocab.table.select("category", "is_multi", "match_kind", "key", "weight").collect():
+    for r in rows:
         slot = entries.setdefault(r["category"], {}).setdefault(bool(r["is_multi"]), {}).setdefault(r["match_kind"], {})
         slot[r["key"]] = slot.get(r["key"], 0) + int(r["weight"])
     return LiteralVocabulary(tuple(vocab.categories), entries)

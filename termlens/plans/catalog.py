@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termlens.functions.text import LEGACY_MAX_N, all_ngrams, format_detected, ngram_orders, ngrams, parse_detected, text_column_of, tokenize, with_run_length
+from termlens.functions.text import LEGACY_MAX_N, explode_rows, all_ngrams, format_detected, ngram_orders, ngrams, parse_detected, text_column_of, tokenize, with_run_length
 from termlens.operators import stats
 from termlens.operators.analyze import analyze, analysis_frame
 from termlens.operators.detected import corpus_term_frequencies, detected_long, top_terms, top_terms_per_category
@@ -90,7 +90,7 @@ def q_token_freq_by_lang(spark, sf_dir):
     d = _docs(spark, sf_dir)
     t = with_run_length(d, tokenize(text_column_of(d, "text")), "pairs", ["lang"])
     return (
-        t.select("lang", F.explode("pairs").alias("p"))
+        explode_rows(t, ["lang"], F.col("pairs"), "p")
         .groupBy("lang", F.col("p.term").alias("term"))
         .agg(F.sum("p.occ").cast("bigint").alias("frequency"), F.count(F.lit(1)).cast("bigint").alias("doc_frequency"))
     )
@@ -103,7 +103,7 @@ def _ngram_top(spark, sf_dir, n, k=25):
     t = d.select("lang", tokenize(text_column_of(d, "text")).alias("tk"))
     t = with_run_length(t, ngrams(F.col("tk"), n), "pairs", ["lang"])
     freq = (
-        t.select("lang", F.explode("pairs").alias("p"))
+        explode_rows(t, ["lang"], F.col("pairs"), "p")
         .groupBy("lang", F.col("p.term").alias("term"))
         .agg(F.sum("p.occ").cast("bigint").alias("frequency"), F.count(F.lit(1)).cast("bigint").alias("doc_frequency"))
     )
@@ -332,7 +332,7 @@ def benchmark_wordlist(spark, sf_dir, variant: int = 1) -> DataFrame:
     ``variant=2`` keeps only the short/phrase columns (for merge tests).
     """
     b = table(spark, sf_dir, "benchmark")
-    words = b.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)).alias("w")).distinct()
+    words = explode_rows(b, [], F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0), "w").distinct()
     n = F.length("w")
     single = words.select(
         F.col("w").alias("DicTerm"),
@@ -349,8 +349,8 @@ def benchmark_wordlist(spark, sf_dir, variant: int = 1) -> DataFrame:
         F.lit(None).cast("string").alias("phrase"),
     )
     ws = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
-    pairs = b.select(ws.alias("ws")).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 1, F.lit(1))), lambda i: F.array(F.get("ws", i - 1), F.get("ws", i)))).alias("p")
+    pairs = explode_rows(
+        b.select(ws.alias("ws")), [], F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 1, F.lit(1))), lambda i: F.array(F.get("ws", i - 1), F.get("ws", i))), "p"
     ).filter(F.col("p")[1].isNotNull())
     bigrams = pairs.select(F.concat_ws(" ", F.col("p")[0], F.col("p")[1]).alias("DicTerm")).distinct().select(
         "DicTerm",
@@ -398,7 +398,7 @@ def q_analyze_table_vocab(spark, sf_dir):
     a = analysis_frame(_docs(spark, sf_dir), "text", v, key_col="doc_id", plan="join", with_detected=False)
     cats = v.categories
     rows = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"{c}_word_count").alias("word_count")) for c in cats])
-    return a.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.category", "r.word_count").filter(F.col("word_count") > 0)
+    return explode_rows(a, ["doc_id"], rows, "r").select("doc_id", "r.category", "r.word_count").filter(F.col("word_count") > 0)
 
 
 # --------------------------------------------------------------------------- #
