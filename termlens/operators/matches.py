@@ -140,7 +140,8 @@ def analyze_by_join(
     """
     from termlens.operators.analyze import COUNT_SUFFIX, DETECTED_SUFFIX, N_TOKENS, N_TYPES, PERC_SUFFIX, _output_names
 
-    cats = checked_categories(vocab.table)
+    # declared categories keep their columns even without a usable entry
+    cats = list(vocab.categories) or checked_categories(vocab.table)
     hits = term_matches(df, key_col, text_col, vocab, max_n)
     hits = hits.repartition(shuffle_partitions, key_col) if shuffle_partitions else hits.repartition(key_col)
     is_exact = F.col("match_kind") == "exact"
