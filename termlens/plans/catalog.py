@@ -478,6 +478,21 @@ def q_anova_lineitem(spark, sf_dir):
     return _round_cols(t, ["sum_sq", "df", "F", "PR(>F)"])
 
 
+def q_stream_analyze(spark, sf_dir):
+    """Documents arriving as a file stream, analysed per micro-batch (availableNow), read back."""
+    from termlens.streaming.incremental import analyze_stream, read_document_stream, write_incremental
+
+    stream = read_document_stream(spark, sf_dir, glob="documents.parquet")
+    out = analyze_stream(stream.select("doc_id", "text"), "text", _vocab(spark), enhanced=False)
+    cols = [F.col("doc_id"), F.col("n_tokens"), F.col("n_types")]
+    for c in CATEGORIES:
+        cols += [F.col(f"{c}_word_count"), _r(F.col(f"{c}_word_perc")).alias(f"{c}_word_perc")]
+    base = _scratch(spark)
+    q = write_incremental(out.select(*cols), base + "/data", base + "/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(base + "/data")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_stats": q_tokenize_stats,
     "token_freq_by_lang": q_token_freq_by_lang,
@@ -530,4 +545,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pearson_lineitem": q_pearson_lineitem,
     "group_ci_lineitem": q_group_ci_lineitem,
     "anova_lineitem": q_anova_lineitem,
+    "stream_analyze": q_stream_analyze,
 }

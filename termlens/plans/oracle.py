@@ -263,6 +263,7 @@ select k doc_id, len(tk)::bigint n_tokens, len(grams)::bigint n_ngrams, len(list
     q["overlap_double_count"] = _sql_counts(OVERLAP_WORDLIST, ["ov"])
     q["analyze_wide"] = f"{_analysis_cte(extra='')}\nselect k doc_id, n_tokens, n_types, {wide} from an"
     q["analyze_join_plan"] = q["analyze_wide"]
+    q["stream_analyze"] = q["analyze_wide"]
     q["word_perc"] = f"{_analysis_cte(extra='')}\nselect k doc_id, {perc_cols} from an"
     q["detected_long"] = f"{_analysis_cte(extra='')}\nselect k doc_id, cat category, term, occ from h"
     q["detected_parse"] = q["detected_long"]
