@@ -280,14 +280,19 @@ def collect_literal_vocabulary(vocab: Vocabulary, max_entries: int) -> LiteralVo
     One bounded job: at most ``max_entries + 1`` rows ever reach the driver,
     so an oversized vocabulary is detected without being collected.
     """
+    cache = vocab.__dict__.setdefault("_literal_cache", {})
+    if max_entries in cache:
+        return cache[max_entries]
     rows = vocab.table.select("category", "is_multi", "match_kind", "key", "weight").limit(max_entries + 1).collect()
     if len(rows) > max_entries:
+        cache[max_entries] = None
         return None
     entries: dict = {}
     for r in rows:
         slot = entries.setdefault(r["category"], {}).setdefault(bool(r["is_multi"]), {}).setdefault(r["match_kind"], {})
         slot[r["key"]] = slot.get(r["key"], 0) + int(r["weight"])
-    return LiteralVocabulary(tuple(vocab.categories), entries)
+    cache[max_entries] = LiteralVocabulary(tuple(vocab.categories), entries)
+    return cache[max_entries]
 
 
 def checked_categories(vocab_table: DataFrame, limit: int = MAX_CATEGORIES) -> list[str]:

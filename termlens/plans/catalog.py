@@ -58,8 +58,16 @@ def _r(c):
     return F.round(c, ROUND)
 
 
+_VOCABS: dict = {}
+
+
 def _vocab(spark: SparkSession, entries=None) -> Vocabulary:
-    return vocabulary_from_entries(spark, entries or TEST_WORDLIST)
+    """The fixed test dictionary as a Vocabulary, built once per session and dictionary."""
+    entries = entries or TEST_WORDLIST
+    key = (id(spark), repr(sorted(entries.items())))
+    if key not in _VOCABS:
+        _VOCABS[key] = vocabulary_from_entries(spark, entries)
+    return _VOCABS[key]
 
 
 def _docs(spark, sf_dir):

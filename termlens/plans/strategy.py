@@ -17,14 +17,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+_SHUFFLING = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Distinct", "Deduplicate", "Union")
+
+
+def _has_shuffle(df: DataFrame) -> bool:
+    """True when the logical plan already repartitions (its partition count is then
+    the shuffle's, not the scan's)."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    return any(op in plan for op in _SHUFFLING)
+
+
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the cluster's cores."""
-    if df.isStreaming:
+    """Round-robin repartition only when ``df`` is a plain scan pipeline with fewer
+    partitions than the cluster's cores; anything else is returned unchanged."""
+    if df.isStreaming or _has_shuffle(df):
         return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     try:
-        current = df.rdd.getNumPartitions()
+        # JVM-side RDD of a shuffle-free plan: no job runs, only file splits are listed
+        current = df._jdf.rdd().getNumPartitions()
     except Exception:  # noqa: BLE001 - plans that cannot report partitions are left alone
         return df
     if current >= target:
