@@ -108,3 +108,29 @@ def test_result_independent_of_partitioning(spark):
     a = analyze(docs.coalesce(1), "text", v, key_col="doc_id", keep_columns=False).collect()
     b = analyze(docs.repartition(7), "text", v, key_col="doc_id", keep_columns=False).collect()
     assert sorted(map(_norm, a)) == sorted(map(_norm, b))
+
+
+def test_salted_join_equals_broadcast(spark):
+    """The over-size path (salted shuffle join) returns the same hits as the broadcast path."""
+    from termlens.operators.matches import term_matches
+    from termlens.plans.catalog import TEST_WORDLIST, table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    v = vocabulary_from_entries(spark, TEST_WORDLIST)
+    a = term_matches(docs, "doc_id", "text", v)
+    b = term_matches(docs, "doc_id", "text", v, broadcast_limit_bytes=0, salt_buckets=5)
+    assert "__salt" in b._jdf.queryExecution().optimizedPlan().toString()
+    assert "__salt" not in a._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_auto_plan_switches_above_literal_threshold(spark):
+    from termlens.plans.catalog import TEST_WORDLIST, table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    v = vocabulary_from_entries(spark, TEST_WORDLIST)
+    small = analyze(docs, "text", v, key_col="doc_id", keep_columns=False)
+    big = analyze(docs, "text", v, key_col="doc_id", keep_columns=False, literal_threshold=5)
+    assert "Generate" in big._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in small._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(_norm, small.collect())) == sorted(map(_norm, big.collect()))
