@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termlens.errors import AnalysisConfigError
-from termlens.functions.text import all_ngrams, explode_rows, text_column_of, tokenize, with_run_length, word_share
+from termlens.functions.text import all_ngrams, explode_rows, ngrams, text_column_of, tokenize, with_run_length, word_share
 from termlens.operators.vocabulary import Vocabulary, checked_categories, needed_orders
 from termlens.plans.strategy import balance
 
@@ -34,14 +34,23 @@ SALT_BUCKETS = 16
 MAX_PREFIX_LENGTHS = 256
 
 
-def term_bag(df: DataFrame, key_col: str, text_col: str, orders: list[int]) -> DataFrame:
-    """``(key, is_multi, term, occ)`` with each distinct unigram / n-gram once per row."""
+def term_bag(df: DataFrame, key_col: str, text_col: str, orders: list[int], start_filters: dict | None = None) -> DataFrame:
+    """``(key, is_multi, term, occ)`` with each distinct unigram / n-gram once per row.
+
+    ``start_filters`` (order -> first-token predicate) prunes n-grams that no
+    multi-word entry can match; without it every n-gram of every order is kept.
+    """
     df = balance(df)
     tk = tokenize(text_column_of(df, text_col))
     base = df.select(F.col(f"`{key_col}`").alias("__key"), tk.alias("__tk"))
     uni = with_run_length(base, F.col("__tk"), "__u", ["__key", "__tk"])
     if orders:
-        both = with_run_length(uni, all_ngrams(F.col("__tk"), orders), "__m", ["__key", "__u"])
+        if start_filters:
+            parts = [ngrams(F.col("__tk"), n, start_filters.get(n)) for n in orders]
+            grams = parts[0] if len(parts) == 1 else F.concat(*parts)
+        else:
+            grams = all_ngrams(F.col("__tk"), orders)
+        both = with_run_length(uni, grams, "__m", ["__key", "__u"])
         arr = F.concat(
             F.transform(F.col("__u"), lambda p: F.struct(F.lit(False).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ"))),
             F.transform(F.col("__m"), lambda p: F.struct(F.lit(True).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ"))),
@@ -55,6 +64,33 @@ def term_bag(df: DataFrame, key_col: str, text_col: str, orders: list[int]) -> D
     )
 
 
+PRUNE_LIMIT = 50_000
+MAX_PRUNE_PREFIX_LENGTHS = 4
+
+
+def _multi_start_filters(v: DataFrame, orders: list[int]) -> dict | None:
+    """First-token filters per n-gram order from the multi-word entries, if at most
+    ``PRUNE_LIMIT`` of them exist (one bounded collect); else ``None`` (no pruning)."""
+    if not orders:
+        return None
+    from termlens.operators.analyze import _start_filter
+    from termlens.operators.vocabulary import LiteralVocabulary
+
+    rows = v.filter(F.col("is_multi")).select("match_kind", "key").limit(PRUNE_LIMIT + 1).collect()
+    if len(rows) > PRUNE_LIMIT:
+        return None
+    # one-word prefixes ("new *") are tested on the first token once per distinct
+    # length; with many lengths the test costs more than building the n-gram
+    one_word_lens = {len(r["key"]) for r in rows if r["match_kind"] == "prefix" and len(r["key"].split()) == 1}
+    if len(one_word_lens) > MAX_PRUNE_PREFIX_LENGTHS:
+        return None
+    entries: dict = {"*": {True: {"exact": {}, "prefix": {}}}}
+    for r in rows:
+        entries["*"][True][r["match_kind"]][r["key"]] = 1
+    lv = LiteralVocabulary(("*",), entries)
+    return {n: _start_filter(lv, n) for n in orders}
+
+
 def estimated_bytes(small: DataFrame, string_cols: list[str]) -> int:
     """Measured size bound of a small side: rows x fixed overhead + string bytes (one aggregate)."""
     row = small.agg(
@@ -93,7 +129,7 @@ def term_matches(
     # keep it cached (it is dictionary-sized)
     v = vocab.table.persist()
     orders = needed_orders(None, max_n, v)
-    bag = term_bag(df, key_col, text_col, orders)
+    bag = term_bag(df, key_col, text_col, orders, _multi_start_filters(v, orders))
 
     rows = (
         v.filter(F.col("match_kind") == "prefix").select("is_multi", "key_len").distinct().limit(2 * MAX_PREFIX_LENGTHS + 1).collect()
