@@ -347,12 +347,17 @@ def vocabulary_head_tail(vocab: Vocabulary) -> DataFrame:
         "category", F.struct(F.col("is_multi").cast("int").alias("m"), F.col("key").alias("k")).alias("s")
     )
     agg = exact.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    # bounded first/last 3 via window ranks (no unbounded collect)
+    # first 3 and last 3 as two single-rank top-k windows: each is planned with a
+    # per-partition group limit, so a huge category is never sorted in one task
     w_asc = Window.partitionBy("category").orderBy(F.col("s").asc())
     w_desc = Window.partitionBy("category").orderBy(F.col("s").desc())
-    ranked = exact.select("category", "s", F.row_number().over(w_asc).alias("ra"), F.row_number().over(w_desc).alias("rd"))
-    edges = ranked.filter((F.col("ra") <= 3) | (F.col("rd") <= 3)).groupBy("category").agg(
-        F.array_sort(F.collect_list(F.struct("ra", F.col("s.k").alias("k")))).alias("e")
+    first = exact.withColumn("r", F.row_number().over(w_asc)).filter(F.col("r") <= 3).select("category", "s")
+    last = exact.withColumn("r", F.row_number().over(w_desc)).filter(F.col("r") <= 3).select("category", "s")
+    edges = (
+        first.unionByName(last)
+        .distinct()
+        .groupBy("category")
+        .agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.struct(x["k"].alias("k"))).alias("e"))
     )
     allcats = vocab.table.select("category", "category_pos").distinct()
     j = allcats.join(agg.select("category", "n"), "category", "left").join(edges, "category", "left")
