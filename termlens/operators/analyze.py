@@ -266,24 +266,28 @@ def _annotator(es: dict[str, int], ps: dict[str, int], pm: dict[str, int]):
 
 
 def _finish(lvl3, originals, cats, out_names, convention, with_detected, tmp) -> DataFrame:
-    # level 4: counts, shares, detected maps
+    # level 4: counts and detected maps; level 5: shares reuse the materialised counts
     n_tok = F.col(f"{tmp}n_tokens")
-    cols = [F.col(f"`{c}`") for c in originals]
-    cols += [n_tok.alias(out_names[N_TOKENS]), F.col(f"{tmp}n_types").alias(out_names[N_TYPES])]
+    cols = [F.col(f"`{c}`") for c in originals] + [n_tok, F.col(f"{tmp}n_types")]
     for i, c in enumerate(cats):
         cp = F.col(f"{tmp}cp{i}")
         if convention == "tokens":
             cnt = F.aggregate(cp, F.lit(0).cast("bigint"), lambda a, x: a + x["occ"] * (x["e"] + x["m"]))
         else:
             cnt = F.aggregate(cp, F.lit(0).cast("bigint"), lambda a, x: a + x["e"] + x["occ"] * x["m"])
-        cols.append(cnt.alias(out_names[f"{c}{COUNT_SUFFIX}"]))
-        cols.append(word_share(cnt, n_tok).alias(out_names[f"{c}{PERC_SUFFIX}"]))
+        cols.append(cnt.alias(f"{tmp}cnt{i}"))
         if with_detected:
-            det = F.map_from_entries(F.transform(cp, lambda x: F.struct(x["term"], x["occ"])))
-            cols.append(det.alias(out_names[f"{c}{DETECTED_SUFFIX}"]))
-    # a final projection computes each count once (shares reuse it)
-    out = lvl3.select(*cols)
-    return out
+            cols.append(F.map_from_entries(F.transform(cp, lambda x: F.struct(x["term"], x["occ"]))).alias(f"{tmp}det{i}"))
+    lvl4 = lvl3.select(*cols)
+    out = [F.col(f"`{c}`") for c in originals]
+    out += [n_tok.alias(out_names[N_TOKENS]), F.col(f"{tmp}n_types").alias(out_names[N_TYPES])]
+    for i, c in enumerate(cats):
+        cnt = F.col(f"{tmp}cnt{i}")
+        out.append(cnt.alias(out_names[f"{c}{COUNT_SUFFIX}"]))
+        out.append(word_share(cnt, n_tok).alias(out_names[f"{c}{PERC_SUFFIX}"]))
+        if with_detected:
+            out.append(F.col(f"{tmp}det{i}").alias(out_names[f"{c}{DETECTED_SUFFIX}"]))
+    return lvl4.select(*out)
 
 
 def _output_names(originals: list[str], cats: list[str]) -> dict[str, str]:
