@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are chosen by their chi-square association with the label in a bounded sample of the training
-rows; documents are TF-IDF vectors over these terms, with document frequencies counted over all
+Terms are chosen by the likelihood ratio of their association with the label, and its factor, in a bounded
+sample of the training rows; documents are TF-IDF vectors over these terms, with document frequencies counted over all
 documents.  The labelled sample is an inverted index whose postings lie in blocks of ``BLOCK``
 examples, each with the largest weight of every term.  A query visits blocks by falling upper bound
 until no block can hold a nearer example, so its ``K`` nearest are exact by cosine.  Votes are weighted by
@@ -29,8 +29,8 @@ from termlens.llm.common import id_crc, keep, sample_share, table
 
 SAMPLE = 20_000  # labelled rows that the classifier is fitted on (expected number)
 TERMS = 2_000
-CHI2 = 20.0
-LEAST = 3  # examples that a chosen term must occur in
+ALPHA = 1e-4  # chance that any term is chosen by accident
+LIFT = 3.0  # its share among one label's examples, as a multiple of its share among the other's
 BLOCK = 64
 K = 15
 PRIOR = 0.5  # votes' worth of the sample's label rate
@@ -80,20 +80,29 @@ class Examples:
         t, q = self.vector(counts)
         bound = q @ self.top[t]
         order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        i, step = 0, 8
-        while i < len(order) and bound[order[i]] > 0:
-            if len(best) >= k and bound[order[i]] < -best[k - 1][0] - 1e-12:
-                break
-            score: dict[int, float] = {}
-            for b in order[i : i + step]:
-                for a, w in zip(t, q, strict=True):
-                    lo, hi = self.cut[a][b], self.cut[a][b + 1]
-                    for n, x in zip(self.at[a][lo:hi].tolist(), self.weight[a][lo:hi].tolist(), strict=True):
-                        score[n] = score.get(n, 0.0) + w * x
-            best = sorted(best + [(-round(min(1.0, s), 12), n) for n, s in score.items()])[:k]
-            i, step = i + step, step * 2
-        return [(-s, n) for s, n in best]
+        near = np.zeros(0, np.int64)
+        cosine = np.zeros(0)
+        done = 0
+        while done < len(order) and bound[order[done]] > 0:
+            if len(near) == k and bound[order[done]] < cosine[-1] - 1e-9:
+                break  # no block left can hold a nearer example
+            # a few blocks first; then all that can still matter at once
+            least = cosine[-1] - 1e-9 if len(near) == k else 0.0
+            count = 8 if not done else max(8, int((bound >= least).sum()) - done)
+            use = np.zeros(len(order), bool)
+            use[order[done : done + count]] = True
+            done += count
+            at, weight = [], []
+            for a, w in zip(t.tolist(), q.tolist(), strict=True):
+                mine = use[self.at[a] // BLOCK]
+                at.append(self.at[a][mine])
+                weight.append(w * self.weight[a][mine])
+            at, slot = np.unique(np.concatenate(at), return_inverse=True)
+            near = np.concatenate([near, at])
+            cosine = np.concatenate([cosine, np.round(np.minimum(1.0, np.bincount(slot, np.concatenate(weight), len(at))), 12)])
+            best = np.lexsort((near, -cosine))[:k]
+            near, cosine = near[best], cosine[best]
+        return list(zip(cosine.tolist(), near.tolist(), strict=True))
 
     def score(self, text: str | None) -> tuple[float, list]:
         counts = self.counts(text)
@@ -118,23 +127,39 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("body"), learn.alias("learn"))
     known = known.where(sample_share("key", SAMPLE / max(1, known.count())))
     # the sample has about SAMPLE ids, whatever the size of the table: a bounded broadcast
-    sample = keep(rows.where("learn").join(F.broadcast(known), "key").select("key", "y", "body"), "labelled")
+    sample = keep(rows.where("learn").join(F.broadcast(known), "key").select("key", "y", "body", F.xxhash64("body").alias("text_hash")), "labelled")
 
     def associations(batches):
         for batch in batches:
             n = {0: Counter(), 1: Counter()}
             for t, y in zip(batch.column("body").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                n[int(y > 0)].update(set(words(t or "")))
+                w = words(t or "")
+                n[int(y > 0)].update(set(zip(w, [b"", *w], strict=False)))
             every = list(n[0].keys() | n[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([n[1][w] for w in every], pa.int64()), pa.array([n[0][w] for w in every], pa.int64())], names=["word", "yes", "no"])
+            columns = [pa.array([w[i] for w in every], pa.binary()) for i in (0, 1)] + [pa.array([n[y][w] for w in every], pa.int64()) for y in (1, 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "last", "yes", "no"])
 
-    size = {r["y"]: r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    size = {r["y"]: r["n"] for r in sample.dropDuplicates(["text_hash", "y"]).groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
-    a, b = F.col("yes"), F.col("no")
+    # A family of near copies shows a word after the same word again and again, so the label that a
+    # word speaks for counts only as many examples as there are different words before it.
+    for_yes = F.col("yes") * neg > F.col("no") * pos
+    a, b = F.when(for_yes, F.col("yes_after")).otherwise(F.col("yes")), F.when(for_yes, F.col("no")).otherwise(F.col("no_after"))
+    a, b = F.least(a, F.lit(pos)), F.least(b, F.lit(neg))
     c, d = F.lit(pos) - a, F.lit(neg) - b
-    chi2 = F.lit(float(pos + neg)) * F.pow(a * d - b * c, F.lit(2.0)) / F.greatest(F.lit(1.0), (a + b).cast("double") * (c + d) * F.lit(float(pos)) * F.lit(float(neg)))
-    scored = sample.select("body", "y").mapInArrow(associations, "word binary, yes long, no long").groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    chosen = scored.where(F.col("yes") + F.col("no") >= LEAST).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "word").limit(TERMS).collect()
+    every = F.lit(float(pos + neg))
+    cells = ((a, (a + b) * pos), (b, (a + b) * neg), (c, (c + d) * pos), (d, (c + d) * neg))
+    ratio = sum((F.when(o > 0, 2 * o * F.log(o * every / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
+    # (half an example more on each side, so that a share of nothing can be compared)
+    lift = ((a + 0.5) / F.lit(pos + 1.0)) / ((b + 0.5) / F.lit(neg + 1.0))
+    once = sample.dropDuplicates(["text_hash", "y"])  # copies of a text are one piece of evidence
+    scored = once.select("body", "y").mapInArrow(associations, "word binary, last binary, yes long, no long").groupBy("word", "last").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    scored = scored.groupBy("word").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.count_if(F.col("yes") > 0).alias("yes_after"), F.count_if(F.col("no") > 0).alias("no_after"))
+    scored = keep(scored, "associations")
+    # so many words are tested that chance alone must be ruled out for all of them together
+    least = 2 * math.log(max(1, scored.count()) / ALPHA)
+    scored = scored.withColumn("ratio", ratio).where((F.col("ratio") >= least) & ((lift >= LIFT) | (lift <= 1 / LIFT)))
+    chosen = scored.orderBy(F.desc("ratio"), "word").limit(TERMS).collect()
     terms = {bytes(w): i for i, w in enumerate(sorted(bytes(r["word"]) for r in chosen))}
 
     def frequencies(batches):
@@ -160,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
                 names=["key", "y", "term", "n"],
             )
 
-    got = sample.mapInArrow(examples, "key long, y int, term array<int>, n array<int>").collect()
+    got = sample.select("key", "y", "body").mapInArrow(examples, "key long, y int, term array<int>, n array<int>").collect()
     return Examples(terms, idf, [(r["key"], int(r["y"] > 0), dict(zip(r["term"], r["n"], strict=True))) for r in got])
 
 
