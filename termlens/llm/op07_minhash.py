@@ -8,9 +8,9 @@ table key with probability of at most 2 * (1 - 0.8**WIDTH)**SIDE, 6e-4 by defaul
 Equal shingle sets form one class, represented once.  A table key can be shared only if both its
 sub-keys are, so keys are formed only from sub-keys that occur twice.  Candidates are tested in star
 rounds: each bucket's members against one pivot, other pivots in later rounds, and only for members
-that are not yet connected; what is left then is tested pair by pair.  So every pair in a common
-bucket is either tested on its full sets or already in one component, and a group of thousands of
-copies costs a few comparisons per member.
+that are not yet connected; what is left then is tested pair by pair, except for pairs that too few shared shingles
+rule out.  So every pair in a common bucket is either tested on its full sets, ruled out, or already in one component,
+and a group of thousands of copies costs a few comparisons per member.
 
 Defined results: null or empty texts and texts without words have an empty set and are linked with
 nothing; fewer than ``words`` words make one shingle; repeated rows are copies of each other; rows
@@ -31,7 +31,9 @@ WORDS = 4
 PERCENT = 80
 SIDE = 8
 WIDTH = 2
-STAR_ROUNDS = 3
+PLACE = ("node", "comp", "n", "c", "bits")
+SKETCH = 512  # bits of the bitmap that rules pairs out
+STAR_ROUNDS = 2
 _SEEDS = np.random.default_rng(7071).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
@@ -99,38 +101,44 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     return rows.mapInArrow(run, "doc_id long, node long, n_shingles long, sub array<long>")
 
 
-def _candidates(classes: DataFrame, side: int) -> DataFrame:
-    """(key, node) for table keys made of sub-keys that more than one class has."""
+def _candidates(classes: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node) for the table keys that more than one class has, and (key, node) for the first
+    collection's sub-keys: classes that share a table key share one of these."""
     sub = classes.select("node", F.posexplode("sub").alias("place", "value"))
     shared = keep(sub.groupBy("place", "value").agg(F.count("*").alias("n")).where("n > 1").select("place", "value"), "shared")
     mine = sub.join(shared, ["place", "value"])
     left = F.collect_list(F.when(F.col("place") < side, F.struct("place", "value")))
     right = F.collect_list(F.when(F.col("place") >= side, F.struct("place", "value")))
-    live = mine.groupBy("node").agg(left.alias("a"), right.alias("b")).where("size(a) > 0 AND size(b) > 0")
+    live = keep(mine.groupBy("node").agg(left.alias("a"), right.alias("b")).where("size(a) > 0 AND size(b) > 0"), "live")
     pairs = live.select("node", F.explode("a").alias("a"), "b").select("node", "a", F.explode("b").alias("b"))
     members = pairs.select(F.xxhash64("a.place", "a.value", "b.place", "b.value").alias("key"), "node")
     members = keep(members, "members")
     twice = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    return keep(members.join(keep(twice, "buckets"), "key"), "candidates")
+    first = live.select("node", F.explode("a").alias("a")).select(F.xxhash64("a.place", "a.value").alias("key"), "node")
+    return keep(members.join(keep(twice, "buckets"), "key"), "candidates"), first
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(node, size, items) of the classes in ``nodes`` (node, rep): read from one text of each."""
+    """(node, items, bits) of the classes in ``nodes`` (node, rep), read from one text of each: the
+    shingles, and a bitmap with a bit for each of them (several may share one)."""
     rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body"))
     rows = rows.join(nodes.select("node", "rep"), rows["rep"].eqNullSafe(nodes["rep"])).select("node", "body")
 
     def run(batches):
         for batch in batches:
             bodies, want = [t.lower() for t in utf8(batch.column("body"))], batch.column("node").to_pylist()
-            nodes, items = [], []
+            nodes, items, bits = [], [], []
             for a, b in chunks(bodies, [len(t) for t in bodies]):
                 for n, s in zip(want[a:b], shingle_sets(bodies[a:b], words), strict=True):
                     if len(s) and int(_node(s).view(np.int64)) == n:  # ids can repeat
                         nodes.append(n)
                         items.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["node", "items"])
+                        has = np.zeros(SKETCH, bool)
+                        has[s >> np.uint64(64 - SKETCH.bit_length() + 1)] = True
+                        bits.append(np.packbits(has).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "items", "bits"])
 
-    return rows.mapInArrow(run, "node long, items array<long>")
+    return rows.mapInArrow(run, "node long, items array<long>, bits array<long>")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,33 +193,56 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def linked_components(docs: DataFrame, sigs: DataFrame, classes: DataFrame, key: str, text: str, words: int, percent: int, side: int) -> DataFrame:
+def _able(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, c, bits) of the classes that can have a link: n shingles, c of them in another class too.
+
+    A link's common shingles are among the c of either side, so c must be at least percent of n.
+    """
+    own = sets.select("node", F.explode("items").alias("s")).groupBy("s").agg(F.count("*").alias("d"), F.min("node").alias("node")).where("d = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    rows = sets.select("node", F.size("items").cast("long").alias("n"), "bits").join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"), "bits")
+    return rows.where(F.col("c") * 100 >= F.col("n") * percent)
+
+
+def linked_components(docs: DataFrame, classes: DataFrame, key: str, text: str, words: int, percent: int, side: int) -> DataFrame:
     """(node, comp) for the classes that are linked with another class."""
-    members = _candidates(classes, side)
-    spark = docs.sparkSession
-    none = spark.createDataFrame([], "node long, comp long")
+    members, first = _candidates(classes, side)
+    none = docs.sparkSession.createDataFrame([], "node long, comp long")
     nodes = keep(members.select("node").distinct().join(classes.select("node", "rep"), "node"), "nodes")
     if nodes.isEmpty():
         return none
-    sets = keep(_sets_of(docs, nodes, key, text, words), "sets").dropDuplicates(["node"])
-    sizes = classes.select("node", "n")
+    sets = keep(_sets_of(docs, nodes, key, text, words).dropDuplicates(["node"]), "sets")
+    able = keep(_able(sets, percent), "able")
+    members = keep(members.join(able, "node"), "able-members")
     links, tested, comp = None, None, none
+
+    def missing(x: str, y: str):  # at least so many shingles of x are not in y
+        return sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(SKETCH // 64)), F.lit(0))
+
+    # an upper bound of the common shingles must reach percent
+    most = F.least(F.col("c"), F.col("o_c"), F.col("n") - missing("bits", "o_bits"), F.col("o_n") - missing("o_bits", "bits"))
+    quick = F.least("c", "o_c") * (100 + percent) >= (F.col("n") + F.col("o_n")) * percent
+    fits = quick & (most * (100 + percent) >= (F.col("n") + F.col("o_n")) * percent)
+
     for turn in range(STAR_ROUNDS + 1):
         state = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("b"), F.min_by("comp", F.xxhash64("node", F.lit(turn))).alias("b_comp"))
-        open_keys = keep(open_keys.where("lo < hi").select("key", "b", "b_comp"), "open")
+        # the pivot of a bucket has few shingles of its own, so it is close to all that are close
+        # to anything; later rounds take another one of those
+        central = F.struct(F.floor((1 - F.col("c") / F.col("n")) * 20), F.xxhash64("node", F.lit(turn)))
+        pivot = F.min_by(F.struct("node", "comp", "n", "c", "bits"), central)
+        open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot.alias("p")).where("lo < hi")
+        open_keys = keep(open_keys.select("key", *[F.col(f"p.{x}").alias(f"o_{x}") for x in PLACE]), "open")
         if open_keys.isEmpty():
             break
-        state = keep(state, "state") if turn == STAR_ROUNDS else state
-        if turn < STAR_ROUNDS:  # one pivot in each bucket that still holds several components
-            pairs = state.join(open_keys, "key").where("comp <> b_comp").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        else:  # what is left, pair by pair; sizes rule most pairs out
-            rest = state.join(open_keys.select("key"), "key").join(sizes, "node").select("key", "node", "comp", "n")
-            rest = keep(rest, "rest")
-            other = rest.select("key", F.col("node").alias("o_node"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"))
-            fits = (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent) & (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))
-            pairs = rest.join(other, "key").where(fits).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
-        pairs = pairs.distinct()
+        if turn == STAR_ROUNDS:  # what is left, pair by pair (over the few first sub-keys)
+            still = state.join(open_keys.select("key"), "key").select("node", "comp").distinct()
+            state = keep(first.join(still, "node").join(able, "node"), "rest")
+            open_keys = state.select("key", *[F.col(x).alias(f"o_{x}") for x in PLACE])
+        apart = (F.col("comp") != F.col("o_comp")) & fits
+        if turn == STAR_ROUNDS:
+            apart &= F.col("node") < F.col("o_node")
+        pairs = state.join(open_keys, (state["key"] == open_keys["key"]) & apart)
+        pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
@@ -228,7 +259,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sigs = keep(signatures(docs, key, text, words, side, width), "signatures")
     classes = sigs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.first("sub").alias("sub"))
     classes = keep(classes, "classes")
-    comp = linked_components(docs, sigs, classes, key, text, words, percent, side)
+    comp = linked_components(docs, classes, key, text, words, percent, side)
     # classes with copies or links; all other rows are their own component
     linked = classes.join(comp, "node", "left").where("copies > 1 OR comp IS NOT NULL").select("node", F.coalesce("comp", "node").alias("comp"), "rep")
     linked = keep(linked, "linked")
