@@ -20,9 +20,11 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termlens.llm.common import _BASE, chunks, keep, mix, partitions, table, utf8, word_hashes
@@ -102,8 +104,8 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
 
 def _candidates(classes: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
-    """(key, node) for the table keys that more than one class has, and (key, node) for the first
-    collection's sub-keys: classes that share a table key share one of these."""
+    """(key, node) for the table keys that more than one class has, and (key, node, place, sub)
+    for the first collection's sub-keys: classes that share a table key share one of these."""
     sub = classes.select("node", F.posexplode("sub").alias("place", "value"))
     shared = keep(sub.groupBy("place", "value").agg(F.count("*").alias("n")).where("n > 1").select("place", "value"), "shared")
     mine = sub.join(shared, ["place", "value"])
@@ -114,7 +116,8 @@ def _candidates(classes: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
     members = pairs.select(F.xxhash64("a.place", "a.value", "b.place", "b.value").alias("key"), "node")
     members = keep(members, "members")
     twice = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    first = live.select("node", F.explode("a").alias("a")).select(F.xxhash64("a.place", "a.value").alias("key"), "node")
+    first = live.select("node", F.explode("a").alias("a")).join(classes.select("node", "sub"), "node")
+    first = first.select(F.xxhash64("a.place", "a.value").alias("key"), "node", F.col("a.place").alias("place"), F.slice("sub", 1, side).alias("sub"))
     return keep(members.join(keep(twice, "buckets"), "key"), "candidates"), first
 
 
@@ -122,7 +125,8 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, words: int)
     """(node, items, bits) of the classes in ``nodes`` (node, rep), read from one text of each: the
     shingles, and a bitmap with a bit for each of them (several may share one)."""
     rows = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("body"))
-    rows = rows.join(nodes.select("node", "rep"), rows["rep"].eqNullSafe(nodes["rep"])).select("node", "body")
+    # a merge join at every size: the side with the texts is shuffled once, never the other one sent
+    rows = rows.join(nodes.select("node", "rep").hint("merge"), rows["rep"].eqNullSafe(nodes["rep"])).select("node", "body")
 
     def run(batches):
         for batch in batches:
@@ -149,9 +153,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     n = partitions(pairs.sparkSession)
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(n)))
-    left = salted.join(sets, salted["a"] == sets["node"]).select("b", "salt", "a", "items")
+    left = salted.hint("merge").join(sets, salted["a"] == sets["node"]).select("b", "salt", "a", "items")
     right = salted.select("b", "salt").distinct()
-    right = right.join(sets, right["b"] == sets["node"]).select("b", "salt", F.lit(None).cast("long").alias("a"), "items")
+    right = right.hint("merge").join(sets, right["b"] == sets["node"]).select("b", "salt", F.lit(None).cast("long").alias("a"), "items")
     rows = left.union(right).repartition(n, "b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches):
@@ -213,6 +217,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, key: str, text: str,
         return none
     sets = keep(_sets_of(docs, nodes, key, text, words).dropDuplicates(["node"]), "sets")
     able = keep(_able(sets, percent), "able")
+    sets = keep(sets.join(able.select("node").hint("merge"), "node"), "able-sets")
     members = keep(members.join(able, "node"), "able-members")
     links, tested, comp = None, None, none
 
@@ -237,10 +242,12 @@ def linked_components(docs: DataFrame, classes: DataFrame, key: str, text: str,
         if turn == STAR_ROUNDS:  # what is left, pair by pair (over the few first sub-keys)
             still = state.join(open_keys.select("key"), "key").select("node", "comp").distinct()
             state = keep(first.join(still, "node").join(able, "node"), "rest")
-            open_keys = state.select("key", *[F.col(x).alias(f"o_{x}") for x in PLACE])
+            open_keys = state.select("key", F.col("sub").alias("o_sub"), *[F.col(x).alias(f"o_{x}") for x in PLACE])
         apart = (F.col("comp") != F.col("o_comp")) & fits
         if turn == STAR_ROUNDS:
-            apart &= F.col("node") < F.col("o_node")
+            # each pair once, under the first sub-key that both have
+            again = [(F.col("place") > i) & (F.col("sub")[i] == F.col("o_sub")[i]) for i in range(side)]
+            apart = (F.col("node") < F.col("o_node")) & ~reduce(Column.__or__, again) & apart
         pairs = state.join(open_keys, (state["key"] == open_keys["key"]) & apart)
         pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
         if tested is not None:
