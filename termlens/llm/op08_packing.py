@@ -16,6 +16,7 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm.common import keep, mix, partitions, table
+from termlens.llm.common import keep, partitions, table
 
 WINDOW = 2048
 SHARD = 1_000_000
@@ -54,10 +55,11 @@ class Encoder:
             pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=pairs, special_tokens={})
         self.kind = np.uint16 if self.slow.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.cache: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), self.kind).tobytes()
+        return array(self.code, self.fast.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of ``text`` as bytes of ``kind``."""
@@ -113,8 +115,9 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
                 df[seen] += 1
                 total += len(x)
                 n += 1
-                pair = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
-                place.append(int(mix(pair).min() >> np.uint64(1)) if len(pair) else 0)
+                y = x.astype(np.uint32)
+                pair = (y[:-1] * np.uint32(0x9E3779B1) ^ y[1:]) * np.uint32(0x85EBCA6B)
+                place.append(int(pair.min()) if len(pair) else 0)
             none = [None] * len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([batch.column("doc_id").to_pylist(), ids, place, none, none, none], kinds, strict=True)], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip([None, None, None, df, n, total], kinds, strict=True)], names=names)
