@@ -31,17 +31,14 @@ SHARD = 1_000_000
 END = 1
 TERMS = 16  # of the seed's terms, the heaviest ones that are looked up
 K1, B = 1.2, 0.75
-CACHE = 400_000
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 class Encoder:
     """Token ids of whole texts, as the tokenizer file gives them.
 
-    The same vocabulary as ranks gives the same ids faster.  A text splits without loss at every
-    single space between two other characters that are not white space, since no token crosses its
-    left side; the pieces are cached.  Texts with other white space around a space go through whole,
-    and texts with a special token's string through the tokenizer file itself.
+    The same vocabulary as ranks gives the same ids faster; texts with a special token's string go
+    through the tokenizer file itself.
     """
 
     def __init__(self, tokenizer: str = TOKENIZER, ranks: str = RANKS):
@@ -56,32 +53,14 @@ class Encoder:
         self.fast = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=pairs, special_tokens={})
         self.kind = np.uint16 if self.slow.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.kind is np.uint16 else "I"
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return array(self.code, self.fast.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of ``text`` as bytes of ``kind``."""
         if any(s in text for s in self.special):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        head, *rest = text.split(" ")
-        cache = self.cache
-        out = list(map(cache.get, rest))
-        if None in out or (head and head[-1].isspace()):
-            if head and head[-1].isspace() or not head and rest:
-                return self._ids(text)
-            for i, x in enumerate(out):
-                if x is None:
-                    piece = rest[i]
-                    if not piece or piece[0].isspace() or piece[-1].isspace():
-                        return self._ids(text)
-                    out[i] = self._ids(" " + piece)
-                    if len(cache) < CACHE:
-                        cache[piece] = out[i]
-        elif not head and rest:
-            return self._ids(text)
-        return self._ids(head) + b"".join(out)
+            ids = self.slow.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return array(self.code, ids).tobytes()
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
