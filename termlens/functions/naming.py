@@ -1,8 +1,6 @@
-"""Identifier sanitising and uniquifying (driver helpers over schema names + a Column form).
+"""Column names from free text: cleaning, and numbers for names that clash.
 
-Spark resolves column names case-insensitively by default, so uniqueness is
-checked case-insensitively here: ``Text`` and ``text`` would otherwise be an
-ambiguous reference.
+Spark resolves names without regard to case, so ``Text`` and ``text`` clash.
 """
 
 from __future__ import annotations
@@ -13,40 +11,48 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifiers keep ASCII letters, digits and underscore; every run
-# of anything else becomes one "_"; leading/trailing "_" are stripped; an empty
-# result becomes "wordlist"; collisions get "_2", "_3", ...
-_NON_IDENT = re.compile(r"[^A-Za-z0-9_]+")
+# Names keep ASCII letters, digits and "_"; what lies between kept
+# runs becomes one "_", with none at either end; nothing left gives "wordlist";
+# the second, third, ... name of a kind ends in "_2", "_3", ...
+KEPT = "A-Za-z0-9_"
 DEFAULT_FALLBACK = "wordlist"
 
 
 def sanitize_identifier(value: object, fallback: str = DEFAULT_FALLBACK) -> str:
-    cleaned = _NON_IDENT.sub("_", str(value)).strip("_")
-    return cleaned or fallback
+    """The kept runs of ``value``, joined by ``_``."""
+    runs = re.findall(f"[{KEPT}]+", str(value))
+    return "_".join(runs).strip("_") or fallback
+
+
+def allot(wanted: Iterable[str], taken: Iterable[str] = (), case_insensitive: bool = True) -> list[str]:
+    """A free name for each wanted one, in order; ``taken`` names are used already."""
+    fold = str.lower if case_insensitive else str
+    used = set(map(fold, taken))
+    number: dict[str, int] = {}  # the last number given to a base
+    names = []
+    for base in wanted:
+        name = base
+        while fold(name) in used:
+            number[fold(base)] = number.get(fold(base), 1) + 1
+            name = f"{base}_{number[fold(base)]}"
+        used.add(fold(name))
+        names.append(name)
+    return names
 
 
 def uniquify(value: str, existing: Iterable[str], case_insensitive: bool = True) -> str:
-    """``value`` or the first free ``value_2``, ``value_3``, ... (does not mutate ``existing``)."""
-    norm = (lambda s: s.lower()) if case_insensitive else (lambda s: s)
-    taken = {norm(e) for e in existing}
-    if norm(value) not in taken:
-        return value
-    k = 2
-    while norm(f"{value}_{k}") in taken:
-        k += 1
-    return f"{value}_{k}"
+    """One free name for ``value`` beside ``existing``."""
+    return allot([value], existing, case_insensitive)[0]
 
 
 def sanitize_columns(columns: Iterable[object], case_insensitive: bool = True) -> list[str]:
-    """Sanitise every name, then uniquify against the names produced so far (same length out)."""
-    out: list[str] = []
-    for c in columns:
-        out.append(uniquify(sanitize_identifier(c), out, case_insensitive))
-    return out
+    """Cleaned names, all different, in the order of ``columns``."""
+    return allot(map(sanitize_identifier, columns), case_insensitive=case_insensitive)
 
 
 def sanitize_identifier_col(c: Column | str, fallback: str = DEFAULT_FALLBACK) -> Column:
-    """Column form of :func:`sanitize_identifier` (for names held in data, e.g. vocabulary tables)."""
+    """:func:`sanitize_identifier` for names held in data."""
     col = F.col(c) if isinstance(c, str) else c
-    cleaned = F.regexp_replace(F.regexp_replace(col, r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", "")
-    return F.when(cleaned == "", F.lit(fallback)).otherwise(cleaned)
+    runs = F.array_join(F.regexp_extract_all(col, F.lit(f"[{KEPT}]+"), F.lit(0)), "_")
+    name = F.regexp_replace(runs, "^_+|_+$", "")
+    return F.when(name == "", F.lit(fallback)).otherwise(name)

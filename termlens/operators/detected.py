@@ -31,14 +31,18 @@ def _as_pairs(df: DataFrame, col: str) -> "F.Column":
     dtype = df.schema[col].dataType
     if isinstance(dtype, T.MapType):
         return F.transform(F.map_entries(F.col(f"`{col}`")), lambda e: F.struct(e["key"].alias("term"), e["value"].cast("bigint").alias("occ")))
-    return parse_detected(F.col(f"`{col}`"))
+    parsed = parse_detected(F.col(f"`{col}`"))
+    # a display string can repeat a term: one pair for each term, with the sum of its counts
+    terms = F.array_distinct(F.transform(parsed, lambda p: p["term"]))
+    total = lambda t: F.aggregate(F.filter(parsed, lambda p: p["term"] == t), F.lit(0).cast("bigint"), lambda a, p: a + p["occ"])
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), total(t).alias("occ")))
 
 
 def detected_long(df: DataFrame, key_cols: Sequence[str], categories: Sequence[str] | None = None) -> DataFrame:
     """``(key..., category, term, occ)``: one row per detected term per row and category.
 
     Null cells are skipped (FLT-2).  A display string that repeats a term is
-    summed per row, as the reference's per-cell counter does.
+    summed within its cell, so no row key is needed.
     """
     cats = list(categories) if categories is not None else detected_categories(df)
     if not cats:
@@ -51,10 +55,7 @@ def detected_long(df: DataFrame, key_cols: Sequence[str], categories: Sequence[s
     )
     per = explode_rows(df, [F.col(f"`{k}`") for k in key_cols], per_cat, "__c")
     exploded = explode_rows(per, [*key_cols, F.col("__c.category").alias("category")], F.col("__c.pairs"), "__p")
-    out = exploded.select(*key_cols, "category", F.col("__p.term").alias("term"), F.col("__p.occ").alias("occ"))
-    if not isinstance(df.schema[f"{cats[0]}{DETECTED_SUFFIX}"].dataType, T.MapType):
-        out = out.groupBy(*key_cols, "category", "term").agg(F.sum("occ").cast("bigint").alias("occ"))
-    return out
+    return exploded.select(*key_cols, "category", F.col("__p.term").alias("term"), F.col("__p.occ").alias("occ"))
 
 
 def corpus_term_frequencies(df: DataFrame, categories: Sequence[str] | None = None, row_key: str | None = None) -> DataFrame:

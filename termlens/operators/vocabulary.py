@@ -32,7 +32,7 @@ from termlens.errors import (
     NoCategoryColumnsError,
     UnknownCategoryError,
 )
-from termlens.functions.naming import sanitize_columns, sanitize_identifier, uniquify
+from termlens.functions.naming import allot, sanitize_columns, sanitize_identifier
 
 # The term column is named "DicTerm"; a cell is active when it
 # equals "X" after trimming, case-insensitively; a trailing "*" marks a prefix.
@@ -181,10 +181,7 @@ def vocabulary_from_wordlist(wordlist: DataFrame, namespace: str | None = None,
     ns = sanitize_identifier(namespace) if namespace else ""
     final = [sanitize_identifier(f"{ns}_{n}") for n in names] if qualify else names
     if qualify:
-        uniq: list[str] = []
-        for n in final:
-            uniq.append(uniquify(n, uniq))
-        final = uniq
+        final = allot(final)
     entries = wordlist_entries(wordlist, final)
     ordered = sorted(final)
     return Vocabulary(_to_vocab(entries, ns, {c: i for i, c in enumerate(ordered)}), ordered)
@@ -202,31 +199,24 @@ def merge_wordlists(
     name.  Category ``{namespace}_{category}`` is uniquified over all files, in
     file column order, before each list's categories are sorted.
     """
-    files = list(wordlists)
-    if isinstance(prefixes, Mapping):
-        plist = [prefixes.get(_basename(name)) for _, name in files]
-    else:
-        plist = list(prefixes or [])
-        plist += [None] * (len(files) - len(plist))
-    existing: list[str] = []
-    order: list[str] = []
-    tables: list[DataFrame] = []
-    for (frame, name), prefix in zip(files, plist):
-        raw = category_columns(frame)
-        local = sanitize_columns(raw)
-        namespace = sanitize_identifier(prefix or _stem(name) or "wordlist")
-        combined = []
-        for c in local:
-            n = uniquify(sanitize_identifier(f"{namespace}_{c}"), existing)
-            existing.append(n)
-            combined.append(n)
-        sorted_names = sorted(combined)
-        order.extend(n for n in sorted_names if n not in order)
-        tables.append((frame, combined, namespace))  # type: ignore[arg-type]
-    pos = {c: i for i, c in enumerate(order)}
-    built = [_to_vocab(wordlist_entries(frame, names), ns, pos) for frame, names, ns in tables]  # type: ignore[misc]
-    table = reduce(DataFrame.unionByName, built)
-    return Vocabulary(table, order)
+    given = prefixes if isinstance(prefixes, Mapping) else dict(enumerate(prefixes or []))
+    # one row per category column: (file, wanted name); names are allotted over all files at once
+    spaces, wanted = [], []
+    for i, (frame, name) in enumerate(wordlists):
+        prefix = given.get(_basename(name)) if isinstance(prefixes, Mapping) else given.get(i)
+        spaces.append(sanitize_identifier(prefix or _stem(name)))
+        wanted += [(i, sanitize_identifier(f"{spaces[i]}_{c}")) for c in sanitize_columns(category_columns(frame))]
+    named = list(zip((i for i, _ in wanted), allot(n for _, n in wanted)))
+    order = [n for _, n in sorted(named)]
+    place = {n: at for at, n in enumerate(order)}
+    tables = [
+        _to_vocab(wordlist_entries(frame, [n for j, n in named if j == i]), spaces[i], place)
+        for i, (frame, _) in enumerate(wordlists)
+    ]
+    if not tables:
+        some = vocabulary_from_entries(SparkSession.active(), {"none": ["none"]})
+        return Vocabulary(some.table.limit(0), [])
+    return Vocabulary(reduce(DataFrame.unionByName, tables), order)
 
 
 def _basename(name: str) -> str:
@@ -379,24 +369,18 @@ def vocabulary_head_tail(vocab: Vocabulary) -> DataFrame:
 def needed_orders(vocab_rows: LiteralVocabulary | None, max_n: int, table: DataFrame | None = None) -> list[int]:
     """n-gram orders any entry can match (VOC-14). Pure pruning: the result equals
     counting with every order ``2..max_n``."""
-    orders: set[int] = set()
     if vocab_rows is not None:
-        for cat in vocab_rows.categories:
-            for key in vocab_rows.keys(cat, True, "exact"):
-                n = len(key.split())
-                if 2 <= n <= max_n:
-                    orders.add(n)
-            for key in vocab_rows.keys(cat, True, "prefix"):
-                n = len(key.split())
-                if 1 <= n <= max_n:
-                    orders.update(range(max(2, n), max_n + 1))
-        return sorted(orders)
-    assert table is not None
-    rows = table.filter(F.col("is_multi")).groupBy("match_kind", "n_words").count().collect()
-    for r in rows:
-        n = int(r["n_words"])
-        if r["match_kind"] == "exact" and 2 <= n <= max_n:
-            orders.add(n)
-        if r["match_kind"] == "prefix" and 1 <= n <= max_n:
-            orders.update(range(max(2, n), max_n + 1))
-    return sorted(orders)
+        kinds = {
+            (kind, len(entry.split()))
+            for kind in ("exact", "prefix")
+            for category in vocab_rows.categories
+            for entry in vocab_rows.keys(category, True, kind)
+        }
+    else:
+        assert table is not None
+        found = table.filter(F.col("is_multi")).select("match_kind", "n_words").distinct().collect()
+        kinds = {(r["match_kind"], int(r["n_words"])) for r in found}
+    # an exact entry needs its own order; the shortest prefix needs every order from its own on
+    exact = {n for kind, n in kinds if kind == "exact"}
+    shortest = min((n for kind, n in kinds if kind == "prefix" and n >= 1), default=max_n + 1)
+    return [n for n in range(2, max_n + 1) if n in exact or n >= shortest]
