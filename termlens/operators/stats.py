@@ -77,8 +77,8 @@ def pearson(df: DataFrame, col1: str, col2: str) -> DataFrame:
     )
     r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))))
     # checked in the reference's order: too few pairs first, then constant columns
-    r = _fail((F.col("vx") == 0) | (F.col("vy") == 0), f"all values of {col1!r} or of {col2!r} are equal, so their correlation is undefined", r)
-    r = _fail(F.col("n") < 2, f"fewer than 2 rows hold both {col1!r} and {col2!r}", r)
+    r = _fail((F.col("vx") == 0) | (F.col("vy") == 0), f"correlation undefined: there is no variance in {col1!r} or in {col2!r}", r)
+    r = _fail(F.col("n") < 2, f"correlation undefined: {col1!r} and {col2!r} share too few rows (at least 2)", r)
     res = agg.select(F.col("n").cast("bigint").alias("n"), r.alias("coefficient"))
     return res.select(
         F.lit(col1).alias("col1"),
@@ -236,7 +236,7 @@ def anova_table(df: DataFrame, cat_var: str, num_var: str) -> DataFrame:
         F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
     )
     s = s.select(
-        _fail(F.col("k") < 2, f"column {cat_var!r} has one group or none with a usable {num_var!r}; nothing to compare", F.col("ssb")).alias("ssb"),
+        _fail(F.col("k") < 2, f"nothing to compare: {num_var!r} must have values in at least 2 groups of {cat_var!r}", F.col("ssb")).alias("ssb"),
         "ssw",
         (F.col("k") - 1).cast("double").alias("df_b"),
         (F.col("n_total") - F.col("k")).cast("double").alias("df_w"),
