@@ -53,7 +53,7 @@ def text_or_empty(c: Column | str, data_type: T.DataType | None = None) -> Colum
 def text_column_of(df: DataFrame, name: str) -> Column:
     """``text_or_empty`` with the column's own type taken from the schema."""
     field = next(f for f in df.schema.fields if f.name.lower() == name.lower())
-    return text_or_empty(F.col(name), field.dataType)
+    return text_or_empty(F.col(f"`{field.name}`"), field.dataType)
 
 
 def tokenize(c: Column | str) -> Column:

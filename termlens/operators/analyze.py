@@ -155,8 +155,12 @@ def analyze(
     """Original columns (if ``keep_columns``) + ``n_tokens, n_types`` + per category
     ``{c}_word_count, {c}_word_perc, {c}_detected_words``.
 
-    ``plan``: ``"auto"`` (row-local below ``literal_threshold`` entries, else join),
-    ``"rowlocal"`` or ``"join"``.  The join plan needs ``key_col`` (a unique row key).
+    ``plan``: ``"auto"`` (row-local up to ``literal_threshold`` entries, else join),
+    ``"rowlocal"`` or ``"join"``.  Both give the same rows for the same input: one per input row,
+    whatever its key.  ``key_col`` is the column kept when ``keep_columns`` is false; it may hold
+    nulls and repeated values.  The row-local plan embeds the entries as literals, so asking for it
+    by name with more than ``literal_threshold`` entries is an error, as is a stream with such a
+    dictionary (see :func:`termlens.streaming.incremental.analyze_arrivals`).
     """
     if text_col not in df.columns:
         raise NoTextColumnError(f"text column {text_col!r} not in {df.columns}")
@@ -164,12 +168,15 @@ def analyze(
         raise AnalysisConfigError(f"convention must be one of {CONVENTIONS}")
     lv = None
     if plan in ("auto", "rowlocal"):
-        lv = collect_literal_vocabulary(vocab, literal_threshold if plan == "auto" else 10**9)
+        lv = collect_literal_vocabulary(vocab, literal_threshold)
     if lv is None:
         from termlens.operators.matches import analyze_by_join
 
-        if key_col is None:
-            raise AnalysisConfigError("the join plan needs a unique key column (key_col)")
+        if plan == "rowlocal" or df.isStreaming:
+            raise AnalysisConfigError(
+                f"the row-local plan takes at most {literal_threshold} entries; "
+                "use plan='join', or analyze_arrivals for a stream"
+            )
         return analyze_by_join(df, text_col, vocab, key_col, max_n, convention, with_detected, keep_columns)
     return _analyze_rowlocal(df, text_col, lv, max_n, convention, with_detected, keep_columns, key_col)
 

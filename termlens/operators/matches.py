@@ -1,22 +1,23 @@
-"""Join plan (shape B): long-form term matches via equi-joins, for big vocabularies.
-
-1. Per row (no shuffle): tokens and the needed n-grams are run-length encoded
-   into distinct ``(term, occ)`` pairs, then exploded -> the *term bag*.
-   Duplicates collapse before anything moves, so a document ships each
-   distinct term once.
-2. Exact entries: equi-join on ``(is_multi, term = key)``.
-3. Prefix entries: the theta join ``startswith(term, key)`` is rewritten as an
-   equi-join: every term is probed once per distinct prefix length ``L`` in the
-   vocabulary with ``substring(term, 1, L)``, joined on ``(is_multi, L, key)``.
-4. The vocabulary side is broadcast only when its measured size is under
-   ``broadcast_limit_bytes``; otherwise both sides are shuffled, with a
-   deterministic salt on the term side (hash of row key) and the vocabulary
-   replicated per salt, so a hot term ("the") is spread over ``salt_buckets``
-   tasks instead of one.
-
-The result has one row per (row, entry) hit: ``key, category, term, occ,
-weight, match_kind``.  ``occ`` is the term's occurrences in the row and
-``weight`` the entry's multiplicity.
+"""Join plan (shape B): dictionary matches via equi-joins, for dictionaries of any size.
+
+1. The input is staged once: every row gets an internal id and, next to its columns, its token
+   counts and its *term bag* (distinct terms with occurrences).  The staged table is written under
+   the shared checkpoint folder, so ids never change when a task runs again, and a user's key
+   column is needed nowhere: null and repeated keys are ordinary values.
+2. The distinct terms of the corpus (counted with map-side combine) are matched to the dictionary,
+   each once, by equi-joins only: exact entries on the term; prefixes on ``substring(term, 1, L)``
+   for the lengths ``L`` that the dictionary holds for the term's first character; one-word
+   prefixes of phrases ("new *") on the distinct *first tokens* of the n-grams; longer ones for
+   the lengths held for their first token.
+3. The bag meets the matched terms in one equi-join.  Matched terms are broadcast only when their
+   measured size is under ``broadcast_limit_bytes``; otherwise the frequent ones (more than one
+   shuffle partition's share of the bag, hence at most as many as there are partitions) are
+   broadcast and only the rest of the bag is shuffled, so no hot term fills a task.
+4. Hits are summed per (row, category) and attached to the staged rows by the internal id.  Columns
+   that the caller drops are pruned from the staged scan and never move.
+
+:func:`term_matches` gives one row per (row, entry) hit: ``key, category, term, occ, weight,
+match_kind``.  ``occ`` is the term's occurrences in the row and ``weight`` the entry's multiplicity.
 """
 
 from __future__ import annotations
@@ -24,48 +25,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termlens.errors import AnalysisConfigError
 from termlens.functions.text import all_ngrams, explode_rows, ngrams, text_column_of, tokenize, with_run_length, word_share
 from termlens.operators.vocabulary import Vocabulary, checked_categories, needed_orders
 from termlens.plans.strategy import balance
+from termlens.session import stage_table
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
-SALT_BUCKETS = 16
-MAX_PREFIX_LENGTHS = 256
 
+# The first-token test inside the row is built from literals; above these counts n-grams are
+# built at every position.  The rows of the result are the same either way.
+PRUNE_LIMIT = 50_000
+MAX_PRUNE_PREFIX_LENGTHS = 4
+
+ROW_ID, ROW_KEY, BAG, TOKENS, TYPES = "__tl_row", "__tl_key", "__tl_bag", "__tl_n_tokens", "__tl_n_types"
 
-def term_bag(df: DataFrame, key_col: str, text_col: str, orders: list[int], start_filters: dict | None = None) -> DataFrame:
-    """``(key, is_multi, term, occ)`` with each distinct unigram / n-gram once per row.
+
+def stage_rows(df: DataFrame, text_col: str, orders: list[int], columns: list[str], start_filters: dict | None = None) -> DataFrame:
+    """``columns`` + internal row id, token counts and the term bag
+    ``array<struct<is_multi, term, occ>>``, written once and read back.
 
     ``start_filters`` (order -> first-token predicate) prunes n-grams that no
     multi-word entry can match; without it every n-gram of every order is kept.
     """
     df = balance(df)
-    tk = tokenize(text_column_of(df, text_col))
-    base = df.select(F.col(f"`{key_col}`").alias("__key"), tk.alias("__tk"))
-    uni = with_run_length(base, F.col("__tk"), "__u", ["__key", "__tk"])
+    kept = [F.col(f"`{c}`") for c in columns]
+    tk = F.col("__tk")
+    base = df.select(*kept, F.monotonically_increasing_id().alias(ROW_ID), tokenize(text_column_of(df, text_col)).alias("__tk"))
+    counts = [ROW_ID, TOKENS, TYPES]
+    out = with_run_length(base, tk, "__u", [*columns, ROW_ID, "__tk"]).select(
+        *kept, ROW_ID, "__tk", "__u",
+        F.size(tk).cast("bigint").alias(TOKENS),
+        F.size("__u").cast("bigint").alias(TYPES),
+    )
+
+    def pairs(name: str, multi: bool):
+        return F.transform(F.col(name), lambda p: F.struct(F.lit(multi).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ")))
+
+    bag = pairs("__u", False)
     if orders:
         if start_filters:
-            parts = [ngrams(F.col("__tk"), n, start_filters.get(n)) for n in orders]
+            parts = [ngrams(tk, n, start_filters.get(n)) for n in orders]
             grams = parts[0] if len(parts) == 1 else F.concat(*parts)
         else:
-            grams = all_ngrams(F.col("__tk"), orders)
-        both = with_run_length(uni, grams, "__m", ["__key", "__u"])
-        arr = F.concat(
-            F.transform(F.col("__u"), lambda p: F.struct(F.lit(False).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ"))),
-            F.transform(F.col("__m"), lambda p: F.struct(F.lit(True).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ"))),
-        )
-        src = both
-    else:
-        arr = F.transform(F.col("__u"), lambda p: F.struct(F.lit(False).alias("is_multi"), p["term"].alias("term"), p["occ"].alias("occ")))
-        src = uni
-    return explode_rows(src, ["__key"], arr, "__p").select(
-        F.col("__key").alias(key_col), "__p.is_multi", "__p.term", "__p.occ"
-    )
-
-
-PRUNE_LIMIT = 50_000
-MAX_PRUNE_PREFIX_LENGTHS = 4
+            grams = all_ngrams(tk, orders)
+        out = with_run_length(out, grams, "__m", [*columns, *counts, "__u"])
+        bag = F.concat(bag, pairs("__m", True))
+    return stage_table(out.select(*kept, *counts, bag.alias(BAG)), "bag")
 
 
 def _multi_start_filters(v: DataFrame, orders: list[int]) -> dict | None:
@@ -95,18 +100,75 @@ def estimated_bytes(small: DataFrame, string_cols: list[str]) -> int:
     """Measured size bound of a small side: rows x fixed overhead + string bytes (one aggregate)."""
     row = small.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.coalesce(F.sum(F.length(F.col(c))), F.lit(0)).alias(f"l{i}") for i, c in enumerate(string_cols)],
+        *[F.coalesce(F.sum(F.octet_length(F.col(c))), F.lit(0)).alias(f"l{i}") for i, c in enumerate(string_cols)],
     ).collect()[0]
     return int(row["n"]) * 64 + sum(int(row[f"l{i}"]) for i in range(len(string_cols)))
 
 
-def _join_vocab(big: DataFrame, small: DataFrame, keys: list[str], key_col: str, fits: bool, salt_buckets: int) -> DataFrame:
-    if fits:
-        return big.join(F.broadcast(small), keys, "inner")
-    salt = F.pmod(F.xxhash64(F.col(key_col)), F.lit(salt_buckets)).cast("int")
-    big_s = big.withColumn("__salt", salt)
-    small_s = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    return big_s.join(small_s, keys + ["__salt"], "inner").drop("__salt")
+def _first_token(c):
+    return F.substring_index(c, " ", 1)
+
+
+def _with_prefixes(values: DataFrame, value: str, entries: DataFrame, group) -> DataFrame:
+    """``values`` joined to the prefix ``entries`` that start them, by equi-joins only.
+
+    ``group`` maps a value or key to what both must share in full (first character, first token):
+    the lengths of a group's keys say which prefixes of a value to look up.
+    """
+    lengths = entries.groupBy(group(F.col("key")).alias("__g")).agg(F.collect_set("key_len").alias("__ls"))
+    probes = explode_rows(
+        values.withColumn("__g", group(F.col(value))).join(lengths, "__g"), values.columns, F.col("__ls"), "__l"
+    ).filter(F.col("__l") <= F.length(value))
+    probes = probes.withColumn("key", F.expr(f"substring(`{value}`, 1, __l)")).drop("__l")
+    return probes.join(entries.select("key", "category", "weight", "match_kind"), "key").drop("key")
+
+
+def match_terms(terms: DataFrame, v: DataFrame) -> DataFrame:
+    """Distinct corpus terms ``(is_multi, term, n)`` -> one row per matching entry:
+    ``is_multi, term, n, category, weight, match_kind``."""
+    names = ["is_multi", "term", "n", "category", "weight", "match_kind"]
+    exact = terms.join(
+        v.filter(F.col("match_kind") == "exact").select("is_multi", F.col("key").alias("term"), "category", "weight", "match_kind"),
+        ["is_multi", "term"],
+    )
+    prefix = v.filter(F.col("match_kind") == "prefix")
+    words = _with_prefixes(terms.filter(~F.col("is_multi")), "term", prefix.filter(~F.col("is_multi")), lambda c: F.substring(c, 1, 1))
+    grams = terms.filter(F.col("is_multi"))
+    phrases = prefix.filter(F.col("is_multi"))
+    # a one-word prefix has no space, so it starts the n-gram exactly when it starts the first token
+    firsts = grams.select(_first_token(F.col("term")).alias("__first")).distinct()
+    openers = _with_prefixes(firsts, "__first", phrases.filter(F.col("n_words") == 1), lambda c: F.substring(c, 1, 1))
+    opened = grams.withColumn("__first", _first_token(F.col("term"))).join(openers, "__first")
+    longer = _with_prefixes(grams, "term", phrases.filter(F.col("n_words") > 1), _first_token)
+    return exact.select(names).unionByName(words.select(names)).unionByName(opened.select(names)).unionByName(longer.select(names))
+
+
+def _occurrences(staged: DataFrame, keep: list[str]) -> DataFrame:
+    """The staged bags as rows: ``keep`` + ``is_multi, term, occ``."""
+    cols = [F.col(f"`{c}`") for c in keep]
+    return explode_rows(staged, cols, F.col(BAG), "__p").select(*cols, "__p.is_multi", "__p.term", "__p.occ")
+
+
+def _matched(staged: DataFrame, v: DataFrame) -> DataFrame:
+    terms = _occurrences(staged, []).groupBy("is_multi", "term").agg(F.count(F.lit(1)).alias("n"))
+    return match_terms(terms, v)
+
+
+def _hits(staged: DataFrame, matched: DataFrame, keep: list[str], broadcast_limit_bytes: int) -> DataFrame:
+    """The bag rows with the matched terms; ``matched`` is a written table."""
+    keys = ["is_multi", "term"]
+    bag = _occurrences(staged, keep)
+    side = matched.drop("n")
+    if estimated_bytes(matched, ["term", "category"]) <= broadcast_limit_bytes:
+        return bag.join(F.broadcast(side), keys)
+    parts = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = staged.agg(F.sum(F.size(BAG)).alias("n")).collect()[0]["n"] or 0
+    is_hot = F.col("n") > F.lit(total / parts)  # at most ``parts`` terms can be
+    hot = F.broadcast(matched.filter(is_hot).drop("n"))
+    hot_terms = F.broadcast(matched.filter(is_hot).select(keys).distinct())
+    frequent = bag.join(hot, keys)
+    others = bag.join(hot_terms, keys, "left_anti").join(side, keys)
+    return frequent.unionByName(others)
 
 
 def term_matches(
@@ -116,99 +178,62 @@ def term_matches(
     vocab: Vocabulary,
     max_n: int = 3,
     broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
-    salt_buckets: int = SALT_BUCKETS,
 ) -> DataFrame:
-    """Long-form hits ``(key, category, term, occ, weight, match_kind)``.
+    """Long-form hits ``(key, category, term, occ, weight, match_kind)``, per row and entry.
 
-    One pass over the term bag: each distinct (row, term) gets an exact probe
-    plus one prefix probe per distinct prefix length of its kind (single-word
-    prefixes for tokens, multi-word prefixes for n-grams, only lengths up to
-    the term's length); one join on ``(is_multi, match_kind, key_len, key)``.
+    ``key_col`` is only carried along: rows with null or equal keys each give their own hits.
     """
-    # the vocabulary is read by several small planning jobs and by the join:
-    # keep it cached (it is dictionary-sized)
-    v = vocab.table.persist()
+    v = vocab.staged()
     orders = needed_orders(None, max_n, v)
-    bag = term_bag(df, key_col, text_col, orders, _multi_start_filters(v, orders))
-
-    rows = (
-        v.filter(F.col("match_kind") == "prefix").select("is_multi", "key_len").distinct().limit(2 * MAX_PREFIX_LENGTHS + 1).collect()
-    )
-    lens = {False: sorted(int(r["key_len"]) for r in rows if not r["is_multi"]), True: sorted(int(r["key_len"]) for r in rows if r["is_multi"])}
-    if max(len(lens[False]), len(lens[True])) > MAX_PREFIX_LENGTHS:
-        raise AnalysisConfigError(f"more than {MAX_PREFIX_LENGTHS} distinct prefix lengths")
-
-    tlen = F.length("term")
-
-    def prefix_probe(L: int, multi: bool):
-        return F.when(
-            (F.col("is_multi") == F.lit(multi)) & (tlen >= L),
-            F.struct(F.lit("prefix").alias("match_kind"), F.lit(L).alias("key_len"), F.substring("term", 1, L).alias("key")),
-        )
-
-    probe_list = [F.struct(F.lit("exact").alias("match_kind"), tlen.cast("int").alias("key_len"), F.col("term").alias("key"))]
-    probe_list += [prefix_probe(L, False) for L in lens[False]] + [prefix_probe(L, True) for L in lens[True]]
-    probes = explode_rows(bag, [key_col, "is_multi", "term", "occ"], F.filter(F.array(*probe_list), lambda p: p.isNotNull()), "__pr").select(
-        key_col, "is_multi", "term", "occ", "__pr.match_kind", "__pr.key_len", "__pr.key"
+    staged = stage_rows(df, text_col, orders, [key_col], _multi_start_filters(v, orders)).withColumnRenamed(key_col, ROW_KEY)
+    matched = stage_table(_matched(staged, v), "matched")
+    return _hits(staged, matched, [ROW_KEY], broadcast_limit_bytes).select(
+        F.col(ROW_KEY).alias(key_col), "category", "term", "occ", "weight", "match_kind"
     )
-    vside = v.select("is_multi", "match_kind", "key_len", "key", "category", "weight")
-    fits = estimated_bytes(v, ["key", "category"]) <= broadcast_limit_bytes
-    hits = _join_vocab(probes, vside, ["is_multi", "match_kind", "key_len", "key"], key_col, fits, salt_buckets)
-    return hits.select(key_col, "category", "term", "occ", "weight", "match_kind")
 
 
 def analyze_by_join(
     df: DataFrame,
     text_col: str,
     vocab: Vocabulary,
-    key_col: str,
+    key_col: str | None = None,
     max_n: int = 3,
     convention: str = "tokens",
     with_detected: bool = True,
     keep_columns: bool = True,
-    shuffle_partitions: int | None = None,
+    broadcast_limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Same output as the row-local plan, built from :func:`term_matches`.
+    """Same rows as the row-local plan, from one staged pass over the texts.
 
-    Hits are hash-partitioned by the row key once; the three aggregations that
-    follow (per term, per category, per row) all reuse that partitioning.  A
-    row's hits are bounded by its own length, so no group is unbounded.
+    A row's hits are bounded by its own length, so no group is unbounded.
     """
     from termlens.operators.analyze import COUNT_SUFFIX, DETECTED_SUFFIX, N_TOKENS, N_TYPES, PERC_SUFFIX, _output_names
 
     # declared categories keep their columns even without a usable entry
     cats = list(vocab.categories) or checked_categories(vocab.table)
-    hits = term_matches(df, key_col, text_col, vocab, max_n)
-    hits = hits.repartition(shuffle_partitions, key_col) if shuffle_partitions else hits.repartition(key_col)
-    is_exact = F.col("match_kind") == "exact"
-    if convention == "tokens":
-        contrib = F.col("occ") * F.col("weight")
-    else:  # legacy: an exact entry counts the term once, a prefix entry its occurrences
-        contrib = F.when(is_exact, F.col("weight")).otherwise(F.col("occ") * F.col("weight"))
-    aggs = [F.sum(contrib).cast("bigint").alias("cnt")]
+    originals = list(df.columns) if keep_columns else ([key_col] if key_col else [])
+    v = vocab.staged()
+    orders = needed_orders(None, max_n, v)
+    staged = stage_rows(df, text_col, orders, originals, _multi_start_filters(v, orders))
+    amount = lambda kind: F.coalesce(F.sum(F.when(F.col("match_kind") == kind, F.col("weight"))), F.lit(0)).cast("bigint")
+    per_term = _matched(staged, v).groupBy("is_multi", "term", "n", "category").agg(amount("exact").alias("e"), amount("prefix").alias("m"))
+    hits = _hits(staged, stage_table(per_term, "matched"), [ROW_ID], broadcast_limit_bytes)
+    # legacy: an exact entry counts the term once, a prefix entry its occurrences
+    exact = F.col("occ") * F.col("e") if convention == "tokens" else F.col("e")
+    aggs = [F.sum(exact + F.col("occ") * F.col("m")).cast("bigint").alias("cnt")]
     if with_detected:
-        # the same term hit by several entries repeats an identical (term, occ): the set dedupes it
-        aggs.append(F.map_from_entries(F.array_sort(F.collect_set(F.struct("term", "occ")))).alias("det"))
+        aggs.append(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "occ")))).alias("det"))
     else:
         aggs.append(F.lit(None).cast("map<string,bigint>").alias("det"))
-    per_cat = hits.groupBy(key_col, "category").agg(*aggs)
-    per_row = per_cat.groupBy(key_col).agg(
-        F.map_from_entries(F.collect_list(F.struct("category", F.struct("cnt", "det")))).alias("__res")
+    per_row = (
+        hits.groupBy(ROW_ID, "category").agg(*aggs)
+        .groupBy(ROW_ID).agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("cnt", "det")))).alias("__res"))
     )
-    originals = list(df.columns) if keep_columns else [key_col]
-    if key_col not in originals:
-        originals = [key_col] + originals
     names = _output_names(originals, cats)
-    tokens = balance(df).select(*[F.col(f"`{c}`") for c in originals], tokenize(text_column_of(df, text_col)).alias("__tk"))
-    docs = tokens.select(
-        *[F.col(f"`{c}`") for c in originals],
-        F.size("__tk").cast("bigint").alias("__n_tokens"),
-        F.size(F.array_distinct("__tk")).cast("bigint").alias("__n_types"),
-    )
-    joined = docs.join(per_row, key_col, "left")
-    n_tok = F.col("__n_tokens")
+    joined = staged.drop(BAG).join(per_row, ROW_ID, "left")
+    n_tok = F.col(TOKENS)
     out = [F.col(f"`{c}`") for c in originals]
-    out += [n_tok.alias(names[N_TOKENS]), F.col("__n_types").alias(names[N_TYPES])]
+    out += [n_tok.alias(names[N_TOKENS]), F.col(TYPES).alias(names[N_TYPES])]
     empty = F.create_map().cast("map<string,bigint>")
     for c in cats:
         r = F.col("__res")[F.lit(c)]

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens.errors import (
-    AnalysisConfigError,
     MissingDicTermColumnError,
     NoCategoryColumnsError,
     UnknownCategoryError,
 )
 from termlens.functions.naming import allot, sanitize_columns, sanitize_identifier
+from termlens.session import stage_table
 
 # The term column is named "DicTerm"; a cell is active when it
 # equals "X" after trimming, case-insensitively; a trailing "*" marks a prefix.
@@ -40,9 +40,6 @@ DICTERM = "DicTerm"
 ACTIVE_CELL = "X"
 WILDCARD = "*"
 
-# Upper bound on categories (the wide output has 3 columns per category).
-MAX_CATEGORIES = 5000
-
 VOCAB_SCHEMA = T.StructType(
     [
         T.StructField("namespace", T.StringType()),
@@ -58,13 +55,16 @@ VOCAB_SCHEMA = T.StructType(
 )
 
 
+# White space as Python's str.strip() and str.split() take it, also outside ASCII.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def _strip(c):
-    # Python str.strip(): all leading/trailing whitespace, not only blanks.
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WHITE}|{WHITE}$", "")
 
 
 def _n_words(c):
-    return F.size(F.split(_strip(c), r"\s+"))
+    return F.size(F.split(_strip(c), WHITE))
 
 
 def category_columns(wordlist: DataFrame) -> list[str]:
@@ -145,6 +145,12 @@ class Vocabulary:
     def n_categories(self) -> int:
         return len(self.categories)
 
+    def staged(self) -> DataFrame:
+        """The table written once under the shared checkpoint folder: several small jobs read it."""
+        if "_staged" not in self.__dict__:
+            self.__dict__["_staged"] = stage_table(self.table, "vocabulary")
+        return self.__dict__["_staged"]
+
     def terms_for(self, category: str) -> DataFrame:
         if category not in self.categories:
             raise UnknownCategoryError(f"unknown category {category!r}; known: {self.categories}")
@@ -285,13 +291,13 @@ def collect_literal_vocabulary(vocab: Vocabulary, max_entries: int) -> LiteralVo
     return cache[max_entries]
 
 
-def checked_categories(vocab_table: DataFrame, limit: int = MAX_CATEGORIES) -> list[str]:
-    """Ordered distinct categories of a vocabulary table (first position wins), bounded."""
-    rows = (
-        vocab_table.groupBy("category").agg(F.min("category_pos").alias("p")).orderBy("p", "category").limit(limit + 1).collect()
-    )
-    if len(rows) > limit:
-        raise AnalysisConfigError(f"more than {limit} categories; the wide output would be unusable")
+def checked_categories(vocab_table: DataFrame) -> list[str]:
+    """Ordered distinct categories of a vocabulary table (first position wins).
+
+    Only names reach the driver, as the wide output has columns named after them; with very many
+    categories prefer the long rows of :func:`termlens.operators.matches.term_matches`.
+    """
+    rows = vocab_table.groupBy("category").agg(F.min("category_pos").alias("p")).orderBy("p", "category").collect()
     return [r["category"] for r in rows]
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "termlens") -> SparkSession:
@@ -59,3 +60,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         )
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
+
+
+def stage_table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once under the shared checkpoint folder and read it back (columnar, compressed;
+    a lost executor costs nothing, and what was written never changes when a task runs again)."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/staged-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

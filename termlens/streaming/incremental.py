@@ -37,13 +37,31 @@ def read_document_stream(
 
 
 def analyze_stream(stream: DataFrame, text_col: str, vocab: Vocabulary, max_n: int = DEFAULT_MAX_N, convention: str = "tokens", enhanced: bool = True) -> DataFrame:
-    """The enhanced (or raw analysis) rows of a streaming DataFrame; row-local plan only."""
+    """The enhanced (or raw analysis) rows of a streaming DataFrame; row-local plan only
+    (for more entries than it takes, :func:`analyze_arrivals`)."""
     if not stream.isStreaming:
         raise ValueError("analyze_stream expects a streaming DataFrame")
     out = analyze(stream, text_col, vocab, max_n=max_n, convention=convention, plan="rowlocal")
     return finalize_enhanced(out, len(stream.columns), legacy=(convention == "types")) if enhanced else out
 
 
+def analyze_arrivals(
+    stream: DataFrame, text_col: str, vocab: Vocabulary, path: str, checkpoint: str, available_now: bool = True, **kw
+) -> StreamingQuery:
+    """Analyse arriving documents against a dictionary of any size, one batch analysis per micro-batch.
+
+    Each batch goes to its own folder ``path/batch=<id>``, written over when a batch is run again, so
+    a restart repeats no row.  ``kw`` goes to :func:`termlens.operators.analyze.analyze`.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        analyze(batch, text_col, vocab, **kw).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+    w = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def write_incremental(result: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append each micro-batch to Parquet at ``path`` (checkpointed, exactly-once)."""
     w = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")

@@ -110,20 +110,48 @@ def test_result_independent_of_partitioning(spark):
     assert sorted(map(_norm, a)) == sorted(map(_norm, b))
 
 
-def test_salted_join_equals_broadcast(spark):
-    """The over-size path (salted shuffle join) returns the same hits as the broadcast path."""
+def test_shuffle_join_equals_broadcast(spark):
+    """The over-size path (frequent terms broadcast, the rest shuffled) returns the same hits."""
     from termlens.operators.matches import term_matches
     from termlens.plans.catalog import TEST_WORDLIST, table
 
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     v = vocabulary_from_entries(spark, TEST_WORDLIST)
     a = term_matches(docs, "doc_id", "text", v)
-    b = term_matches(docs, "doc_id", "text", v, broadcast_limit_bytes=0, salt_buckets=5)
-    assert "__salt" in b._jdf.queryExecution().optimizedPlan().toString()
-    assert "__salt" not in a._jdf.queryExecution().optimizedPlan().toString()
+    b = term_matches(docs, "doc_id", "text", v, broadcast_limit_bytes=0)
+    assert "LeftAnti" in b._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in a._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_plans_agree_on_null_and_repeated_keys(spark):
+    rows = [(1, "happy"), (1, "sad sad"), (None, "happy happy new york"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "`doc id` int, `my.text` string")
+    v = vocabulary_from_entries(spark, {"Affect": ["happy", "sad", "sa*", "happ*"], "Place": ["new york", "new *", "ne*"]})
+    for keep in (True, False):
+        got = [
+            sorted(map(_norm, analyze(df, "my.text", v, plan=plan, key_col="doc id", keep_columns=keep).collect()))
+            for plan in ("rowlocal", "join")
+        ]
+        assert got[0] == got[1]
+        assert len(got[0]) == len(rows)
+    assert analyze(df, "my.text", v, plan="join").columns == analyze(df, "my.text", v).columns
+
+
+def test_prefixes_of_every_shape_agree(spark):
+    df = spark.createDataFrame(
+        [(1, "newer york state of mind"), (2, "New York. new yorkers, of the people"), (3, "o of off 'tis état états-unis")],
+        "id int, text string",
+    )
+    v = vocabulary_from_entries(
+        spark, {"a": ["n*", "new*", "newer*", "new *", "new york*", "of the *", "o *", "ét*"], "b": ["new *", "new *", "york s*", "of mind*"]}
+    )
+    for conv in ("tokens", "types"):
+        a = analyze(df, "text", v, plan="rowlocal", convention=conv)
+        b = analyze(df, "text", v, plan="join", convention=conv)
+        assert sorted(map(_norm, a.collect())) == sorted(map(_norm, b.collect()))
+
+
 def test_auto_plan_switches_above_literal_threshold(spark):
     from termlens.plans.catalog import TEST_WORDLIST, table
 
