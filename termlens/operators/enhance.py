@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,10 +97,33 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int | N
     return out
 
 
+def page_after(df: DataFrame, order_by: Sequence[str], last: Sequence | None, limit: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """The next ``limit`` rows after the row whose key values are ``last`` (``None``: from the start).
+
+    Keyset paging: a filter that reaches the scan, and a top-k of ``limit`` rows however deep the
+    page lies.  Nulls come first in key order, as in :func:`page`; the key must identify a row.
+    """
+    if last is not None:
+        past, same = F.lit(False), F.lit(True)
+        for name, value in zip(order_by, last, strict=True):
+            c = F.col(f"`{name}`")
+            past = past | (same & (c.isNotNull() if value is None else F.coalesce(c > F.lit(value), F.lit(False))))
+            same = same & c.eqNullSafe(F.lit(value))
+        df = df.filter(past)
+    return page(df, order_by, 0, limit, columns)
+
+
+def enhanced_page(
+    df: DataFrame, text_col: str, vocab: Vocabulary, order_by: Sequence[str], offset: int = 0, limit: int | None = None, **kw
+) -> DataFrame:
+    """A page of the enhanced dataset: the page is taken first and only its rows are analysed."""
+    return enhance(page(df, order_by, offset, limit), text_col, vocab, **kw)
+
+
 def to_json_records(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """SNK-4: one JSON object per row for a page (``value`` column), NaN as null."""
+    """SNK-4: one JSON object per row for a page (``value`` column); missing values and NaN as null."""
     p = nan_to_null(page(df, order_by, offset, limit, columns))
-    return p.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in p.columns])).alias("value"))
+    return p.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in p.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -124,7 +147,7 @@ def profile(df: DataFrame) -> DataFrame:
 
     One pass: all counts come from a single aggregate.
     """
-    spark = SparkSession.getActiveSession()
+    spark = df.sparkSession
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, f in enumerate(fields):

@@ -204,13 +204,13 @@ def group_statistics(df: DataFrame, cat_var: str, num_var: str, confidence: floa
         "sem",
         (F.col("mean") - half).alias("ci_lower"),
         (F.col("mean") + half).alias("ci_upper"),
-    )
+    ).orderBy("category")  # one row per group
 
 
 def mean_bars(df: DataFrame, cat_var: str, num_var: str) -> DataFrame:
-    """PLT-2 data: ``(category, mean, err_plus, err_minus)``, to be shown by mean ascending."""
+    """PLT-2 data: ``(category, mean, err_plus, err_minus)``, by mean ascending (ties by category)."""
     s = group_statistics(df, cat_var, num_var)
-    return s.select("category", "mean", (F.col("ci_upper") - F.col("mean")).alias("err_plus"), (F.col("mean") - F.col("ci_lower")).alias("err_minus"))
+    return s.select("category", "mean", (F.col("ci_upper") - F.col("mean")).alias("err_plus"), (F.col("mean") - F.col("ci_lower")).alias("err_minus")).orderBy("mean", "category")
 
 
 def anova_table(df: DataFrame, cat_var: str, num_var: str) -> DataFrame:
@@ -279,7 +279,7 @@ def tukey_hsd(df: DataFrame, cat_var: str, num_var: str, alpha: float = ALPHA, r
         rnd(F.col("lower")).alias("lower"),
         rnd(F.col("upper")).alias("upper"),
         (F.col("p_adj") < alpha).alias("reject"),
-    )
+    ).orderBy("group1", "group2")
 
 
 def pair_statistics(g: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -311,21 +311,7 @@ def pair_statistics(g: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def tukey_pair_statistics(df: DataFrame, cat_var: str, num_var: str) -> DataFrame:
-    """SQL-checkable part of Tukey HSD: ``(group1, group2, meandiff, se, q, df)``."""
-    g = _groups(df, cat_var, num_var)
-    tot = g.agg(
-        F.sum("n").alias("n_total"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"),
-    ).select((F.col("n_total") - F.col("k")).cast("double").alias("df"), F.try_divide(F.col("ssw"), (F.col("n_total") - F.col("k")).cast("double")).alias("mse"))
-    a = g.select(F.col("__g").alias("g1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
-    b = g.select(F.col("__g").alias("g2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
-    pairs = _attach(a.join(b, F.col("g1") < F.col("g2")), tot)
-    se = F.sqrt(F.col("mse") / 2.0 * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
-    return pairs.select(
-        F.col("g1").cast("string").alias("group1"),
-        F.col("g2").cast("string").alias("group2"),
-        (F.col("m2") - F.col("m1")).alias("meandiff"),
-        se.alias("se"),
-        F.try_divide(F.abs(F.col("m2") - F.col("m1")), se).alias("q"),
-        "df",
+    """The part of Tukey HSD without its distribution: ``(group1, group2, meandiff, se, q, df)``."""
+    return pair_statistics(_groups(df, cat_var, num_var)).select(
+        F.col("g1").cast("string").alias("group1"), F.col("g2").cast("string").alias("group2"), "meandiff", "se", "q", "df"
     )

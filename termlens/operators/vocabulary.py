@@ -139,6 +139,7 @@ class Vocabulary:
 
     table: DataFrame
     categories: list[str] = field(default_factory=list)
+    namespaces: dict[str, str] = field(default_factory=dict)  # of each category, also of one without entries
 
     # -- accessors (VOC-13) -------------------------------------------------
     @property
@@ -164,7 +165,7 @@ class Vocabulary:
         keep = [c for c in self.categories if c in set(names)]
         if not keep:
             raise UnknownCategoryError(f"none of the categories {list(names)} exists; known: {self.categories}")
-        return Vocabulary(self.table.filter(F.col("category").isin(keep)), keep)
+        return Vocabulary(self.table.filter(F.col("category").isin(keep)), keep, self.namespaces)
 
     def union(self, other: Vocabulary) -> Vocabulary:
         """Bag union; a category present in both adds up (same name = same column)."""
@@ -173,7 +174,12 @@ class Vocabulary:
         table = self.table.unionByName(other.table).withColumn(
             "category_pos", F.create_map(*[x for k, v in pos.items() for x in (F.lit(k), F.lit(v))])[F.col("category")]
         )
-        return Vocabulary(table, cats)
+        return Vocabulary(table, cats, {**other.namespaces, **self.namespaces})
+
+    def category_table(self) -> DataFrame:
+        """``(namespace, category, category_pos)`` of every category, with or without entries."""
+        rows = [(self.namespaces.get(c, ""), c, i) for i, c in enumerate(self.categories)]
+        return self.table.sparkSession.createDataFrame(rows, "namespace string, category string, category_pos int")
 
 
 def vocabulary_from_wordlist(wordlist: DataFrame, namespace: str | None = None, qualify: bool = False) -> Vocabulary:
@@ -190,7 +196,7 @@ def vocabulary_from_wordlist(wordlist: DataFrame, namespace: str | None = None,
         final = allot(final)
     entries = wordlist_entries(wordlist, final)
     ordered = sorted(final)
-    return Vocabulary(_to_vocab(entries, ns, {c: i for i, c in enumerate(ordered)}), ordered)
+    return Vocabulary(_to_vocab(entries, ns, {c: i for i, c in enumerate(ordered)}), ordered, dict.fromkeys(ordered, ns))
 
 
 def merge_wordlists(
@@ -222,7 +228,7 @@ def merge_wordlists(
     if not tables:
         some = vocabulary_from_entries(SparkSession.active(), {"none": ["none"]})
         return Vocabulary(some.table.limit(0), [])
-    return Vocabulary(reduce(DataFrame.unionByName, tables), order)
+    return Vocabulary(reduce(DataFrame.unionByName, tables), order, {n: spaces[i] for i, n in named})
 
 
 def _basename(name: str) -> str:
@@ -304,15 +310,28 @@ def checked_categories(vocab_table: DataFrame) -> list[str]:
 # --------------------------------------------------------------------------- #
 # Summaries
 # --------------------------------------------------------------------------- #
+def _bounded_lists(rows: DataFrame, order: list[str], sizes: dict[str, tuple[bool, int]]) -> DataFrame:
+    """Per category and per name in ``sizes``: the first (or, with True, last) n terms in ``order``,
+    as an ordered array.  Each is a top-k window with a per-partition group limit, so a huge category
+    is never sorted in one task."""
+    out = None
+    for name, (last, n) in sizes.items():
+        w = Window.partitionBy("category").orderBy(*[F.col(c).desc() if last else F.col(c).asc() for c in order])
+        top = rows.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= n)
+        items = F.array_sort(F.collect_list(F.struct(*order)))
+        one = top.groupBy("category").agg(F.transform(items, lambda x: x[order[-1]]).alias(name))
+        out = one if out is None else out.join(one, "category", "full")
+    return out
+
+
 def vocabulary_summary(vocab: Vocabulary, sample: int = 10) -> DataFrame:
-    """Per category: n_terms (prefix duplicates counted) and up to ``sample`` example terms (VOC-11).
+    """Per category, with or without entries: n_terms (prefix duplicates counted) and up to
+    ``sample`` example terms (VOC-11).
 
     Sample order: exact single sorted, exact multi sorted, then prefix single
     and prefix multi with ``*`` re-attached (sorted; a bag has no file order in Spark).
-    The sample is a per-category top-k (window limit), so no category's whole
-    term list is ever gathered in one task.
+    The vocabulary is staged once; a category without entries has 0 terms and an empty sample.
     """
-    t = vocab.table
     rank = (
         F.when((F.col("match_kind") == "exact") & ~F.col("is_multi"), 0)
         .when((F.col("match_kind") == "exact") & F.col("is_multi"), 1)
@@ -320,49 +339,30 @@ def vocabulary_summary(vocab: Vocabulary, sample: int = 10) -> DataFrame:
         .otherwise(3)
     )
     shown = F.when(F.col("match_kind") == "prefix", F.concat(F.col("key"), F.lit(WILDCARD))).otherwise(F.col("key"))
-    keyed = t.select("namespace", "category", "category_pos", "weight", rank.alias("r"), shown.alias("term"))
-    w = Window.partitionBy("namespace", "category").orderBy("r", "term")
-    samples = (
-        keyed.withColumn("i", F.row_number().over(w))
-        .filter(F.col("i") <= sample)
-        .groupBy("namespace", "category")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "term"))), lambda x: x["term"]), ", ").alias("sample_terms"))
+    t = vocab.staged().select("category", "weight", rank.alias("r"), shown.alias("term"))
+    totals = t.groupBy("category").agg(F.sum("weight").cast("bigint").alias("n"))
+    samples = _bounded_lists(t, ["r", "term"], {"some": (False, sample)})
+    return vocab.category_table().join(totals, "category", "left").join(samples, "category", "left").select(
+        "namespace",
+        "category",
+        "category_pos",
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_terms"),
+        F.coalesce(F.array_join("some", ", "), F.lit("")).alias("sample_terms"),
     )
-    totals = t.groupBy("namespace", "category", "category_pos").agg(F.sum("weight").cast("bigint").alias("n_terms"))
-    return totals.join(samples, ["namespace", "category"], "left").select("namespace", "category", "category_pos", "n_terms", "sample_terms")
 
 
 def vocabulary_head_tail(vocab: Vocabulary) -> DataFrame:
     """Legacy text summary per category (VOC-12): exact terms sorted (single, then multi);
-    all of them if at most 6, else first 3 + ``...`` + last 3; ``None`` if there are none.
-
-    Uses ``min_by``/``max_by``-style bounded aggregates (top-3 / bottom-3), so a
-    huge category never gathers all its terms in one task.
-    """
-    exact = vocab.table.filter(F.col("match_kind") == "exact").select(
-        "category", F.struct(F.col("is_multi").cast("int").alias("m"), F.col("key").alias("k")).alias("s")
-    )
-    agg = exact.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    # first 3 and last 3 as two single-rank top-k windows: each is planned with a
-    # per-partition group limit, so a huge category is never sorted in one task
-    w_asc = Window.partitionBy("category").orderBy(F.col("s").asc())
-    w_desc = Window.partitionBy("category").orderBy(F.col("s").desc())
-    first = exact.withColumn("r", F.row_number().over(w_asc)).filter(F.col("r") <= 3).select("category", "s")
-    last = exact.withColumn("r", F.row_number().over(w_desc)).filter(F.col("r") <= 3).select("category", "s")
-    edges = (
-        first.unionByName(last)
-        .distinct()
-        .groupBy("category")
-        .agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: F.struct(x["k"].alias("k"))).alias("e"))
-    )
-    allcats = vocab.table.select("category", "category_pos").distinct()
-    j = allcats.join(agg.select("category", "n"), "category", "left").join(edges, "category", "left")
+    all of them if at most 6, else first 3 + ``...`` + last 3; ``None`` if there are none."""
+    exact = vocab.staged().filter(F.col("match_kind") == "exact").select("category", F.col("is_multi").cast("int").alias("m"), "key")
+    counts = exact.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    edges = _bounded_lists(exact, ["m", "key"], {"head": (False, 6), "tail": (True, 3)})
+    j = vocab.category_table().join(counts, "category", "left").join(edges, "category", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
-    keys = F.transform(F.col("e"), lambda x: x["k"])
     words = (
         F.when(n == 0, F.lit("None"))
-        .when(n <= 6, F.array_join(keys, ", "))
-        .otherwise(F.concat(F.array_join(F.slice(keys, 1, 3), ", "), F.lit(", ... , "), F.array_join(F.slice(keys, -3, 3), ", ")))
+        .when(n <= 6, F.array_join("head", ", "))
+        .otherwise(F.concat(F.array_join(F.slice("head", 1, 3), ", "), F.lit(", ... , "), F.array_join("tail", ", ")))
     )
     return j.select(
         "category",

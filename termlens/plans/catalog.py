@@ -20,7 +20,7 @@ from termlens.functions.text import LEGACY_MAX_N, explode_rows, all_ngrams, form
 from termlens.operators import stats
 from termlens.operators.analyze import analyze, analysis_frame
 from termlens.operators.detected import corpus_term_frequencies, detected_long, top_terms, top_terms_per_category
-from termlens.operators.enhance import drop_text, enhance, page, profile
+from termlens.operators.enhance import drop_text, enhance, enhanced_page, page, page_after, profile, select_columns, to_json_records
 from termlens.operators.matches import term_matches
 from termlens.operators.vocabulary import (
     Vocabulary,
@@ -64,8 +64,9 @@ _VOCABS: dict = {}
 def _vocab(spark: SparkSession, entries=None) -> Vocabulary:
     """The fixed test dictionary as a Vocabulary, built once per session and dictionary."""
     entries = entries or TEST_WORDLIST
-    key = (id(spark), repr(sorted(entries.items())))
-    if key not in _VOCABS:
+    key = repr(sorted(entries.items()))
+    known = _VOCABS.get(key)
+    if known is None or known.table.sparkSession.sparkContext is not spark.sparkContext:
         _VOCABS[key] = vocabulary_from_entries(spark, entries)
     return _VOCABS[key]
 
@@ -264,8 +265,45 @@ def q_sanitized_columns(spark, sf_dir):
     return e.select(*[_r(F.col(c)).alias(c) if c.endswith("_word_perc") else F.col(c) for c in e.columns])
 
 
+def _rounded_shares(e: DataFrame) -> DataFrame:
+    return e.select(*[_r(F.col(c)).alias(c) if c.endswith("_word_perc") else F.col(c) for c in e.columns])
+
+
 def q_enhanced_page(spark, sf_dir):
-    return page(_enhanced(spark, sf_dir), ["doc_id"], offset=100, limit=50)
+    return _rounded_shares(enhanced_page(table(spark, sf_dir, "documents"), "text", _vocab(spark), ["doc_id"], offset=100, limit=50))
+
+
+def q_page_after_key(spark, sf_dir):
+    """Keyset paging over (source, doc_id): the page after a given row."""
+    d = table(spark, sf_dir, "documents")
+    return page_after(d, ["source", "doc_id"], ["src1", 41], 40, ["doc_id", "lang", "source", "n_chars"])
+
+
+def q_json_records_page(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return to_json_records(d, ["doc_id"], 100, 50, ["doc_id", "lang", "source", "n_chars"])
+
+
+def q_select_columns(spark, sf_dir):
+    return select_columns(_enhanced(spark, sf_dir), ["prep_word_count", "doc_id", "n_tokens"])
+
+
+def q_legacy_detected(spark, sf_dir):
+    """The older list form of the detected columns (terms only)."""
+    e = enhance(_docs(spark, sf_dir), "text", _vocab(spark), max_n=LEGACY_MAX_N, convention="types")
+    return e.select("doc_id", *[f"{c}_detected_words" for c in CATEGORIES])
+
+
+def q_top_terms_enhanced(spark, sf_dir):
+    return top_terms(_enhanced(spark, sf_dir), "prep", TOP_N)
+
+
+def q_top_terms_by_docs_enhanced(spark, sf_dir):
+    return top_terms_per_category(_enhanced(spark, sf_dir), 3, by="doc_frequency")
+
+
+def q_corpus_terms_from_display(spark, sf_dir):
+    return corpus_term_frequencies(_enhanced(spark, sf_dir), CATEGORIES)
 
 
 def _scratch(spark) -> str:
@@ -274,10 +312,6 @@ def _scratch(spark) -> str:
     return f"{root.rstrip('/')}/exports/{uuid.uuid4().hex}"
 
 
-def _for_files(df: DataFrame) -> DataFrame:
-    return df
-
-
 def q_export_without_text(spark, sf_dir):
     from termlens.sources.sinks import export
 
@@ -331,7 +365,7 @@ def q_dataset_preview(spark, sf_dir):
 # table-derived wordlists (vocabulary operators on data that grows with the tables)
 # --------------------------------------------------------------------------- #
 def benchmark_wordlist(spark, sf_dir, variant: int = 1) -> DataFrame:
-    """A wide wordlist built from ``benchmark`` texts.
+    """A wide wordlist built from ``benchmark`` texts, in one scan.
 
     Rows: every distinct raw word (categories by length: short <= 3, medium
     4..6, long >= 7); a 4-letter prefix entry ``abcd*`` per long word (a bag:
@@ -339,42 +373,33 @@ def benchmark_wordlist(spark, sf_dir, variant: int = 1) -> DataFrame:
     ``phrase``, cell written `` x ``) and each pair's first word as ``w *``.
     ``variant=2`` keeps only the short/phrase columns (for merge tests).
     """
-    b = table(spark, sf_dir, "benchmark")
-    words = explode_rows(b, [], F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0), "w").distinct()
-    n = F.length("w")
-    single = words.select(
-        F.col("w").alias("DicTerm"),
-        F.when(n <= 3, "X").alias("short"),
-        F.when((n >= 4) & (n <= 6), " x ").alias("medium"),
-        F.when(n >= 7, "X").alias("long"),
-        F.lit(None).cast("string").alias("phrase"),
+    ws = F.col("ws")
+    shifted = F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))
+    pairs = F.filter(F.zip_with(ws, shifted, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda p: p["y"].isNotNull())
+
+    def item(kind: str, term):
+        return F.struct(F.lit(kind).alias("kind"), term.alias("w"))
+
+    texts = table(spark, sf_dir, "benchmark").select(F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0).alias("ws"))
+    split = texts.select("ws", pairs.alias("ps"))
+    items = F.concat(
+        F.transform(ws, lambda w: item("word", w)),
+        F.transform(F.filter(ws, lambda w: F.length(w) >= 7), lambda w: item("prefix", w)),
+        F.transform("ps", lambda p: item("phrase", F.concat_ws(" ", p["x"], p["y"]))),
+        F.transform("ps", lambda p: item("opener", p["x"])),
     )
-    prefixes = words.filter(n >= 7).select(
-        F.concat(F.substring("w", 1, 4), F.lit("*")).alias("DicTerm"),
-        F.lit(None).cast("string").alias("short"),
-        F.lit(None).cast("string").alias("medium"),
-        F.lit("X").alias("long"),
-        F.lit(None).cast("string").alias("phrase"),
+    entries = explode_rows(split, [], items, "i").select("i.kind", "i.w").distinct()
+    kind, n = F.col("kind"), F.length("w")
+    word = kind == "word"
+    wide = entries.select(
+        F.when(kind == "prefix", F.concat(F.substring("w", 1, 4), F.lit("*")))
+        .when(kind == "opener", F.concat(F.col("w"), F.lit(" *")))
+        .otherwise(F.col("w")).alias("DicTerm"),
+        F.when(word & (n <= 3), "X").alias("short"),
+        F.when(word & n.between(4, 6), " x ").alias("medium"),
+        F.when((word & (n >= 7)) | (kind == "prefix"), "X").alias("long"),
+        F.when(kind == "phrase", " x ").when(kind == "opener", "X").alias("phrase"),
     )
-    ws = F.regexp_extract_all("text", F.lit(r"\p{L}+"), 0)
-    pairs = explode_rows(
-        b.select(ws.alias("ws")), [], F.transform(F.sequence(F.lit(1), F.greatest(F.size("ws") - 1, F.lit(1))), lambda i: F.array(F.get("ws", i - 1), F.get("ws", i))), "p"
-    ).filter(F.col("p")[1].isNotNull())
-    bigrams = pairs.select(F.concat_ws(" ", F.col("p")[0], F.col("p")[1]).alias("DicTerm")).distinct().select(
-        "DicTerm",
-        F.lit(None).cast("string").alias("short"),
-        F.lit(None).cast("string").alias("medium"),
-        F.lit(None).cast("string").alias("long"),
-        F.lit(" x ").alias("phrase"),
-    )
-    starts = pairs.select(F.concat(F.col("p")[0], F.lit(" *")).alias("DicTerm")).distinct().select(
-        "DicTerm",
-        F.lit(None).cast("string").alias("short"),
-        F.lit(None).cast("string").alias("medium"),
-        F.lit(None).cast("string").alias("long"),
-        F.lit("X").alias("phrase"),
-    )
-    wide = single.unionByName(prefixes).unionByName(bigrams).unionByName(starts)
     if variant == 2:
         return wide.select("DicTerm", "short", "phrase")
     return wide
@@ -400,6 +425,78 @@ def q_vocab_head_tail(spark, sf_dir):
     return vocabulary_head_tail(v).select("category", "n_terms", "summary")
 
 
+def _vocab_with_unused(spark, sf_dir) -> Vocabulary:
+    return vocabulary_from_wordlist(benchmark_wordlist(spark, sf_dir).withColumn("unused", F.lit(None).cast("string")))
+
+
+def q_vocab_summary_empty_category(spark, sf_dir):
+    return vocabulary_summary(_vocab_with_unused(spark, sf_dir)).select("category", "category_pos", "n_terms", "sample_terms")
+
+
+def q_vocab_head_tail_empty_category(spark, sf_dir):
+    return vocabulary_head_tail(_vocab_with_unused(spark, sf_dir)).select("category", "category_pos", "n_terms", "summary")
+
+
+def q_vocab_terms_for(spark, sf_dir):
+    v = vocabulary_from_wordlist(benchmark_wordlist(spark, sf_dir))
+    return v.terms_for("long").select("match_kind", "is_multi", "key", "weight")
+
+
+def q_vocab_union(spark, sf_dir):
+    """Bag union of two vocabularies that share categories."""
+    v = vocabulary_from_wordlist(benchmark_wordlist(spark, sf_dir)).union(vocabulary_from_wordlist(benchmark_wordlist(spark, sf_dir, 2)))
+    return v.table.select("category", "category_pos", "match_kind", "is_multi", "key", "weight")
+
+
+def q_wordlist_formats(spark, sf_dir):
+    """The wordlist written and read again in both delimited formats."""
+    from termlens.sources.datasets import read_wordlist
+    from termlens.sources.sinks import export
+
+    wide, out = benchmark_wordlist(spark, sf_dir), []
+    for fmt in ("csv", "tsv"):
+        path = _scratch(spark)
+        export(wide, path, fmt)
+        v = vocabulary_from_wordlist(read_wordlist(spark, path, fmt=fmt))
+        out.append(v.table.select(F.lit(fmt).alias("fmt"), "category", "match_kind", "is_multi", "key", "weight"))
+    return out[0].unionByName(out[1])
+
+
+def q_csv_infer_na(spark, sf_dir):
+    """``labels`` as csv with ``NA`` cells, read with inferred types: a statistic works on the column."""
+    from termlens.sources.datasets import read_dataset
+    from termlens.sources.sinks import export
+
+    path = _scratch(spark)
+    cells = F.when(F.col("quality") == 1, F.col("toxic").cast("string")).otherwise("NA")
+    export(table(spark, sf_dir, "labels").select("doc_id", cells.alias("score")), path, "csv")
+    back = read_dataset(spark, path, fmt="csv")
+    return back.select("doc_id", (F.col("score") / 2).alias("half_score"))
+
+
+def q_read_usecols_dtype(spark, sf_dir):
+    from termlens.sources.datasets import read_dataset
+    from termlens.sources.sinks import export
+
+    path = _scratch(spark)
+    export(table(spark, sf_dir, "documents"), path, "tsv")
+    return read_dataset(spark, path, fmt="tsv", usecols=["n_chars", "doc_id", "lang"], dtype={"n_chars": "string"})
+
+
+def q_analyze_large_vocab_nokey(spark, sf_dir):
+    """The benchmark-derived dictionary, join plan, no key column."""
+    v = vocabulary_from_wordlist(benchmark_wordlist(spark, sf_dir))
+    a = analyze(_docs(spark, sf_dir), "text", v, plan="join", with_detected=False)
+    return a.select("doc_id", "n_tokens", *[f"{c}_word_count" for c in v.categories])
+
+
+def q_analyze_duplicate_and_null_keys(spark, sf_dir):
+    """Keys made null or repeated: every row keeps its own counts."""
+    d = _docs(spark, sf_dir).select(F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 100).cast("string")).alias("k"), "text")
+    a = analysis_frame(d, "text", _vocab(spark), key_col="k", plan="join", with_detected=False)
+    return a.select("k", "n_tokens", "n_types", *[f"{c}_word_count" for c in CATEGORIES])
+
+
 def q_analyze_table_vocab(spark, sf_dir):
     """Documents against the benchmark-derived dictionary, long form, join plan."""
     v = vocabulary_from_wordlist(benchmark_wordlist(spark, sf_dir))
@@ -456,6 +553,14 @@ def q_anova_table(spark, sf_dir):
     return _round_cols(t, ["sum_sq", "df", "F", "PR(>F)"])
 
 
+def q_anova_summary(spark, sf_dir):
+    return _round_cols(stats.anova_summary(_enh_stats(spark, sf_dir), "lang", "art_word_perc"), ["p_value"])
+
+
+def q_scatter_points(spark, sf_dir):
+    return stats.scatter_points(_analysis(spark, sf_dir, with_detected=False), "n_tokens", "art_word_count")
+
+
 def q_anova_labels(spark, sf_dir):
     joined = _enh_stats(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     t = stats.anova_table(joined, "quality", "conj_word_perc")
@@ -554,4 +659,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_ci_lineitem": q_group_ci_lineitem,
     "anova_lineitem": q_anova_lineitem,
     "stream_analyze": q_stream_analyze,
+    "page_after_key": q_page_after_key,
+    "json_records_page": q_json_records_page,
+    "select_columns": q_select_columns,
+    "legacy_detected": q_legacy_detected,
+    "top_terms_enhanced": q_top_terms_enhanced,
+    "top_terms_by_docs_enhanced": q_top_terms_by_docs_enhanced,
+    "corpus_terms_from_display": q_corpus_terms_from_display,
+    "vocab_summary_empty_category": q_vocab_summary_empty_category,
+    "vocab_head_tail_empty_category": q_vocab_head_tail_empty_category,
+    "vocab_terms_for": q_vocab_terms_for,
+    "vocab_union": q_vocab_union,
+    "wordlist_formats": q_wordlist_formats,
+    "csv_infer_na": q_csv_infer_na,
+    "read_usecols_dtype": q_read_usecols_dtype,
+    "analyze_large_vocab_nokey": q_analyze_large_vocab_nokey,
+    "analyze_duplicate_and_null_keys": q_analyze_duplicate_and_null_keys,
+    "anova_summary": q_anova_summary,
+    "scatter_points": q_scatter_points,
 }

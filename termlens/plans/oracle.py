@@ -201,6 +201,36 @@ def _vocab_table(rules: str) -> str:
         (case when is_prefix then n else 1 end)::bigint weight from {rules})"""
 
 
+def _ptukey(src: str, out: str) -> str:
+    """CTE ``out`` (q, p): P(Q <= q) for every q of ``src``, as two sums: the range probabilities on a
+    grid of width 0.01 and the density of s at s = j * 0.01 / q, relative to s = 1."""
+    return f"""{out} as (select q, sum(d * coalesce(r, 1.0)) / sum(d) p from (
+  select q, j, exp((df - 1) * ln(j * 0.01 / q) - df * (pow(j * 0.01 / q, 2) - 1) / 2) d from (
+    select q, df, unnest(range(greatest(1, floor(100 * q * (1 - 9 / sqrt(2 * df))))::bigint, ceil(100 * q * (1 + 9 / sqrt(2 * df)))::bigint + 1)) j
+    from (select distinct q from {src}) x, tot)) y left join rng using (j) group by q)"""
+
+
+def _tukey_sql(an_cte: str, cat: str, val: str) -> str:
+    return f"""{_groups_sql(an_cte, cat, val)},
+tot as (select (sum(n) - count(*))::double df, count(*) k, sum(coalesce((n - 1) * var, 0.0)) / (sum(n) - count(*)) mse from gp),
+pr as (select a.grp::varchar group1, b.grp::varchar group2, b.mean - a.mean diff, sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) se,
+         abs(b.mean - a.mean) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) q from gp a join gp b on a.grp < b.grp, tot),
+z as (select i, -9 + i * 0.01::double z, exp(-pow(-9 + i * 0.01::double, 2) / 2) / sqrt(2 * pi()) f from range(0, 1801) t(i)),
+cdf as (select i, f, 0.01 * (sum(f) over (order by i) - f / 2) + 0.0001 / 12 * z * f c from z),
+rng as (select j, max(k) * sum(0.01 * a.f * pow(greatest(a.c - coalesce(b.c, 0.0), 0.0), k - 1)) r
+        from (select i j, k from range(0, 1201) t(i), tot) g cross join cdf a left join cdf b on b.i = a.i - g.j group by j),
+{_ptukey("pr", "pp")},
+coarse as (select 0.5 + i * 0.05 q from range(0, 2000) t(i)),
+{_ptukey("coarse", "pc")},
+fine as (select (select max(q) from pc where p < 0.95) + i * 0.0005 q from range(0, 102) t(i)),
+{_ptukey("fine", "pf")},
+lo as (select max_by(q, p) q0, max(p) p0 from pf where p < 0.95),
+hi as (select min_by(q, p) q1, min(p) p1 from pf where p >= 0.95),
+crit as (select q0 + (q1 - q0) * (0.95 - p0) / (p1 - p0) qc from lo, hi)
+select group1, group2, round(diff, 4) meandiff, round(1 - p, 4) "p-adj", round(diff - qc * se, 4) "lower", round(diff + qc * se, 4) "upper", 1 - p < 0.05 reject
+from pr join pp using (q), crit"""
+
+
 BENCH_CATS = ["short", "medium", "long", "phrase"]
 
 
@@ -362,6 +392,42 @@ select a.grp::varchar group1, b.grp::varchar group2, round(b.mean - a.mean, 6) m
        round(sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) se,
        round(abs(b.mean - a.mean) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)), 6) q, round(df, 6) df
 from gp a join gp b on a.grp < b.grp, tot"""
+    q["tukey_pairs"] = _tukey_sql(an_raw, "lang", "art_word_perc")
+    q["anova_summary"] = f"""select 'lang' cat_var, 'art_word_perc' num_var, "PR(>F)" p_value, "PR(>F)" < 0.05 significant
+from ({q['anova_table']}) where source <> 'Residual'"""
+    q["scatter_points"] = f"{an_raw}\nselect n_tokens, art_word_count from an"
+    # reports on display strings equal those on the maps
+    q["top_terms_enhanced"] = q["top_terms_one_category"]
+    q["top_terms_by_docs_enhanced"] = q["top_terms_by_docs"]
+    q["corpus_terms_from_display"] = q["corpus_term_freq"]
+    q["select_columns"] = f"select prep_word_count, doc_id, n_tokens from ({q['enhance']})"
+    lists = ", ".join(f"coalesce(string_agg(o.term, ', ' order by o.term) filter (where o.cat = {_q(c)}), '') {c}_detected_words" for c in CATEGORIES)
+    q["legacy_detected"] = f"""with {_tk()},
+{_match(TEST_WORDLIST, 5, 'types')}
+select t.k doc_id, {lists} from t left join h o on t.k = o.k group by t.k"""
+    q["page_after_key"] = """select doc_id, lang, source, n_chars from documents
+where source > 'src1' or (source = 'src1' and doc_id > 41) order by source, doc_id limit 40"""
+    q["json_records_page"] = """select to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars})::varchar "value"
+from documents order by doc_id limit 50 offset 100"""
+    order = "case category when 'long' then 0 when 'medium' then 1 when 'phrase' then 2 when 'short' then 3 end"
+    q["vocab_summary_empty_category"] = f"""select category, ({order})::int category_pos, n_terms, sample_terms from ({q['vocab_summary']})
+union all select 'unused', 4, 0, ''"""
+    q["vocab_head_tail_empty_category"] = f"""select category, ({order})::int category_pos, n_terms, summary from ({q['vocab_head_tail']})
+union all select 'unused', 4, 0, '**unused (0 terms):** None;'"""
+    q["vocab_terms_for"] = f"select match_kind, is_multi, key, weight from ({q['vocab_unpivot']}) where category = 'long'"
+    q["vocab_union"] = f"""with {BENCH_WIDE},
+v1 as {_vocab_table(_vocab_rules('wide', BENCH_CATS))},
+v2 as {_vocab_table(_vocab_rules('wide', ['short', 'phrase']))}
+select category, ({order})::int category_pos, match_kind, is_multi, key, weight from (select * from v1 union all select * from v2)"""
+    q["wordlist_formats"] = f"""select f.fmt, category, match_kind, is_multi, key, weight
+from ({q['vocab_unpivot']}), (values ('csv'), ('tsv')) f(fmt)"""
+    q["csv_infer_na"] = "select doc_id, (case when quality = 1 then toxic end)::double / 2 half_score from labels"
+    q["read_usecols_dtype"] = "select n_chars::varchar n_chars, doc_id, nullif(lang, '') lang from documents"
+    pivot = ", ".join(f"coalesce(sum(word_count) filter (where category = {_q(c)}), 0)::bigint {c}_word_count" for c in BENCH_CATS)
+    q["analyze_large_vocab_nokey"] = f"""select d.doc_id, any_value(n_tokens) n_tokens, {pivot}
+from ({q['tokenize_stats']}) d left join ({q['analyze_table_vocab']}) w on d.doc_id = w.doc_id group by d.doc_id"""
+    q["analyze_duplicate_and_null_keys"] = f"""select case when doc_id % 3 <> 0 then (doc_id % 100)::varchar end k, n_tokens, n_types,
+{', '.join(f'{c}_word_count' for c in CATEGORIES)} from ({q['analyze_wide']})"""
     li = "with li0 as (select 1)"
     q["pearson_lineitem"] = _pearson_sql(li, [("l_quantity", "l_extendedprice")], source="lineitem")
     q["group_ci_lineitem"] = _ci_sql(li, "l_returnflag", "l_extendedprice", source="lineitem")

@@ -1,9 +1,9 @@
 """Dataset and wordlist sources (SRC-1..10): format dispatch onto Spark readers.
 
 Delimited files keep RFC-4180 quoting (text cells hold commas, quotes and
-newlines, so ``multiLine`` is on).  Note that ``multiLine`` CSV cannot be split
-inside a file: for very large inputs prefer Parquet, which Spark splits,
-prunes and filters at the scan.
+newlines, so ``multiLine`` is on).  A ``multiLine`` file cannot be split: for
+very large inputs without line breaks in cells pass ``multiline=False``, or
+prefer Parquet, which Spark splits, prunes and filters at the scan.
 """
 
 from __future__ import annotations
@@ -44,20 +44,40 @@ def resolve_format(path: str, fmt: str | None, table: dict[str, str], kind: str)
     return table[suf]
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, schema: T.StructType | None, infer: bool) -> DataFrame:
+def _delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
+    """A delimited file as string columns: short rows end in nulls, longer rows than the header are an error.
+
+    ``multiline=False`` lets Spark split large files; then no cell may hold a line break.
+    """
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("sep", sep)
-        .option("mode", "FAILFAST")
     )
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", infer)
-    return reader.csv(path)
+    names = list(names) if names is not None else reader.option("inferSchema", False).csv(path).columns
+    extra = "__tl_beyond_header"
+    fields = [T.StructField(n, T.StringType()) for n in [*names, extra]]
+    rows = reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+    message = F.concat(F.lit(f"a row of {path} has more than {len(names)} cells, the first beyond them: "), F.col(extra))
+    fits = F.when(F.col(extra).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    return rows.filter(fits).drop(extra)
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """String columns as bigint, double or boolean where every value reads as one (one aggregate
+    over the data); a column without values stays a string."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return df
+    kinds = ["bigint", "double", "boolean"]
+    parts = [F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)]
+    for i, n in enumerate(names):
+        parts += [F.count(F.col(f"`{n}`").try_cast(k)).alias(f"{k}{i}") for k in kinds]
+    seen = df.agg(*parts).collect()[0]
+    to = {n: next((k for k in kinds if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), None) for i, n in enumerate(names)}
+    return df.select(*[F.col(f"`{c}`").cast(to[c]).alias(c) if to.get(c) else F.col(f"`{c}`") for c in df.columns])
 
 
 def mark_missing(df: DataFrame, na_values: Sequence[str] = NA_VALUES) -> DataFrame:
@@ -78,35 +98,46 @@ def read_dataset(
     schema: T.StructType | None = None,
     usecols: Sequence[str] | None = None,
     dtype: dict[str, str] | None = None,
-    na_values: bool = False,
+    na_values: bool = True,
+    multiline: bool = True,
+    infer: bool = True,
 ) -> DataFrame:
     """Read a dataset: csv / tsv / xlsx / parquet path (file, folder or glob), or pass a DataFrame through.
 
-    ``usecols`` selects columns (Catalyst prunes the scan, SRC-5); ``dtype``
-    casts named columns (SRC-4); ``schema`` skips inference entirely.
+    csv, tsv and xlsx cells are read as text; missing-value strings become null (unless
+    ``na_values=False``) *before* types are given, so an ``NA`` in a column of numbers does not make
+    it text.  ``schema`` gives all types and skips inference; ``dtype`` casts named columns (SRC-4);
+    ``infer=False`` leaves the rest as text and saves a pass over the data.  ``usecols`` selects
+    columns (Catalyst prunes the scan, SRC-5).  ``multiline=False`` makes large files splittable.
+    Parquet and DataFrames keep their types and values.
     """
     if isinstance(src, DataFrame):
-        df = src
+        df, text_cells = src, False
     else:
         kind = resolve_format(src, fmt, DATASET_FORMATS, "dataset")
-        if kind == "csv":
-            df = _delimited(spark, src, ",", schema, infer=True)
-        elif kind == "tsv":
-            df = _delimited(spark, src, "\t", schema, infer=True)
-        elif kind == "parquet":
+        text_cells = kind != "parquet"
+        if kind == "parquet":
             df = spark.read.parquet(src) if schema is None else spark.read.schema(schema).parquet(src)
-        else:
+        elif kind == "xlsx":
             from termlens.sources.xlsx import read_xlsx
 
             df = read_xlsx(spark, src)
-    if na_values:
+        else:
+            df = _delimited(spark, src, "," if kind == "csv" else "\t", schema.fieldNames() if schema is not None else None, multiline)
+    if text_cells and na_values:
         df = mark_missing(df)
     if usecols:
         require_columns(df.columns, list(usecols))
         df = df.select(*[F.col(f"`{c}`") for c in usecols])
-    if dtype:
-        require_columns(df.columns, list(dtype))
-        df = df.select(*[F.col(f"`{c}`").cast(dtype[c]).alias(c) if c in dtype else F.col(f"`{c}`") for c in df.columns])
+    given = dict(dtype or {})
+    require_columns(df.columns, list(given))
+    if text_cells and schema is not None:
+        given = {**{f.name: f.dataType for f in schema.fields if f.name in df.columns}, **given}
+    elif text_cells and infer:
+        typed = infer_types(df.select(*[F.col(f"`{c}`") for c in df.columns if c not in given])) if given else infer_types(df)
+        given = {**{f.name: f.dataType for f in typed.schema.fields}, **given}
+    if given:
+        df = df.select(*[F.col(f"`{c}`").cast(given[c]).alias(c) if c in given else F.col(f"`{c}`") for c in df.columns])
     return df
 
 
@@ -124,5 +155,5 @@ def read_wordlist(spark: SparkSession, src: str | DataFrame, fmt: str | None = N
 
         df = read_xlsx(spark, src)
     else:
-        df = _delimited(spark, src, "," if kind == "csv" else "\t", None, infer=False)
+        df = _delimited(spark, src, "," if kind == "csv" else "\t")
     return mark_missing(df)

@@ -2,9 +2,10 @@
 
 ``binaryFile`` lists the workbooks (one row per file, content as bytes);
 ``mapInPandas`` opens each with the standard library (an .xlsx is a zip of
-XML parts) and emits its first sheet as rows of strings.  The header is the
-first row of the first workbook (one bounded row reaches the driver to name
-the columns).  Legacy binary ``.xls`` is not supported.
+XML parts) and emits its first sheet as rows of strings, each with its own
+workbook's header.  The columns are those of all headers, in path order (only
+the distinct headers reach the driver); a workbook without one gives nulls.
+Legacy binary ``.xls`` is not supported.
 """
 
 from __future__ import annotations
@@ -78,22 +79,33 @@ def workbook_rows(content: bytes) -> list[list[str | None]]:
     return out
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sheets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[list[str | None]]]]:
     for pdf in batches:
-        recs = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            for i, cells in enumerate(workbook_rows(bytes(content))):
-                recs.append((path, i, cells))
-        yield pd.DataFrame(recs, columns=["path", "row_idx", "cells"])
+            rows = workbook_rows(bytes(content))
+            if rows:
+                width = max(len(r) for r in rows)
+                names = [n if n is not None else f"col{i}" for i, n in enumerate(rows[0] + [None] * (width - len(rows[0])))]
+                yield path, [names, *rows[1:]]
+
+
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for path, rows in _sheets(batches):
+        yield pd.DataFrame({"path": [path], "names": [rows[0]]})
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for _, rows in _sheets(batches):
+        yield pd.DataFrame({"names": [rows[0]] * (len(rows) - 1), "cells": rows[1:]})
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """All workbooks under ``path`` (file, folder or glob) -> one DataFrame of string columns."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    rows = files.select("path", "content").mapInPandas(_parse, "path string, row_idx long, cells array<string>")
-    head = rows.filter(F.col("row_idx") == 0).orderBy("path").select("cells").limit(1).collect()
-    if not head:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content")
+    headers = files.mapInPandas(_headers, "path string, names array<string>").groupBy("names").agg(F.min("path").alias("path"))
+    names = list(dict.fromkeys(n for row in headers.orderBy("path").collect() for n in row["names"]))
+    if not names:
         raise UnsupportedFormatError(f"no .xlsx workbook with a header row under {path!r}")
-    names = [h if h is not None else f"col{i}" for i, h in enumerate(head[0]["cells"])]
-    data = rows.filter(F.col("row_idx") > 0)
-    return data.select(*[F.get(F.col("cells"), i).alias(n) for i, n in enumerate(names)])
+    rows = files.mapInPandas(_parse, "names array<string>, cells array<string>")
+    at = [F.array_position("names", F.lit(n)).cast("int") for n in names]
+    return rows.select(*[F.when(i > 0, F.get("cells", i - 1)).alias(n) for i, n in zip(at, names)])
