@@ -47,6 +47,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 CHUNK_BYTES = 1 << 21
+HASH_BYTES = 1 << 16  # of words hashed at once, so that memory does not grow with a text
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +90,13 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     offsets = np.searchsorted(start, bounds)
-    h = span_hashes(_BYTES[data], start, end)
+    h = np.empty(len(start), np.uint64)
+    first = 0
+    while first < len(start):  # a hash does not depend on where its word stands, so pieces do
+        last = max(first + 1, int(np.searchsorted(end, start[first] + HASH_BYTES, "right")))
+        low = start[first]
+        h[first:last] = span_hashes(_BYTES[data[low : end[last - 1]]], start[first:last] - low, end[first:last] - low)
+        first = last
     return mix(h + (end - start).astype(np.uint64)), offsets
 
 
@@ -112,6 +119,16 @@ def utf8(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batch, name: str, limit: int = CHUNK_BYTES):
+    """(rows of the batch, their texts as bytes) in parts of about ``limit`` bytes, one at a time."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_pylist()
+    for a, b in chunks(sizes, sizes, limit):
+        rows = batch.slice(a, b - a)
+        yield rows, utf8(rows.column(name))
+
+
 # Fixed rule: lower case where it is one character, white space as a space (positions are kept).
 _LOW = np.array([0x20 if chr(c).isspace() else ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(65536)], np.uint32)
 

@@ -312,3 +312,41 @@ def test_word_hashes():
     h, offset = word_hashes(texts)
     assert np.diff(offset).tolist() == [len(t.split()) for t in texts[:-1]] + [1]
     assert h[0] == h[3] and len(set(h.tolist())) == 6
+
+
+def test_word_hashes_in_pieces():
+    """A text longer than a piece, and a word longer than one, hash as they do alone."""
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"abcdefg", k=rng.randint(1, 12))) for _ in range(30_000)] + [b"x" * 200_000, b"end"]
+    h, offset = word_hashes([b" \t".join(words), b"", words[0]])
+    assert offset.tolist() == [0, len(words), len(words), len(words) + 1]
+    for i in (0, 7, 12_345, 29_999, 30_000, 30_001):
+        assert h[i] == word_hashes([words[i]])[0][0]
+    assert h[-1] == h[0]
+
+
+def test_op9_long_text(monkeypatch):
+    """A text cut into pieces scores like the whole one; its neighbours' scores do not change."""
+    rng = random.Random(9)
+    words = [f"w{i}".encode() for i in range(300)]
+    texts = [b" ".join(rng.choices(words, weights=range(1, 301), k=n)) for n in (5, 4000, 60)]
+    h, offset = o9.token_hashes(texts)
+    kinds, counts = np.unique(h[h != o9.END], return_counts=True)
+    v = o9.Vocabulary(kinds, counts, len(h), len(kinds) + 1, len(texts))
+    symbol = v.lookup(h)[0]
+    zero, one = np.zeros(o9.ORDERS * o9.SLOTS), np.zeros(o9.ORDERS * o9.SLOTS)
+    _, place, slots = v.events(symbol, offset)
+    for s in slots:
+        np.add.at(one, s, v.bit[place])
+        np.add.at(zero, s, 1 - v.bit[place])
+    model = o9.Mixer(v, zero, one)
+    whole = np.add.reduceat(model.log2(symbol, offset), offset[:-1])
+    monkeypatch.setattr(o9.spans_of, "__defaults__", (500,))
+    pieces = np.add.reduceat(model.log2(symbol, offset), offset[:-1])
+    assert len(list(o9.spans_of(symbol, offset))) > 5
+    # the contexts of every bit are the same wherever the text is cut
+    for i, s in enumerate(slots):
+        cut = [x[2][i] for first, last, inner, past in o9.spans_of(symbol, offset) for x in [v.events(symbol[first:last], inner, past)]]
+        assert np.array_equal(np.concatenate(cut), s)
+    assert pieces[[0, 2]] == pytest.approx(whole[[0, 2]], rel=1e-9)
+    assert pieces[1] == pytest.approx(whole[1], rel=2e-3)
