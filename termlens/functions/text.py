@@ -21,6 +21,8 @@ LEGACY_MAX_N = 5
 MIN_NGRAM_ORDER = 2
 PAIR_SEPARATOR = ", "
 TERM_COUNT_SEPARATOR = ": "
+# White space as Python's str.strip() and str.split() take it, also outside ASCII.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def explode_rows(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
@@ -39,6 +41,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, f"^{WHITE}|{WHITE}$", "")
+
+
 def text_or_empty(c: Column | str, data_type: T.DataType | None = None) -> Column:
     """Missing text counts as empty; other types are stringified (``5.0`` -> ``"5.0"``).
 
@@ -158,17 +165,17 @@ def parse_detected(s: Column | str) -> Column:
     ``": "`` counts 1 (older list form).  Terms are trimmed.
     """
     pairs = F.split(_col(s), PAIR_SEPARATOR)
-    kept = F.filter(pairs, lambda p: F.trim(p) != "")
+    kept = F.filter(pairs, lambda p: strip(p) != "")
     parsed = F.transform(
         kept,
         lambda p: F.when(
             F.instr(p, TERM_COUNT_SEPARATOR) > 0,
             F.struct(
-                F.trim(F.regexp_extract(p, r"^(.*): (.*)$", 1)).alias("term"),
-                # Python int() accepts surrounding whitespace; so does try_cast.
-                F.regexp_extract(p, r"^(.*): (.*)$", 2).try_cast("bigint").alias("occ"),
+                strip(F.regexp_extract(p, r"(?s)^(.*): (.*)$", 1)).alias("term"),
+                # Python int() accepts surrounding whitespace.
+                strip(F.regexp_extract(p, r"(?s)^(.*): (.*)$", 2)).try_cast("bigint").alias("occ"),
             ),
-        ).otherwise(F.struct(F.trim(p).alias("term"), F.lit(1).cast("bigint").alias("occ"))),
+        ).otherwise(F.struct(strip(p).alias("term"), F.lit(1).cast("bigint").alias("occ"))),
     )
     return F.filter(parsed, lambda e: e["occ"].isNotNull())
 

@@ -26,16 +26,19 @@ def detected_categories(df: DataFrame) -> list[str]:
     return [c[: -len(DETECTED_SUFFIX)] for c in df.columns if c.endswith(DETECTED_SUFFIX)]
 
 
-def _as_pairs(df: DataFrame, col: str) -> "F.Column":
-    """A detected column as ``array<struct<term, occ>>`` (map or display string)."""
-    dtype = df.schema[col].dataType
-    if isinstance(dtype, T.MapType):
-        return F.transform(F.map_entries(F.col(f"`{col}`")), lambda e: F.struct(e["key"].alias("term"), e["value"].cast("bigint").alias("occ")))
-    parsed = parse_detected(F.col(f"`{col}`"))
-    # a display string can repeat a term: one pair for each term, with the sum of its counts
-    terms = F.array_distinct(F.transform(parsed, lambda p: p["term"]))
-    total = lambda t: F.aggregate(F.filter(parsed, lambda p: p["term"] == t), F.lit(0).cast("bigint"), lambda a, p: a + p["occ"])
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), total(t).alias("occ")))
+def _cells(df: DataFrame, col: str) -> "F.Column":
+    """A detected column as ``array<struct<term, occ>>`` (map or display string, which can repeat a term)."""
+    c = F.col(f"`{col}`")
+    if isinstance(df.schema[col].dataType, T.MapType):
+        return F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("term"), e["value"].cast("bigint").alias("occ")))
+    return parse_detected(c)
+
+
+def _one_per_term(pairs: "F.Column") -> "F.Column":
+    """``pairs`` with one pair for each term: the sum of its counts.  Cells seldom repeat a term."""
+    terms = F.array_distinct(F.transform(pairs, lambda p: p["term"]))
+    total = lambda t: F.aggregate(F.filter(pairs, lambda p: p["term"] == t), F.lit(0).cast("bigint"), lambda a, p: a + p["occ"])
+    return F.when(F.size(terms) == F.size(pairs), pairs).otherwise(F.transform(terms, lambda t: F.struct(t.alias("term"), total(t).alias("occ"))))
 
 
 def detected_long(df: DataFrame, key_cols: Sequence[str], categories: Sequence[str] | None = None) -> DataFrame:
@@ -47,13 +50,10 @@ def detected_long(df: DataFrame, key_cols: Sequence[str], categories: Sequence[s
     cats = list(categories) if categories is not None else detected_categories(df)
     if not cats:
         return df.select(*key_cols).limit(0)
-    per_cat = F.array(
-        *[
-            F.struct(F.lit(c).alias("category"), _as_pairs(df, f"{c}{DETECTED_SUFFIX}").alias("pairs"))
-            for c in cats
-        ]
-    )
-    per = explode_rows(df, [F.col(f"`{k}`") for k in key_cols], per_cat, "__c")
+    # parsed in a projection of its own: each cell once
+    cells = df.select(*[F.col(f"`{k}`") for k in key_cols], *[_cells(df, f"{c}{DETECTED_SUFFIX}").alias(f"__d{i}") for i, c in enumerate(cats)])
+    per_cat = F.array(*[F.struct(F.lit(c).alias("category"), _one_per_term(F.col(f"__d{i}")).alias("pairs")) for i, c in enumerate(cats)])
+    per = explode_rows(cells, [F.col(f"`{k}`") for k in key_cols], per_cat, "__c")
     exploded = explode_rows(per, [*key_cols, F.col("__c.category").alias("category")], F.col("__c.pairs"), "__p")
     return exploded.select(*key_cols, "category", F.col("__p.term").alias("term"), F.col("__p.occ").alias("occ"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from termlens.functions.naming import sanitize_columns
 from termlens.functions.text import DEFAULT_MAX_N, format_detected
 from termlens.operators.analyze import DETECTED_SUFFIX, analyze
 from termlens.operators.vocabulary import Vocabulary
+from termlens.session import stage_table
 
 
 def enhance(
@@ -89,7 +90,10 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int | N
     if offset < 0 or (limit is not None and limit < 0):
         raise ValueError("offset/limit must be >= 0")
     view = select_columns(df, columns) if columns else df
-    out = view.orderBy(*[F.col(f"`{c}`") for c in order_by])
+    order = [F.col(f"`{c}`") for c in order_by]
+    if offset and limit is None:
+        return _after_position(view, order, offset)
+    out = view.orderBy(*order)
     if offset:
         out = out.offset(offset)
     if limit is not None:
@@ -97,6 +101,23 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int | N
     return out
 
 
+def _after_position(df: DataFrame, order: list, offset: int) -> DataFrame:
+    """All rows from position ``offset`` on in the given order, without a task that holds them all.
+
+    The rows are range-sorted and written once; the row counts of the ranges (one number each) say
+    at which position each range begins.
+    """
+    place, nth = "__tl_range", "__tl_nth"
+    rows = df.orderBy(*order).withColumn(place, F.spark_partition_id()).withColumn(nth, F.monotonically_increasing_id())
+    rows = stage_table(rows, "ranges")
+    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(place).agg(F.count(F.lit(1)).alias("__tl_n"))
+    begins = counts.select(place, F.coalesce(F.sum("__tl_n").over(before), F.lit(0)).alias("__tl_begin"))
+    # the id counts the rows of a range in its lower 33 bits
+    position = F.col("__tl_begin") + F.col(nth).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(begins, place).where(position >= offset).select(*[F.col(f"`{c}`") for c in df.columns]).orderBy(*order)
+
+
 def page_after(df: DataFrame, order_by: Sequence[str], last: Sequence | None, limit: int, columns: Sequence[str] | None = None) -> DataFrame:
     """The next ``limit`` rows after the row whose key values are ``last`` (``None``: from the start).
 
@@ -117,7 +138,9 @@ def enhanced_page(
     df: DataFrame, text_col: str, vocab: Vocabulary, order_by: Sequence[str], offset: int = 0, limit: int | None = None, **kw
 ) -> DataFrame:
     """A page of the enhanced dataset: the page is taken first and only its rows are analysed."""
-    return enhance(page(df, order_by, offset, limit), text_col, vocab, **kw)
+    out = enhance(page(df, order_by, offset, limit), text_col, vocab, **kw)
+    names = sanitize_columns(df.columns)
+    return out.orderBy(*[F.col(f"`{names[df.columns.index(c)]}`") for c in order_by])
 
 
 def to_json_records(df: DataFrame, order_by: Sequence[str], offset: int = 0, limit: int | None = None, columns: Sequence[str] | None = None) -> DataFrame:

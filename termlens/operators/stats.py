@@ -11,6 +11,7 @@ decide them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -295,7 +296,13 @@ def pair_statistics(g: DataFrame, alpha: float = ALPHA) -> DataFrame:
     )
     a = g.select(F.col("__g").alias("g1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
     b = g.select(F.col("__g").alias("g2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
-    pairs = _attach(a.join(b, F.col("g1") < F.col("g2")), tot)
+    # every pair of blocks of groups meets under one key: an equi-join that spreads k * k / 2 pairs
+    # over blocks * blocks keys, with neither side broadcast unless its size allows it
+    blocks = max(1, math.isqrt(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = a.withColumn("b1", F.pmod(F.hash("g1"), F.lit(blocks))).withColumn("b2", others)
+    b = b.withColumn("b2", F.pmod(F.hash("g2"), F.lit(blocks))).withColumn("b1", others)
+    pairs = _attach(a.join(b, ["b1", "b2"]).where(F.col("g1") < F.col("g2")), tot)
     se = F.sqrt(F.col("mse") / 2.0 * (1.0 / F.col("n1") + 1.0 / F.col("n2")))
     p = pairs.select(
         "g1", "g2", "k", "df",

@@ -32,6 +32,7 @@ from termlens.errors import (
     UnknownCategoryError,
 )
 from termlens.functions.naming import allot, sanitize_columns, sanitize_identifier
+from termlens.functions.text import WHITE, strip
 from termlens.session import stage_table
 
 # The term column is named "DicTerm"; a cell is active when it
@@ -55,16 +56,8 @@ VOCAB_SCHEMA = T.StructType(
 )
 
 
-# White space as Python's str.strip() and str.split() take it, also outside ASCII.
-WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-
-
-def _strip(c):
-    return F.regexp_replace(c, f"^{WHITE}|{WHITE}$", "")
-
-
 def _n_words(c):
-    return F.size(F.split(_strip(c), WHITE))
+    return F.size(F.split(strip(c), WHITE))
 
 
 def category_columns(wordlist: DataFrame) -> list[str]:
@@ -97,13 +90,13 @@ def wordlist_entries(wordlist: DataFrame, names: Sequence[str] | None = None) ->
             F.array(*[F.struct(F.lit(n).alias("category"), F.col(f"__c{i}").alias("cell")) for i, n in enumerate(names)])
         ).alias("__e"),
     ).select("__term", F.col("__e.category").alias("category"), F.col("__e.cell").alias("cell"))
-    term = F.lower(_strip(F.col("__term")))
-    active = stacked.filter(F.upper(_strip(F.col("cell"))) == ACTIVE_CELL).select(
+    term = F.lower(strip(F.col("__term")))
+    active = stacked.filter(F.upper(strip(F.col("cell"))) == ACTIVE_CELL).select(
         "category", term.alias("term")
     )
     active = active.filter(F.col("term").isNotNull() & (F.col("term") != ""))
     is_prefix = F.col("term").endswith(WILDCARD)
-    key = F.when(is_prefix, _strip(F.expr("substring(term, 1, length(term) - 1)"))).otherwise(F.col("term"))
+    key = F.when(is_prefix, strip(F.expr("substring(term, 1, length(term) - 1)"))).otherwise(F.col("term"))
     return (
         active.select(
             "category",

@@ -72,7 +72,12 @@ def _vocab(spark: SparkSession, entries=None) -> Vocabulary:
 
 
 def _docs(spark, sf_dir):
-    return balance(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
+
+
+def _spread_docs(spark, sf_dir):
+    """For queries that use the text functions directly (the operators spread small inputs themselves)."""
+    return balance(_docs(spark, sf_dir))
 
 
 def _analysis(spark, sf_dir, entries=None, **kw) -> DataFrame:
@@ -90,13 +95,13 @@ def _counts_only(df: DataFrame, cats, perc: bool = False) -> DataFrame:
 # tokens and n-grams
 # --------------------------------------------------------------------------- #
 def q_tokenize_stats(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _spread_docs(spark, sf_dir)
     t = d.select("doc_id", tokenize(text_column_of(d, "text")).alias("tk"))
     return t.select("doc_id", F.size("tk").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("tk")).cast("bigint").alias("n_types"))
 
 
 def q_token_freq_by_lang(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _spread_docs(spark, sf_dir)
     t = with_run_length(d, tokenize(text_column_of(d, "text")), "pairs", ["lang"])
     return (
         explode_rows(t, ["lang"], F.col("pairs"), "p")
@@ -108,7 +113,7 @@ def q_token_freq_by_lang(spark, sf_dir):
 def _ngram_top(spark, sf_dir, n, k=25):
     from pyspark.sql import Window
 
-    d = _docs(spark, sf_dir)
+    d = _spread_docs(spark, sf_dir)
     t = d.select("lang", tokenize(text_column_of(d, "text")).alias("tk"))
     t = with_run_length(t, ngrams(F.col("tk"), n), "pairs", ["lang"])
     freq = (
@@ -129,7 +134,7 @@ def q_ngram_trigrams_top(spark, sf_dir):
 
 
 def q_clean_and_tokenize(spark, sf_dir):
-    d = _docs(spark, sf_dir)
+    d = _spread_docs(spark, sf_dir)
     tk = tokenize(text_column_of(d, "text"))
     base = d.select("doc_id", tk.alias("tk"))
     grams = all_ngrams(F.col("tk"), ngram_orders(3))

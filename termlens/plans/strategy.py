@@ -1,10 +1,10 @@
 """Physical-plan choices the library makes before handing the plan to Catalyst.
 
-* ``balance``: text analysis is CPU-bound per byte of text.  A scan with fewer
-  partitions than the cluster has cores (one big row group, a few large files)
-  would run it on a handful of cores, so such inputs are spread round-robin to
-  ``spark.default.parallelism`` partitions.  Inputs that already have enough
-  partitions -- any large table on a real cluster -- are left alone, so no
+* ``balance``: text analysis is CPU-bound per byte of text.  A scan of
+  fewer and smaller files than the cluster has cores for (one big row group, a few
+  files) would run it on a handful of cores, so such inputs are spread round-robin
+  to ``spark.default.parallelism`` partitions.  Inputs that already give every core
+  a full split -- any large table on a real cluster -- are left alone, so no
   shuffle is added at scale.
 * Row-local vs join plan for the dictionary match: see
   :func:`termlens.operators.analyze.analyze` (literal count threshold) and
@@ -14,31 +14,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-
-
-_SHUFFLING = ("Repartition", "Aggregate", "Join", "Window", "Sort", "Distinct", "Deduplicate", "Union")
+import re
+from urllib.parse import unquote
 
-
-def _has_shuffle(df: DataFrame) -> bool:
-    """True when the logical plan already repartitions (its partition count is then
-    the shuffle's, not the scan's)."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    return any(op in plan for op in _SHUFFLING)
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` is a plain scan pipeline with fewer
-    partitions than the cluster's cores; anything else is returned unchanged."""
-    if df.isStreaming or _has_shuffle(df):
+    """Spread ``df`` round-robin when the files under it are fewer and smaller than the cluster's
+    cores can work on: fewer files than cores, and fewer than one full split (the session's
+    ``maxPartitionBytes``) for each core.  Frames without files (and streams) are returned unchanged.
+
+    The order of rows is not kept.
+    """
+    if df.isStreaming:
         return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        # JVM-side RDD of a shuffle-free plan: no job runs, only file splits are listed
-        current = df._jdf.rdd().getNumPartitions()
-    except Exception:  # noqa: BLE001 - plans that cannot report partitions are left alone
-        return df
-    if current >= target:
+    files = df.inputFiles()
+    if not 0 < len(files) < target or _bytes(spark, files) >= target * _split_bytes(spark):
         return df
     return df.repartition(target)
+
+
+def _bytes(spark, files: list[str]) -> int:
+    """Total length of a few files, given as URLs (their contents are not read)."""
+    paths = [re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(f)) for f in files]
+    return spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] or 0
+
+
+def _split_bytes(spark) -> int:
+    text = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}[unit]
