@@ -217,6 +217,39 @@ def test_op6(spark, empty):
     assert {r["x"]["score"] for r in o6.rate(df, nothing, out="x").collect()} == {0.0}
 
 
+def test_op6_all_words(spark):
+    r = random.Random(4)
+    rare = [" ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(4)) for _ in range(12)]
+    # toxic words differ from text to text, so no term passes the test over all words
+    toxic = [(1000 + i, prose(60, 900 + i) + " " + w) for i, w in enumerate(rare)]
+    rows = [(i, prose(60, i)) for i in range(200)] + toxic
+    learned = [d for d, _ in rows if zlib.crc32(str(d).encode()) % 5]
+    again = [(5000 + d, t) for d, t in toxic if d in learned] + [(6000 + d, edited(t, 2, d)) for d, t in toxic if d in learned]
+    df = spark.createDataFrame(rows + again + [(9000, prose(60, 7000))], "doc_id long, text string")
+    model = o6.train(df, spark.createDataFrame([(d, int(d >= 1000)) for d, _ in rows], "doc_id long, toxic int"), o6.learnable())
+    assert not model.terms and model.space.n == len(learned)
+    got = {r["doc_id"]: r["x"] for r in o6.rate(df, model, out="x").collect()}
+    for d, _ in again:
+        assert got[d]["score"] >= 0.5 and got[d]["evidence"][0] == 1000 + d % 1000
+    assert got[9000]["score"] < 0.5 and len(got[9000]["evidence"]) == 3
+    # the search against all cosines
+    bags = [collections.Counter(o6.words(t)) for _, t in rows if _ in learned]
+    n = df.count()
+    seen = collections.Counter(w for _, t in rows + again + [(0, prose(60, 7000))] for w in set(o6.words(t)))
+    known = set().union(*bags)
+
+    def vector(c):
+        v = {w: (1 + math.log(m)) * (math.log((n + 1) / (seen[w] + 1)) + 1) for w, m in c.items() if w in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    for text in (prose(60, 7000), "zzz " + rare[0], prose(5, 3)):
+        q = vector(collections.Counter(o6.words(text)))
+        want = sorted((sum(q.get(w, 0) * x for w, x in vector(b).items()) for b in bags), reverse=True)
+        assert np.allclose([c for c, _ in model.space.nearest([text])[0]], [x for x in want if x > 0][: o6.K], atol=1e-8)
+    assert model.space.nearest([None, "", "zzz"]) == [[], [], []]
+
+
 def test_op7(docs, empty):
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} - {()} for _, w in rows]
