@@ -405,3 +405,49 @@ def test_op9_long_text(monkeypatch):
                 total += math.log2(p if bit else 1 - p)
             weight += o9.RATE * change / np.sqrt(np.maximum(1, count))[:, None]
     assert pieces[1] == pytest.approx(total, rel=1e-4)
+
+
+def test_op9_map_learns_on(monkeypatch):
+    """The refining map takes in each document's own bits, in steps that begin short, over its pieces too."""
+    rng = random.Random(19)
+    words = [f"w{i}".encode() for i in range(300)]
+    texts = [b" ".join(rng.choices(words, weights=range(1, 301), k=n)) for n in (5, 1500, 60)]
+    h, offset = o9.token_hashes(texts)
+    kinds, counts = np.unique(h[h != o9.END], return_counts=True)
+    v = o9.Vocabulary(kinds, counts, len(h), len(kinds) + 1, len(texts))
+    symbol = v.lookup(h)[0]
+    model = o9.Mixer(v, np.zeros(o9.ORDERS * o9.SLOTS), np.zeros(o9.ORDERS * o9.SLOTS))
+    model.map = np.full((3, o9.CELLS), 0.02)  # a map that is wrong for these texts
+    frozen = np.add.reduceat(model.log2(symbol, offset), offset[:-1])
+    whole = np.add.reduceat(model.log2(symbol, offset, adapt=True), offset[:-1])
+    assert whole[1] > frozen[1]
+    monkeypatch.setattr(o9.spans_of, "__defaults__", (400,))
+    pieces = np.add.reduceat(model.log2(symbol, offset, adapt=True), offset[:-1])
+    assert pieces[[0, 2]] == pytest.approx(whole[[0, 2]], rel=1e-9)
+    total, weight, done = 0.0, model.weight.astype(float), 0
+    ones, both = np.zeros((3, o9.CELLS)), np.zeros((3, o9.CELLS))
+    for first, last, inner, past in o9.spans_of(symbol, offset):
+        if not offset[1] <= first < offset[2]:
+            continue
+        place, at = v.events(symbol[first:last], inner, past)[1], 0
+        while at < len(place):
+            to = min(len(place), at + min(o9.STEP, max(o9.EARLY, done)))
+            value = (o9.HOLD * model.map + ones) / (o9.HOLD + both)
+            change, count = np.zeros_like(weight), np.zeros(o9.GATES)
+            for i in range(at, to):
+                bit, tree, depth = int(v.bit[place[i]]), v.tree[v.node[place[i]]], int(v.depth[place[i]])
+                x = np.array([tree] * 4 + [0.3])  # no context was ever seen
+                dot = weight[depth] @ x
+                change[depth] += (bit - 1 / (1 + math.exp(-dot))) * x
+                count[depth] += 1
+                dot = min(9, max(-9, dot))
+                cell = min(o9.CELLS - 1.001, dot / 0.75 + (o9.CELLS - 1) / 2)
+                low, part = int(cell), cell % 1
+                p = 0.5 / (1 + math.exp(-dot)) + 0.5 * (value[depth, low] * (1 - part) + value[depth, low + 1] * part)
+                total += math.log2(p if bit else 1 - p)
+                for c, share in ((low, 1 - part), (low + 1, part)):
+                    ones[depth, c] += share * bit
+                    both[depth, c] += share
+            weight += o9.RATE * change / np.sqrt(np.maximum(1, count))[:, None]
+            done, at = done + to - at, to
+    assert pieces[1] == pytest.approx(total, rel=1e-4)
