@@ -451,3 +451,13 @@ def test_op9_map_learns_on(monkeypatch):
             weight += o9.RATE * change / np.sqrt(np.maximum(1, count))[:, None]
             done, at = done + to - at, to
     assert pieces[1] == pytest.approx(total, rel=1e-4)
+
+
+def test_op9_table_is_bounded(spark, monkeypatch):
+    """At most TOP words are sent, also if more have a very large count each; scores use all counts."""
+    df = spark.createDataFrame([(i, f"{w} " * n) for i, (w, n) in enumerate([("a", 100_003), ("b", 100_002), ("c", 100_001), ("d e", 1)])], "doc_id long, text string")
+    monkeypatch.setattr(o9, "TOP", 2)
+    model, counts = o9.train(df, F.lit(True))
+    assert model.v.count.tolist() and sorted(model.v.count.tolist()) == [100_002, 100_003]
+    got = o9.score(df, model, counts).where("doc_id = 2").first()
+    assert (got["n_known"], got["train_tokens"]) == (100_002, 300_012)
