@@ -1,6 +1,6 @@
 """The registered queries of the subpackage, and the SQL of those that SQL can express."""
 
-from termlens.llm import op01_secret_scan, op12_mixing
+from termlens.llm import op01_secret_scan, op12_mixing, op13_phrases
 from termlens.llm.op01_secret_scan import op1_secret_scan
 from termlens.llm.op02_decontaminate import op2_decontaminate
 from termlens.llm.op03_substring_dedup import op3_substring_dedup
@@ -12,6 +12,7 @@ from termlens.llm.op08_packing import op8_packing
 from termlens.llm.op09_lm_scoring import op9_lm_scoring
 from termlens.llm.op10_ann import op10_ann
 from termlens.llm.op12_mixing import op12_curriculum
+from termlens.llm.op13_phrases import op13_collocations
 
 QUERIES = {
     f.__name__: f
@@ -27,7 +28,12 @@ QUERIES = {
         op9_lm_scoring,
         op10_ann,
         op12_curriculum,
+        op13_collocations,
     )
 }
 
-ORACLE_SQL = {"op1_secret_scan": op01_secret_scan.ORACLE_SQL, "op12_curriculum": op12_mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_secret_scan": op01_secret_scan.ORACLE_SQL,
+    "op12_curriculum": op12_mixing.ORACLE_SQL,
+    "op13_collocations": op13_phrases.ORACLE_SQL,
+}
