@@ -33,7 +33,7 @@ WEIGHTS = (1, 2, 3)  # of the sources in order, repeating
 LIMIT = 3  # no target is above so many times the words of its source
 # Schedules of the three weight classes: level, falling and rising (time, height) knots.
 SHAPES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)))
-ROWS = 20_000  # of a source in a bucket, about
+ROWS = 2_000  # of a source in a bucket, about
 BLOCK = 10_000  # copies made from one row at once
 
 Shape = tuple[tuple[float, float], ...]
