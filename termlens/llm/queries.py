@@ -11,6 +11,7 @@ from termlens.llm.op07_minhash import op7_minhash_neardup
 from termlens.llm.op08_packing import op8_packing
 from termlens.llm.op09_lm_scoring import op9_lm_scoring
 from termlens.llm.op10_ann import op10_ann
+from termlens.llm.op11_whitening import op11_whitening
 from termlens.llm.op12_mixing import op12_curriculum
 from termlens.llm.op13_phrases import op13_collocations
 
@@ -27,6 +28,7 @@ QUERIES = {
         op8_packing,
         op9_lm_scoring,
         op10_ann,
+        op11_whitening,
         op12_curriculum,
         op13_collocations,
     )
