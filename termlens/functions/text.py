@@ -46,14 +46,66 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}|{WHITE}$", "")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def number_text(c: Column | str) -> Column:
+    """A double or float with the fewest digits that tell it apart, written as Python writes it:
+    ``5.0``, ``10000000.0``, ``1e-05``, ``1e+16``, ``inf``."""
+    x = _col(c)
+    pattern = r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
+
+    def parts(raw: Column) -> Column:
+        """(digits without zeros at the ends, point): the size is 0.digits * 10 ** point."""
+        whole, part, exponent = (F.regexp_extract(raw, pattern, i) for i in (1, 2, 3))
+        lead = F.length(F.regexp_extract(F.concat(whole, part), "^0*", 0))
+        point = F.length(whole) + F.coalesce(exponent.try_cast("int"), F.lit(0)) - lead
+        return F.struct(F.regexp_replace(F.concat(whole, part), "^0+|0+$", "").alias("digits"), point.alias("point"))
+
+    def fewer(p: Column) -> Column:
+        """The same with one digit less, rounded."""
+        return let(
+            F.round(p["digits"].try_cast("decimal(20,0)"), -1).cast("string"),
+            lambda r: F.struct(F.regexp_replace(r, "0+$", "").alias("digits"), (p["point"] + F.length(r) - F.length(p["digits"])).alias("point")),
+        )
+
+    def shortest(p: Column) -> Column:
+        # some runtimes give a digit or two too many: one less is right where it reads back as the same number
+        same = lambda q: F.concat(F.lit("0."), q["digits"], F.lit("E"), q["point"].cast("string")).try_cast("double") == F.abs(x)
+        return let(fewer(p), lambda q: F.when(F.coalesce((q["digits"] != "") & same(q), F.lit(False)), q).otherwise(p))
+
+    def written(p: Column) -> Column:
+        digits, point = p["digits"], p["point"]
+        n = F.length(digits)
+        fixed = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n), F.lit(".0")))
+            .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+        )
+        mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
+        power = F.abs(point - 1).cast("string")
+        scientific = F.concat(mantissa, F.when(point < 1, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(power) < 2, F.lit("0")).otherwise(F.lit("")), power)
+        return F.when(point.between(-3, 16), fixed).otherwise(scientific)
+
+    raw = x.cast("string")
+    sign = F.when(F.startswith(raw, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    size = F.when(x == 0, F.lit("0.0")).when(F.abs(x) == float("inf"), F.lit("inf")).otherwise(let(let(let(parts(raw), shortest), shortest), written))
+    return F.when(F.isnan(x), F.lit("nan")).otherwise(F.concat(sign, size))
+
+
 def text_or_empty(c: Column | str, data_type: T.DataType | None = None) -> Column:
-    """Missing text counts as empty; other types are stringified (``5.0`` -> ``"5.0"``).
+    """Missing text counts as empty; other types are written as Python writes them (``5.0`` ->
+    ``"5.0"``, ``1e-5`` -> ``"1e-05"``, truth -> ``"True"``).
 
     Float NaN is missing too, so it maps to ``""`` instead of ``"NaN"``.
     """
     col = _col(c)
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        col = F.when(~F.isnan(col), col)
+        col = F.when(~F.isnan(col), number_text(col))
+    elif isinstance(data_type, T.BooleanType):
+        col = F.initcap(col.cast("string"))
     return F.coalesce(col.cast("string"), F.lit(""))
 
 

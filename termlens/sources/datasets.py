@@ -1,9 +1,9 @@
 """Dataset and wordlist sources (SRC-1..10): format dispatch onto Spark readers.
 
 Delimited files keep RFC-4180 quoting (text cells hold commas, quotes and
-newlines, so ``multiLine`` is on).  A ``multiLine`` file cannot be split: for
-very large inputs without line breaks in cells pass ``multiline=False``, or
-prefer Parquet, which Spark splits, prunes and filters at the scan.
+newlines).  One file is read by many tasks, also when its cells hold line breaks
+(:mod:`termlens.sources.delimited`); Parquet is still the better format at scale,
+as Spark prunes and filters it at the scan.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termlens.errors import UnsupportedFormatError, require_columns
+from termlens.sources.delimited import scan
 
 # Strings read as missing by default (the pandas reader's list).
 NA_VALUES = (
@@ -44,39 +45,62 @@ def resolve_format(path: str, fmt: str | None, table: dict[str, str], kind: str)
     return table[suf]
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
+def _delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str] | None = None, multiline: bool | str = True) -> DataFrame:
     """A delimited file as string columns: short rows end in nulls, longer rows than the header are an error.
 
-    ``multiline=False`` lets Spark split large files; then no cell may hold a line break.
+    ``multiline``: ``True`` splits files also when cells hold line breaks; ``False`` takes every line
+    as a record (one pass less); ``"whole"`` reads each file by one task, with Spark's multi-line reader.
     """
+    if multiline not in (True, False, "whole"):
+        raise ValueError(f"multiline is True, False or 'whole', not {multiline!r}")
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", multiline)
+        .option("multiLine", bool(multiline))
         .option("quote", '"')
         .option("escape", '"')
         .option("sep", sep)
     )
     names = list(names) if names is not None else reader.option("inferSchema", False).csv(path).columns
     extra = "__tl_beyond_header"
-    fields = [T.StructField(n, T.StringType()) for n in [*names, extra]]
-    rows = reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+    rows = scan(spark, path, sep, [*names, extra]) if multiline is True else None
+    if rows is None:
+        fields = [T.StructField(n, T.StringType()) for n in [*names, extra]]
+        rows = reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
     message = F.concat(F.lit(f"a row of {path} has more than {len(names)} cells, the first beyond them: "), F.col(extra))
     fits = F.when(F.col(extra).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return rows.filter(fits).drop(extra)
 
 
+# Cells that read as whole numbers, as numbers, and as truth values.
+INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
+
+
 def infer_types(df: DataFrame) -> DataFrame:
-    """String columns as bigint, double or boolean where every value reads as one (one aggregate
-    over the data); a column without values stays a string."""
+    """String columns as bigint, double or boolean where every value is written as one (one aggregate
+    over the data); a column without values stays a string.
+
+    Whole numbers beyond 64 bits and values such as ``yes``, ``t`` or ``12d`` are text; whole numbers
+    among missing cells are doubles.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    kinds = ["bigint", "double", "boolean"]
-    parts = [F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)]
+    parts = [F.count(F.lit(1)).alias("rows")]
     for i, n in enumerate(names):
-        parts += [F.count(F.col(f"`{n}`").try_cast(k)).alias(f"{k}{i}") for k in kinds]
+        c = F.col(f"`{n}`")
+        kinds = {"n": c.isNotNull(), "bigint": c.rlike(INTEGER) & c.try_cast("bigint").isNotNull(), "whole": c.rlike(INTEGER), "double": c.rlike(NUMBER), "boolean": c.isin(*TRUTH)}
+        parts += [F.count(F.when(test, True)).alias(f"{kind}{i}") for kind, test in kinds.items()]
     seen = df.agg(*parts).collect()[0]
-    to = {n: next((k for k in kinds if seen[f"n{i}"] and seen[f"{k}{i}"] == seen[f"n{i}"]), None) for i, n in enumerate(names)}
+
+    def kind_of(i: int) -> str | None:
+        n = seen[f"n{i}"]
+        if n and seen[f"whole{i}"] == n:
+            return None if seen[f"bigint{i}"] < n else "bigint" if n == seen["rows"] else "double"
+        return next((k for k in ("double", "boolean") if n and seen[f"{k}{i}"] == n), None)
+
+    to = {n: kind_of(i) for i, n in enumerate(names)}
     return df.select(*[F.col(f"`{c}`").cast(to[c]).alias(c) if to.get(c) else F.col(f"`{c}`") for c in df.columns])
 
 
@@ -99,7 +123,7 @@ def read_dataset(
     usecols: Sequence[str] | None = None,
     dtype: dict[str, str] | None = None,
     na_values: bool = True,
-    multiline: bool = True,
+    multiline: bool | str = True,
     infer: bool = True,
 ) -> DataFrame:
     """Read a dataset: csv / tsv / xlsx / parquet path (file, folder or glob), or pass a DataFrame through.
@@ -108,7 +132,7 @@ def read_dataset(
     ``na_values=False``) *before* types are given, so an ``NA`` in a column of numbers does not make
     it text.  ``schema`` gives all types and skips inference; ``dtype`` casts named columns (SRC-4);
     ``infer=False`` leaves the rest as text and saves a pass over the data.  ``usecols`` selects
-    columns (Catalyst prunes the scan, SRC-5).  ``multiline=False`` makes large files splittable.
+    columns (Catalyst prunes the scan, SRC-5).  ``multiline``: see :func:`_delimited`.
     Parquet and DataFrames keep their types and values.
     """
     if isinstance(src, DataFrame):
