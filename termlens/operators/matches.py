@@ -13,8 +13,10 @@
    measured size is under ``broadcast_limit_bytes``; otherwise the frequent ones (more than one
    shuffle partition's share of the bag, hence at most as many as there are partitions) are
    broadcast and only the rest of the bag is shuffled, so no hot term fills a task.
-4. Hits are summed per (row, category) and attached to the staged rows by the internal id.  Columns
-   that the caller drops are pruned from the staged scan and never move.
+4. :func:`analyze_by_join` needs every row's hits next to its columns.  When the matched terms are
+   under the limit, each row looks its bag up where it is: no text moves, nothing is joined or
+   shuffled above the staged scan.  Otherwise hits are summed per (row, category) and attached by the
+   internal id; columns that the caller drops are pruned from the staged scan and never move.
 
 :func:`term_matches` gives one row per (row, entry) hit: ``key, category, term, occ, weight,
 match_kind``.  ``occ`` is the term's occurrences in the row and ``weight`` the entry's multiplicity.
@@ -22,7 +24,9 @@ match_kind``.  ``occ`` is the term's occurrences in the row and ``weight`` the e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termlens.functions.text import all_ngrams, explode_rows, ngrams, text_column_of, tokenize, with_run_length, word_share
@@ -171,6 +175,52 @@ def _hits(staged: DataFrame, matched: DataFrame, keep: list[str], broadcast_limi
     return frequent.unionByName(others)
 
 
+def _looked_up(bag: Column, per_term: DataFrame, cats: list[str], convention: str, with_detected: bool) -> Column:
+    """The counts of every category (in the order of ``cats``) for a row's bag, and its detected terms:
+    ``struct<counts: array<bigint>, detected: array<map<string,bigint>>>``.
+
+    ``per_term`` (term, category, e, m) is a written table of checked size; it is sent to all tasks.
+    """
+    place = {c: i for i, c in enumerate(cats)}
+    known: dict[str, list] = {}
+    for r in per_term.toLocalIterator():
+        known.setdefault(r["term"], []).append((place[r["category"]], r["e"], r["m"]))
+    sent = per_term.sparkSession.sparkContext.broadcast(known)
+    width, legacy = len(cats), convention != "tokens"
+
+    @F.arrow_udf("struct<counts:array<bigint>,detected:array<map<string,bigint>>>")
+    def run(bags: pa.Array) -> pa.Array:
+        n = len(bags)
+        counts = np.zeros(n * width, np.int64)
+        _, terms, occurrences = bags.flatten().flatten()
+        terms = terms.dictionary_encode()
+        code = terms.indices.to_numpy()
+        size = np.diff(bags.offsets.to_numpy())
+        words = terms.dictionary.to_pylist()
+        found = [sent.value.get(w, ()) for w in words]
+        hits = np.array([len(f) for f in found], np.int64)
+        first = np.cumsum(hits) - hits
+        cat, exact, prefix = (np.array([x[k] for f in found for x in f], np.int64) for k in range(3))
+        # each entry of a bag, once for every match of its term
+        times = hits[code]
+        entry = np.repeat(np.arange(len(code)), times)
+        match = np.repeat(first[code] - np.cumsum(times) + times, times) + np.arange(len(entry))
+        occ = occurrences.to_numpy()[entry]
+        cell = np.repeat(np.arange(n), size)[entry] * width + cat[match]
+        np.add.at(counts, cell, (exact[match] if legacy else occ * exact[match]) + occ * prefix[match])
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), values)
+        maps = pa.nulls(n * width, pa.map_(pa.string(), pa.int64()))
+        if with_detected:
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(np.array([w.encode() for w in words], object), kind="stable")] = np.arange(len(words))
+            order = np.lexsort((rank[code[entry]], cell))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n * width))])
+            maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), terms.dictionary.take(pa.array(code[entry][order])), pa.array(occ[order], pa.int64()))
+        return pa.StructArray.from_arrays([lists(pa.array(counts)), lists(maps)], ["counts", "detected"])
+
+    return run(bag)
+
+
 def term_matches(
     df: DataFrame,
     key_col: str,
@@ -217,7 +267,21 @@ def analyze_by_join(
     staged = stage_rows(df, text_col, orders, originals, _multi_start_filters(v, orders))
     amount = lambda kind: F.coalesce(F.sum(F.when(F.col("match_kind") == kind, F.col("weight"))), F.lit(0)).cast("bigint")
     per_term = _matched(staged, v).groupBy("is_multi", "term", "n", "category").agg(amount("exact").alias("e"), amount("prefix").alias("m"))
-    hits = _hits(staged, stage_table(per_term, "matched"), [ROW_ID], broadcast_limit_bytes)
+    per_term = stage_table(per_term, "matched")
+    names = _output_names(originals, cats)
+    n_tok = F.col(TOKENS)
+    out = [F.col(f"`{c}`") for c in originals]
+    out += [n_tok.alias(names[N_TOKENS]), F.col(TYPES).alias(names[N_TYPES])]
+    if estimated_bytes(per_term, ["term", "category"]) <= broadcast_limit_bytes:
+        rows = staged.withColumn("__res", _looked_up(F.col(BAG), per_term, cats, convention, with_detected))
+        for i, c in enumerate(cats):
+            count = F.get(F.col("__res.counts"), F.lit(i))
+            out.append(count.alias(names[f"{c}{COUNT_SUFFIX}"]))
+            out.append(word_share(count, n_tok).alias(names[f"{c}{PERC_SUFFIX}"]))
+            if with_detected:
+                out.append(F.get(F.col("__res.detected"), F.lit(i)).alias(names[f"{c}{DETECTED_SUFFIX}"]))
+        return rows.select(*out)
+    hits = _hits(staged, per_term, [ROW_ID], broadcast_limit_bytes)
     # legacy: an exact entry counts the term once, a prefix entry its occurrences
     exact = F.col("occ") * F.col("e") if convention == "tokens" else F.col("e")
     aggs = [F.sum(exact + F.col("occ") * F.col("m")).cast("bigint").alias("cnt")]
@@ -229,11 +293,7 @@ def analyze_by_join(
         hits.groupBy(ROW_ID, "category").agg(*aggs)
         .groupBy(ROW_ID).agg(F.map_from_entries(F.collect_list(F.struct("category", F.struct("cnt", "det")))).alias("__res"))
     )
-    names = _output_names(originals, cats)
     joined = staged.drop(BAG).join(per_row, ROW_ID, "left")
-    n_tok = F.col(TOKENS)
-    out = [F.col(f"`{c}`") for c in originals]
-    out += [n_tok.alias(names[N_TOKENS]), F.col(TYPES).alias(names[N_TYPES])]
     empty = F.create_map().cast("map<string,bigint>")
     for c in cats:
         r = F.col("__res")[F.lit(c)]
