@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,8 +155,9 @@ def _occurrences(staged: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _matched(staged: DataFrame, v: DataFrame) -> DataFrame:
+    # written once: the branches of the match filter it differently and would each count it anew
     terms = _occurrences(staged, []).groupBy("is_multi", "term").agg(F.count(F.lit(1)).alias("n"))
-    return match_terms(terms, v)
+    return match_terms(stage_table(terms, "terms"), v)
 
 
 def _hits(staged: DataFrame, matched: DataFrame, keep: list[str], broadcast_limit_bytes: int) -> DataFrame:
@@ -181,11 +183,14 @@ def _looked_up(bag: Column, per_term: DataFrame, cats: list[str], convention: st
 
     ``per_term`` (term, category, e, m) is a written table of checked size; it is sent to all tasks.
     """
+    table = per_term.select("term", "category", "e", "m").toArrow().combine_chunks().sort_by("term")
     place = {c: i for i, c in enumerate(cats)}
-    known: dict[str, list] = {}
-    for r in per_term.toLocalIterator():
-        known.setdefault(r["term"], []).append((place[r["category"]], r["e"], r["m"]))
-    sent = per_term.sparkSession.sparkContext.broadcast(known)
+    terms = pa.concat_arrays([c.cast(pa.string()) for c in table.column("term").chunks] or [pa.array([], pa.string())]).dictionary_encode()
+    number = terms.indices.to_numpy()
+    columns = [np.array([place[c] for c in table.column("category").to_pylist()], np.int64), table.column("e").to_numpy(), table.column("m").to_numpy()]
+    # the matches of term i are the rows first[i]:first[i + 1]
+    first = np.searchsorted(number, np.arange(len(terms.dictionary) + 1))
+    sent = per_term.sparkSession.sparkContext.broadcast((terms.dictionary, first, *columns))
     width, legacy = len(cats), convention != "tokens"
 
     @F.arrow_udf("struct<counts:array<bigint>,detected:array<map<string,bigint>>>")
@@ -196,11 +201,10 @@ def _looked_up(bag: Column, per_term: DataFrame, cats: list[str], convention: st
         terms = terms.dictionary_encode()
         code = terms.indices.to_numpy()
         size = np.diff(bags.offsets.to_numpy())
-        words = terms.dictionary.to_pylist()
-        found = [sent.value.get(w, ()) for w in words]
-        hits = np.array([len(f) for f in found], np.int64)
-        first = np.cumsum(hits) - hits
-        cat, exact, prefix = (np.array([x[k] for f in found for x in f], np.int64) for k in range(3))
+        matched, ends, cat, exact, prefix = sent.value
+        row = pc.fill_null(pc.index_in(terms.dictionary, value_set=matched), -1).to_numpy()
+        hits = np.where(row >= 0, ends[row + 1] - ends[row], 0)
+        first = ends[row]
         # each entry of a bag, once for every match of its term
         times = hits[code]
         entry = np.repeat(np.arange(len(code)), times)
@@ -211,9 +215,7 @@ def _looked_up(bag: Column, per_term: DataFrame, cats: list[str], convention: st
         lists = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), values)
         maps = pa.nulls(n * width, pa.map_(pa.string(), pa.int64()))
         if with_detected:
-            rank = np.empty(len(words), np.int64)
-            rank[np.argsort(np.array([w.encode() for w in words], object), kind="stable")] = np.arange(len(words))
-            order = np.lexsort((rank[code[entry]], cell))
+            order = np.lexsort((row[code[entry]], cell))  # matched terms are sorted
             offsets = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=n * width))])
             maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), terms.dictionary.take(pa.array(code[entry][order])), pa.array(occ[order], pa.int64()))
         return pa.StructArray.from_arrays([lists(pa.array(counts)), lists(maps)], ["counts", "detected"])
