@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import base64
 from array import array
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,65 +33,90 @@ SHARD = 1_000_000
 END = 1
 TERMS = 16  # of the seed's terms, the heaviest ones that are looked up
 K1, B = 1.2, 0.75
+LONG = 100_000  # characters; longer texts are encoded by the tokenizer file itself
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """What the driver reads of the tokenizer file, sent to the tasks: they need not load it."""
+
+    tokenizer: str
+    ranks: str
+    special: tuple[str, ...]
+    size: int
+
+    @classmethod
+    def of(cls, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Tokens:
+        slow = _tokenizer(tokenizer)
+        return cls(tokenizer, ranks, tuple(t.content for t in slow.get_added_tokens_decoder().values()), slow.get_vocab_size())
+
+    @property
+    def kind(self):
+        return np.uint16 if self.size <= 1 << 16 else np.uint32
+
+
+@cache
+def _tokenizer(name: str):
+    import public_tokenizers as files
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(files.path(name))
+
+
 class Encoder:
     """Token ids of whole texts, as the tokenizer file gives them.
 
-    The same vocabulary as ranks gives the same ids faster; texts with a special token's string go
-    through the tokenizer file itself.
+    The same vocabulary as ranks gives the same ids faster.  Texts with a special token's string go
+    through the tokenizer file itself, and so do texts of more than ``LONG`` characters: the faster
+    library fails on runs of white space that are some hundred thousand characters long.
     """
 
-    def __init__(self, tokenizer: str = TOKENIZER, ranks: str = RANKS):
+    def __init__(self, about: Tokens):
         import public_tokenizers as files
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(files.path(tokenizer))
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        with open(files.path(ranks), "rb") as f:
+        self.about, self.code = about, "H" if about.kind is np.uint16 else "I"
+        with open(files.path(about.ranks), "rb") as f:
             pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=pairs, special_tokens={})
-        self.kind = np.uint16 if self.slow.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = "H" if self.kind is np.uint16 else "I"
 
     def __call__(self, text: str) -> bytes:
-        """The ids of ``text`` as bytes of ``kind``."""
-        if any(s in text for s in self.special):
-            ids = self.slow.encode(text, add_special_tokens=False).ids
+        """The ids of ``text`` as bytes of the ids' kind."""
+        if len(text) > LONG or any(s in text for s in self.about.special):
+            ids = _tokenizer(self.about.tokenizer).encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)
         return array(self.code, ids).tobytes()
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def encoder(tokenizer: str = TOKENIZER, ranks: str = RANKS) -> Encoder:
+@cache
+def encoder(about: Tokens) -> Encoder:
     """One encoder for each worker process."""
-    if (tokenizer, ranks) not in _ENCODERS:
-        _ENCODERS[tokenizer, ranks] = Encoder(tokenizer, ranks)
-    return _ENCODERS[tokenizer, ranks]
+    return Encoder(about)
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, ranks: str = RANKS) -> DataFrame:
     """(doc_id, ids, place, df, n_docs): a row for each document (ids with the end id, and the content
     key that it is ordered by), and one for each task with its document frequencies by token."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body"))
+    about = Tokens.of(tokenizer, ranks)
 
     def run(batches):
-        enc = encoder(tokenizer, ranks)
-        end = np.array([END], enc.kind).tobytes()
-        df = np.zeros(enc.slow.get_vocab_size() + 1, np.int64)
+        enc, kind = encoder(about), about.kind
+        end = np.array([END], kind).tobytes()
+        df = np.zeros(about.size + 1, np.int64)
         total = n = 0
         names = ["doc_id", "ids", "place", "df", "n_docs", "n_tokens"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         for batch in batches:
             ids, place = [], []
+            known: dict[str, bytes] = {}  # copies in a batch are encoded once
             for t in batch.column("body").to_pylist():
-                ids.append((enc(t) if t else b"") + end)
-                x = np.frombuffer(ids[-1], enc.kind)
+                if t not in known:
+                    known[t] = (enc(t) if t else b"") + end
+                ids.append(known[t])
+                x = np.frombuffer(ids[-1], kind)
                 seen = np.flatnonzero(np.bincount(x)) if len(x) > 2000 else np.unique(x)
                 df[seen] += 1
                 total += len(x)
@@ -220,8 +247,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     # range partitions over (place, id): even, and a place that a third of all rows has is split
     rows = rows.repartitionByRange(partitions(spark), "place", "doc_id").sortWithinPartitions("place", "doc_id", "ids")
 
+    kind = Tokens.of(tokenizer, ranks).kind
+
     def run(batches):
-        kind = encoder(tokenizer, ranks).kind
         packer, names, ids, total, base = Packer(TaskContext.get().partitionId(), window), [], [], 0, 0
         held: dict[int, tuple] = {}  # documents of this shard, and those with pieces in the open window
 
