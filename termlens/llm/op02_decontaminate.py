@@ -8,17 +8,27 @@ whole item against a part of the text) decides, with edits counted exactly.  A f
 stretches of text that hold too few q-grams of any item; it is a weaker form of the same bound, so
 it loses nothing.
 
+Runs and rulers repeat q-grams so often that hits times postings would grow with the square of their
+length.  Where a stretch of text has more than ``PAIRS`` of them, its most repeated q-grams are left out
+of the count and every item's bound falls by the number of its positions that hold one, which keeps
+the lemma.  Items that consist of such q-grams alone have no bound left: their hits on each diagonal
+are counted exactly by correlating the positions of each q-gram in text and item.  Texts are searched
+in stretches of ``STRETCH`` characters that overlap by the longest occurrence.
+
 Characters are lower-cased one to one and every white space is a space, so positions are code points
 of the original text.  Items shorter than ``q`` characters match exactly only.  The items are sent to
 the executors in blocks of about ``BLOCK_CHARS`` characters, one pass over the texts for each block,
 so what is broadcast stays bounded however large the benchmark is.
 
 Defined results: null and empty texts or items have no matches; repeated rows and ids each give their
-own rows; an empty table on either side gives an empty result; other columns are ignored.
+own rows; texts of any length are searched whole in bounded memory; of overlapping occurrences of one item
+the one with the fewest edits stays, then the first; an empty table on either side gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
 import numpy as np
@@ -33,6 +43,8 @@ Q = 10
 BUDGET = 0.05  # edits per character of the item
 BLOCK_CHARS = 4_000_000
 BITS = 22
+PAIRS = 1 << 20  # of text and item positions with one q-gram that are listed at once
+STRETCH = 1 << 19  # characters of a text searched at once
 SCHEMA = "row_key long, item_id long, start long, `end` long, edits int, item_chars int"
 
 
@@ -79,7 +91,10 @@ class Index:
         c = characters(text)
         out = [(n, s, s + len(x), 0) for n, x in self.short for s in _exact(c, x)]
         if self.reach and len(c) >= self.q:
-            out += self._long(c)
+            found = []
+            for a in range(0, max(1, len(c) - self.reach), STRETCH):
+                found += [(n, a + s, a + e, d) for n, s, e, d in self._long(c[a : a + STRETCH + self.reach])]
+            out += _best(found)
         return out
 
     def _long(self, c: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -101,11 +116,18 @@ class Index:
         np.add.at(near, np.minimum(len(c), pos[self.least - 1 :][dense] + self.reach), -1)
         stays = np.cumsum(near)[pos] > 0
         pos, slot = pos[stays], slot[stays]
+        found = []
+        bound, whole = self.bound, []
         n = self.first[slot + 1] - self.first[slot]
+        if n.sum() > PAIRS:
+            left, bound, whole = self._light(slot)
+            pos, slot = pos[left], slot[left]
+            n = self.first[slot + 1] - self.first[slot]
+            for i in whole:
+                found += self._dense(c, h, int(i))
         entry = np.repeat(self.first[slot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         item = self.owner[entry]
         diagonal = np.repeat(pos, n) - self.at[entry]
-        found = []
         # bands of 2k+1 diagonals every k+1: any k+1 neighbouring diagonals lie in one of them
         step = self.k[item] + 1
         shift = int(self.m.max()) + 1
@@ -113,12 +135,48 @@ class Index:
         wide = len(c) + shift + 2
         keys = np.concatenate([item * wide + band, item * wide + np.maximum(band - 1, 0)])
         key, count = np.unique(keys, return_counts=True)
-        bound = self.bound[key // wide]
-        for x in key[count >= bound]:
+        for x in key[count >= np.maximum(1, bound[key // wide])]:
             i, b = int(x // wide), int(x % wide)
-            low = b * int(self.k[i] + 1) - shift  # band b: diagonals low .. low + 2k + 1
-            found += _verify(c, self.codes[i], low, low + 2 * int(self.k[i]) + 1, int(self.k[i]), i)
-        return _best(found)
+            if bound[i] > 0:
+                found += self._band(c, i, b, shift)
+        return found
+
+    def _band(self, c: np.ndarray, i: int, b: int, shift: int) -> list[tuple[int, int, int, int]]:
+        low = b * int(self.k[i] + 1) - shift  # band b: diagonals low .. low + 2k + 1
+        return _verify(c, self.codes[i], low, low + 2 * int(self.k[i]) + 1, int(self.k[i]), i)
+
+    def _light(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which hits stay, the items' bounds among them, the items without a bound left)."""
+        times = np.bincount(slot, minlength=len(self.gram)) * np.diff(self.first)
+        order = np.argsort(times, kind="stable")
+        stays = np.zeros(len(self.gram), bool)
+        stays[order[: np.searchsorted(np.cumsum(times[order]), PAIRS, "right")]] = True
+        heavy = ~np.repeat(stays, np.diff(self.first))
+        bound = self.bound - np.bincount(self.owner[heavy], minlength=len(self.m))
+        return stays[slot], bound, np.flatnonzero((bound <= 0) & (self.m >= self.q))
+
+    def _dense(self, c: np.ndarray, h: np.ndarray, i: int) -> list[tuple[int, int, int, int]]:
+        """Occurrences of an item of repeated q-grams: hits on every diagonal by correlation."""
+        own = grams(self.codes[i], self.q)
+        different = np.unique(own)
+        if not np.isin(different, h).any():
+            return []
+        size = 1 << int(len(h) + len(own)).bit_length()
+        total = np.zeros(size)
+        for g in different:
+            here = np.flatnonzero(h == g)
+            if len(here):
+                text, item = np.zeros(size), np.zeros(size)
+                text[here] = 1
+                item[(-np.flatnonzero(own == g)) % size] = 1
+                total += np.rint(np.fft.irfft(np.fft.rfft(text) * np.fft.rfft(item), size))
+        # total[d] is the number of hits on diagonal d; diagonals below 0 are at the end
+        shift = int(self.m.max()) + 1
+        step = int(self.k[i]) + 1
+        low = np.arange(-len(own), len(h))
+        count = np.bincount((low + shift) // step, total[low % size])
+        count = count + np.append(count[1:], 0)
+        return [x for b in np.flatnonzero(np.rint(count) >= self.bound[i]).tolist() for x in self._band(c, i, b, shift)]
 
 
 def _exact(c: np.ndarray, x: np.ndarray) -> list[int]:
@@ -168,9 +226,16 @@ def _verify(c, item, low, high, k, number):
 def _best(found):
     """Of overlapping occurrences of one item, the one with the fewest edits (then the first)."""
     out = []
+    starts: dict[int, list[int]] = {}  # of an item's chosen occurrences, which do not overlap
+    ends: dict[int, list[int]] = {}
     for x in sorted(set(found), key=lambda x: (x[0], x[3], x[1], x[2])):
-        if all(y[0] != x[0] or x[2] <= y[1] or x[1] >= y[2] for y in out):
-            out.append(x)
+        s, e = starts.setdefault(x[0], []), ends.setdefault(x[0], [])
+        i = bisect_left(s, x[2])  # those before i start before x ends
+        if i and e[i - 1] > x[1]:
+            continue
+        s.insert(i, x[1])
+        e.insert(i, x[2])
+        out.append(x)
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
