@@ -276,10 +276,10 @@ def test_op8(spark, docs, empty):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(files.path(o8.TOKENIZER))
-    fast = o8.Encoder()
+    fast = o8.encoder(o8.Tokens.of())
     odd = [" a", "a  b\n\n c ", "x<|endoftext|>y", "don't 123 été 　  z", "😀👩‍👩‍👧", "\n", "tab\tand \x0b"] + [t for t in TEXTS if t]
     for t in odd:
-        assert np.frombuffer(fast(t), fast.kind).tolist() == slow.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(fast(t), fast.about.kind).tolist() == slow.encode(t, add_special_tokens=False).ids
     got = o8.pack(docs, shard_tokens=3000).collect()
     pieces = collections.defaultdict(list)
     sequences = collections.defaultdict(list)
@@ -299,6 +299,17 @@ def test_op8(spark, docs, empty):
     assert o8.pack(empty).count() == 0
 
 
+def test_op8_long_white_space(spark):
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "word " * 60_000, "x" * 300_000, "short"]
+    slow = o8._tokenizer(o8.TOKENIZER)
+    got = o8.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "start", "length", "doc_tokens").collect()
+    for i, t in enumerate(texts):
+        n = len(slow.encode(t, add_special_tokens=False).ids) + 1
+        mine = sorted((r["start"], r["length"]) for r in got if r["doc_id"] == i)
+        assert {r["doc_tokens"] for r in got if r["doc_id"] == i} == {n} and sum(x for _, x in mine) == n
+        assert all(a + x == b for (a, x), (b, _) in zip(mine, mine[1:]))
+
+
 def test_op9(docs, empty):
     learn = o9.id_crc("doc_id") % 7 != 2
     model, counts = o9.train(docs, learn)
@@ -461,3 +472,38 @@ def test_op9_table_is_bounded(spark, monkeypatch):
     assert model.v.count.tolist() and sorted(model.v.count.tolist()) == [100_002, 100_003]
     got = o9.score(df, model, counts).where("doc_id = 2").first()
     assert (got["n_known"], got["train_tokens"]) == (100_002, 300_012)
+
+
+def test_op2_repeated_grams(monkeypatch):
+    r = random.Random(8)
+    ruler, indent = "-" * 60, " " * 40
+    items = [(i, indent + prose(12, 300 + i)) for i in range(12)] + [(50, ruler), (51, "-=" * 40), (52, "| a | b |" * 9), (53, prose(30, 400))]
+    texts = [indent * 30 + prose(12, 303) + indent * 20, ruler * 5 + prose(5, 1), "x" + "-=" * 39 + "=" + "-=" * 60, "| a | b |" * 20 + prose(30, 400), "- " * 300, " " * 3000, prose(9, 2) + ruler[:57] + "ab"]
+    for _ in range(6):
+        body = list(r.choice(items)[1])
+        for _ in range(r.randrange(4)):
+            body[r.randrange(len(body))] = r.choice("-= z")
+        texts.append(prose(4, r.randrange(99)) + "".join(body) + indent * 3 + prose(4, r.randrange(99)))
+    want = [{(n, o2.Index(items).m[n], d) for n, _, _, d in o2.Index(items).search(t)} for t in texts]
+    for t, found in zip(texts, want):
+        for n, (_, x) in enumerate(items):
+            near = levenshtein_inside(x.lower(), t.lower())
+            mine = [d for i, _, d in found if i == n]
+            assert (min(mine) if mine else None) == (near if near <= int(o2.Index(items).k[n]) else None)
+    for pairs, stretch in ((0, 1 << 19), (40, 1 << 19), (2000, 150), (1 << 20, 100)):
+        monkeypatch.setattr(o2, "PAIRS", pairs)
+        monkeypatch.setattr(o2, "STRETCH", stretch)
+        for t, found in zip(texts, want):
+            got = {(n, o2.Index(items).m[n], d) for n, _, _, d in o2.Index(items).search(t)}
+            assert {(n, min(d for i, _, d in got if i == n)) for n, _, _ in got} == {(n, min(d for i, _, d in found if i == n)) for n, _, _ in found}
+
+
+def test_op2_long_runs():
+    import resource
+    import time
+
+    index = o2.Index([(i, " " * 40 + prose(25, 600 + i)) for i in range(500)])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    text = prose(10, 1) + " " * 200_000 + prose(25, 777) + "\n" * 200_000 + "-" * 200_000
+    assert [n for n, *_ in index.search(text)] == [177] and index.search(" " * 200_000) == []
+    assert time.time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
