@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples.
 
 Two searches judge a text.  The first is over all words of the labelled sample: every example and every
-text with such a word is a TF-IDF vector over them, and its ``K`` nearest examples are exact by cosine (words
-of all texts are counted for the document frequencies; words in no example match nothing and are left out
-of the vectors).  Its votes are weighted by the squared inverse distance, so a near copy outweighs chance
-neighbours.  It decides if the text holds no chosen term, or if the nearest example is a near copy
+text with such a word is a TF-IDF vector over all its words, and its ``K`` nearest examples are exact by
+cosine (words of all texts are counted for the document frequencies; words in no example match nothing, and
+count in a text's norm with the weight of a word that none of the examples holds).  Its votes are weighted by the squared inverse distance, so a near copy outweighs chance
+neighbours, and are drawn towards the label rate more strongly where no near copy is among them.  It decides if the text holds no chosen term, or if the nearest example is a near copy
 (cosine of ``COPY`` or more); the second search, over chosen terms, decides for all others.
 
 Terms are chosen by the likelihood ratio of their association with the label, and its factor, in a bounded
@@ -18,8 +18,8 @@ any example gets that rate.  The nearest examples are returned as evidence.
 
 Defined results: null and empty texts are texts without terms; several labels of one id count as the
 highest; labels without a document and null labels are not learned; repeated rows are judged one by
-one; ties between examples go to the smaller example number; with no training row the score is 0;
-an empty table gives an empty result; other columns are ignored.
+one; ties between examples go by their content (ids decide nothing); very long texts are searched whole;
+with no training row the score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,6 +85,9 @@ class Space:
         """The examples hold ``sizes`` words each: word ``slot`` (of the sorted hashes ``words``) ``count`` times."""
         self.words, self.idf, self.ids, self.label, self.n = words, idf, ids, label, len(ids)
         self.sizes, self.slot, self.count = sizes, slot, count
+        # the weight of a word that no example holds, as if the examples were all texts: with it a text's
+        # norm covers the whole text, and one common word does not make a long text a copy of a short one
+        self.unseen = math.log(self.n + 1) + 1
         self.matrix = None
 
     def __getstate__(self):
@@ -111,9 +114,10 @@ class Space:
         self.at, self.weight = owner[order], w[order]
         self.first = np.append(0, np.cumsum(np.bincount(slot, minlength=len(self.words))))
 
-    def weights(self, owner: np.ndarray, slot: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    def weights(self, owner: np.ndarray, slot: np.ndarray, count: np.ndarray, n: int, rest: np.ndarray | float = 0.0) -> np.ndarray:
+        """Weights of the known words by the norm of all; ``rest``: the squares of the unseen ones."""
         w = (1 + np.log(count)) * self.idf[slot]
-        return w / np.sqrt(np.maximum(np.bincount(owner, w * w, n), 1e-24))[owner]
+        return w / np.sqrt(np.maximum(np.bincount(owner, w * w, n) + rest, 1e-24))[owner]
 
     def nearest(self, texts: list[str | None], k: int = K) -> list[list[tuple[float, int]]]:
         """(cosine, example number) of the k nearest with a common word, nearest first, for each text."""
@@ -130,8 +134,9 @@ class Space:
         owner, h, count = bags(texts)
         slot = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         known = self.words[slot] == h
+        rest = np.bincount(owner[~known], ((1 + np.log(count[~known])) * self.unseen) ** 2, len(texts))
         owner, slot, count = owner[known], slot[known], count[known]
-        w = self.weights(owner, slot, count, len(texts))
+        w = self.weights(owner, slot, count, len(texts), rest)
         dense = self.row[slot] >= 0
         left = np.zeros((len(texts), len(self.matrix)))
         left[owner[dense], self.row[slot[dense]]] = w[dense]
@@ -159,7 +164,8 @@ class Examples:
 
     def __init__(self, terms: dict[bytes, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]):
         self.terms, self.idf = terms, idf
-        rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, sorted(r[2].items())))
+        # by content, which breaks ties; ids only tell equal examples apart
+        rows = sorted(rows, key=lambda r: (sorted(r[2].items()), r[1], r[0] is None, r[0] or 0))
         empty = [y for _, y, v in rows if not v]
         rows = [r for r in rows if r[2]]
         self.ids, self.label = [r[0] for r in rows], np.array([r[1] for r in rows], float)
@@ -229,6 +235,8 @@ class Examples:
             vote = [(1 / (0.1 + 1 - s) ** 2, n) for s, n in near]
             total = sum(v for v, _ in vote)
             unit = total / len(vote) * PRIOR
+            if near[0][0] < COPY:  # far examples alone, however few, weigh less than the rate
+                unit = max(unit, PRIOR / (0.1 + 1 - COPY) ** 2)
             yes = sum(v * self.space.label[n] for v, n in vote) + unit * (self.rate if chosen else self.blank)
             out.append((round(yes / (total + unit), 6), [self.space.ids[n] for _, n in near[:3]]))
         return out
@@ -339,11 +347,11 @@ def space(sample: DataFrame, rows: DataFrame) -> Space:
     sizes = got.column("word").combine_chunks().value_lengths().to_numpy().astype(np.uint32)
     word = got.column("word").combine_chunks().flatten().to_numpy().view(np.uint64)
     count = got.column("n").combine_chunks().flatten().to_numpy().astype(np.uint32)
-    # examples by id and text, whatever order the rows came in
+    # examples by content, which breaks ties, whatever order the rows came in
     at = np.append(0, np.cumsum(sizes, dtype=np.int64))
     total = np.append(np.uint64(0), np.cumsum(word * (2 * count.astype(np.uint64) + np.uint64(1))))
     keys, label = got.column("key").to_numpy(), got.column("y").to_numpy() > 0
-    order = np.lexsort((label, total[at[1:]] - total[at[:-1]], keys))
+    order = np.lexsort((keys, label, total[at[1:]] - total[at[:-1]]))
     move = np.arange(len(word)) + np.repeat(at[:-1][order] - np.append(0, np.cumsum(sizes[order], dtype=np.int64))[:-1], sizes[order])
     word, count, sizes, keys, label = word[move], count[move], sizes[order], keys[order].tolist(), label[order].astype(float)
     del got, total, move
