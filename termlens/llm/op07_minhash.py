@@ -15,7 +15,7 @@ and a group of thousands of copies costs a few comparisons per member.
 Defined results: null or empty texts and texts without words have an empty set and are linked with
 nothing; fewer than ``words`` words make one shingle; repeated rows are copies of each other; rows
 without id take part, and their component is the smallest id reachable, if any; an empty table gives
-an empty result; other columns are ignored.
+an empty result; texts of any length are hashed whole, in pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -277,15 +277,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` with one document of each group; same columns.
+def deduplicate(docs: DataFrame, text: str = "text", words: int = 5) -> DataFrame:
+    """``docs`` with one row of each group; same columns.
 
-    Rows that share an id are the same document; rows without an id can't be told apart and stay.
+    Every row is judged by itself, whatever its id: rows that share an id but not a text stay, copies
+    without an id go.  Rows are told apart by a number that is written with them once.
     """
-    found = near_duplicates(docs, key, text, words)
-    stay = keep(found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct(), "kept")
-    named = docs.join(stay, docs[key] == stay["__kept_id"], "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(docs[key].isNull()))
+    number = "__row"
+    while number in docs.columns:
+        number += "_"
+    rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, number, text, words)
+    stay = keep(found.where("kept").select(F.col("doc_id").alias(number)), "kept")
+    return rows.join(stay, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
