@@ -239,7 +239,7 @@ def test_op6_all_words(spark):
     known = set().union(*bags)
 
     def vector(c):
-        v = {w: (1 + math.log(m)) * (math.log((n + 1) / (seen[w] + 1)) + 1) for w, m in c.items() if w in known}
+        v = {w: (1 + math.log(m)) * (math.log((n + 1) / (seen[w] + 1)) + 1 if w in known else math.log(len(bags) + 1) + 1) for w, m in c.items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()}
 
@@ -250,6 +250,30 @@ def test_op6_all_words(spark):
     assert model.space.nearest([None, "", "zzz"]) == [[], [], []]
 
 
+def test_op6_one_common_word(spark):
+    odd = lambda n, seed: " ".join(f"q{seed}w{i}" for i in range(n))
+    toxic = [(1000 + i, f"insult{i}") for i in range(10)]
+    rows = [(i, prose(60, i)) for i in range(200)] + toxic
+    learned = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5}
+    again = [(3000 + i, t) for i, t in toxic] + [(4000 + i, f"{odd(200, i)} {t} {odd(200, 90 + i)}") for i, t in toxic]
+    df = spark.createDataFrame(rows + again, "doc_id long, text string")
+    model = o6.train(df, spark.createDataFrame([(d, int(d >= 1000)) for d, _ in rows], "doc_id long, toxic int"), o6.learnable())
+    got = {r["doc_id"]: r["x"]["score"] for r in o6.rate(df, model, out="x").collect()}
+    for d, _ in toxic:
+        assert got[3000 + d] == got[d] and (d not in learned or got[d] >= 0.5)
+        assert got[4000 + d] < 0.5  # clean: 400 words of its own and one that an insult holds
+
+
+def test_op6_ties_by_content(spark):
+    texts = [(f"same words here {'x' * (i % 7)}", i % 2) for i in range(60)] + [(prose(20, i), 0) for i in range(60)]
+    scores = []
+    for names in (list(range(120)), [7919 * i % 120 for i in range(120)]):
+        df = spark.createDataFrame([(n, t) for n, (t, _) in zip(names, texts)], "doc_id long, text string")
+        model = o6.train(df, spark.createDataFrame([(n, y) for n, (_, y) in zip(names, texts)], "doc_id long, toxic int"), F.lit(True))
+        scores.append(dict(zip([t for t, _ in texts], [{r["doc_id"]: r["x"]["score"] for r in o6.rate(df, model, out="x").collect()}[n] for n in names])))
+    assert scores[0] == scores[1]
+
+
 def test_op7(docs, empty):
     rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
     sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else {tuple(w)} - {()} for _, w in rows]
@@ -268,7 +292,22 @@ def test_op7(docs, empty):
     assert o7.near_duplicates(empty).count() == 0
     left = o7.deduplicate(docs, words=4)
     assert left.columns == docs.columns
-    assert collections.Counter(r["doc_id"] for r in left.collect()) == collections.Counter({d for d, _, _, k in want if k})
+    # one row of each group, and every row without words
+    kept = collections.Counter(group[i] for i, r in enumerate(rows) for _ in [0] if sets[i])
+    texts = collections.Counter(r["text"] for r in left.collect())
+    assert sum(n for t, n in texts.items() if (t or "").split()) == len(kept)
+    assert sum(n for t, n in texts.items() if not (t or "").split()) == sum(not s for s in sets)
+    place = {" ".join(x.decode() for x in w): g for (_, w), g in zip(rows, group)}
+    plain = [t for t in texts if t and t.isascii() and t.split()]
+    assert len({place[" ".join(t.lower().split())] for t in plain}) == len(plain)
+
+
+def test_op7_repeated_and_missing_ids(spark):
+    a, b, c = prose(60, 801), prose(60, 802), prose(60, 803)
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (None, a), (3, None), (3, None), (4, "")]
+    left = o7.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("r"))).collect()
+    assert sorted(r["text"] for r in left if r["text"]) == sorted([a, b, c])
+    assert sum(not r["text"] for r in left) == 3 and left[0].__fields__ == ["doc_id", "text", "row"]
 
 
 def test_op8(spark, docs, empty):
