@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,6 +229,42 @@ def qtukey(p: float, k: int, df: float) -> float:
     return 0.5 * (lo + hi)
 
 
+RANGE_KNOTS = 1024
+RANGE_SCALE = 4.0  # knots are even in u = q / (q + RANGE_SCALE)
+
+
+def tukey_table(k: int, df: float) -> tuple[np.ndarray, np.ndarray]:
+    """P(Q <= q) and its slopes (for a step of one knot) at even knots of u, for one k and df."""
+    u = np.arange(RANGE_KNOTS + 1) / RANGE_KNOTS
+    q = RANGE_SCALE * u[:-1] / (1.0 - u[:-1])
+    p = np.ones(RANGE_KNOTS + 1)
+    for i, x in enumerate(q):
+        p[i] = ptukey(float(x), k, df)
+        if p[i] >= 1.0 - 1e-15:
+            break
+    p = np.maximum.accumulate(p)
+    rise = np.diff(p)
+    slope = np.empty_like(p)
+    slope[0], slope[-1] = 0.0, rise[-1]
+    slope[1:-1] = (p[2:] - p[:-2]) / 2
+    slope[2:-2] = (8 * (p[3:-1] - p[1:-3]) - (p[4:] - p[:-4])) / 12
+    # no more than three times the lower neighbouring rise keeps every step monotone
+    least = np.minimum(np.append(rise, rise[-1]), np.insert(rise, 0, rise[0]))
+    return p, np.clip(slope, 0.0, 3 * least)
+
+
+def tukey_sf_column(q: Column, k: int, df: float) -> Column:
+    """1 - P(Q <= q) by cubic steps between the knots of :func:`tukey_table`, as a column expression."""
+    p, slope = (F.lit([float(x) for x in v]) for v in tukey_table(k, df))
+    place = q / (q + RANGE_SCALE) * RANGE_KNOTS
+    i = F.least(F.floor(place), F.lit(RANGE_KNOTS - 1)).cast("int")
+    t = place - i
+    p0, p1, s0, s1 = F.get(p, i), F.get(p, i + 1), F.get(slope, i), F.get(slope, i + 1)
+    rise = p1 - p0
+    cdf = p0 + t * (s0 + t * (rise * 3 - s0 * 2 - s1 + t * (s0 + s1 - rise * 2)))
+    return F.when(q == float("inf"), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - cdf)))
+
+
 # --------------------------------------------------------------------------- #
 # Arrow UDFs (applied to aggregated rows only)
 # --------------------------------------------------------------------------- #

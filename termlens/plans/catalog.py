@@ -20,7 +20,19 @@ from termlens.functions.text import LEGACY_MAX_N, explode_rows, all_ngrams, form
 from termlens.operators import stats
 from termlens.operators.analyze import analyze, analysis_frame
 from termlens.operators.detected import corpus_term_frequencies, detected_long, top_terms, top_terms_per_category
-from termlens.operators.enhance import drop_text, enhance, enhanced_page, page, page_after, profile, select_columns, to_json_records
+from termlens.operators.enhance import (
+    categorical_columns,
+    drop_text,
+    enhance,
+    enhanced_page,
+    numeric_columns,
+    page,
+    page_after,
+    profile,
+    select_columns,
+    text_columns,
+    to_json_records,
+)
 from termlens.operators.matches import term_matches
 from termlens.operators.vocabulary import (
     Vocabulary,
@@ -611,6 +623,158 @@ def q_stream_analyze(spark, sf_dir):
     return spark.read.parquet(base + "/data")
 
 
+def q_stream_term_totals(spark, sf_dir):
+    """Documents arriving file by file, their term totals kept as state and read at the end."""
+    from termlens.streaming.incremental import read_document_stream, read_term_totals, running_term_totals
+
+    base = _scratch(spark)
+    _docs(spark, sf_dir).select("doc_id", "text").repartition(4, "doc_id").write.parquet(base + "/in")
+    stream = read_document_stream(spark, base + "/in", max_files_per_trigger=1)
+    running_term_totals(stream, "text", _vocab(spark), base + "/totals", base + "/checkpoint").awaitTermination()
+    return read_term_totals(spark, base + "/totals")
+
+
+# --------------------------------------------------------------------------- #
+# types and formats as written, pages and chunks by position, thresholds, tables of a distribution
+# --------------------------------------------------------------------------- #
+def q_csv_infer_types(spark, sf_dir):
+    """``documents`` with columns that look like truth values or numbers to a cast: their inferred types
+    and values.  ``text`` holds line breaks and quotes."""
+    from termlens.sources.datasets import read_dataset
+    from termlens.sources.sinks import export
+
+    i = F.col("doc_id")
+    d = _docs(spark, sf_dir).select(
+        "doc_id",
+        "text",
+        F.when(i % 2 == 0, "yes").otherwise("no").alias("yes_no"),
+        F.when(i % 3 == 0, "t").otherwise("f").alias("t_f"),
+        F.concat((i % 90).cast("string"), F.element_at(F.array(F.lit("d"), F.lit("f")), (i % 2 + 1).cast("int"))).alias("code"),
+        F.when(i % 2 == 0, "True").otherwise("FALSE").alias("truth"),
+        F.when(i % 5 != 0, (i % 7).cast("string")).alias("gaps"),
+        F.concat((i % 8).cast("string"), F.lit("e"), (i % 5 - 2).cast("string")).alias("power"),
+    )
+    path = _scratch(spark) + ".csv"
+    export(d, path, "csv")
+    back = read_dataset(spark, path)
+    kinds = F.lit(", ".join(f"{n} {t}" for n, t in back.dtypes))
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "yes_no", "t_f", "code", "truth", "gaps", _r(F.col("power")).alias("power"), kinds.alias("types"))
+
+
+def q_numbers_as_text(spark, sf_dir):
+    """A numeric column analysed as text: every number as it is usually printed, and its tokens."""
+    price, n = F.col("l_extendedprice").cast("double"), F.col("l_linenumber")
+    value = F.when(n == 1, price * F.lit(1e12)).when(n == 2, price * F.lit(1e-9)).when(n == 3, F.floor(price).cast("double")).otherwise(price)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("number"))
+    text = text_column_of(rows, "number")
+    return rows.select("l_orderkey", "l_linenumber", text.alias("printed"), F.array_join(tokenize(text), "|").alias("tokens"))
+
+
+def q_tokens_and_ngrams(spark, sf_dir):
+    """The tokens of every document and its n-grams after them, as one list with repeats."""
+    d = _spread_docs(spark, sf_dir).select("doc_id", tokenize(text_column_of(_docs(spark, sf_dir), "text")).alias("tk"))
+    return d.select("doc_id", F.array_join(F.concat("tk", all_ngrams(F.col("tk"), ngram_orders(3))), "|").alias("terms"))
+
+
+def q_xlsx_roundtrip(spark, sf_dir):
+    """``documents`` in workbooks of one source and a thousand ids each, parsed again."""
+    from termlens.sources.datasets import infer_types, mark_missing
+    from termlens.sources.xlsx import read_workbooks, to_workbooks
+
+    d = _docs(spark, sf_dir).select("doc_id", "text", "lang", "source", "n_chars")
+    name = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.lit(".xlsx"))
+    return infer_types(mark_missing(read_workbooks(to_workbooks(d, name, ["doc_id"]))))
+
+
+def q_indexed_pages(spark, sf_dir):
+    """Three pages of one index over (source, doc_id), a deep one among them."""
+    from termlens.operators.paging import PageIndex
+
+    index = PageIndex.build(_docs(spark, sf_dir).select("doc_id", "lang", "source", "n_chars"), ["source", "doc_id"], rows_per_range=500)
+    pages = [index.page(offset, limit).withColumn("page", F.lit(i)) for i, (offset, limit) in enumerate([(0, 20), (130, 40), (index.n_rows * 3 // 4, 60)])]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+def q_export_chunks(spark, sf_dir):
+    """The enhanced documents exported in ordered chunks of 300 rows: the manifest."""
+    from termlens.operators.paging import export_chunks
+
+    e = enhance(_docs(spark, sf_dir), "text", _vocab(spark, {"art": TEST_WORDLIST["art"]}))
+    return export_chunks(e, _scratch(spark), ["source", "doc_id"], 300, "csv", rows_per_range=500).select("chunk", "rows", "first_key", "last_key")
+
+
+def q_top_terms_threshold(spark, sf_dir):
+    from termlens.operators.topk import top_terms_by_threshold
+
+    return top_terms_by_threshold(_analysis(spark, sf_dir), 5)
+
+
+def q_top_terms_threshold_by_docs(spark, sf_dir):
+    from termlens.operators.topk import top_terms_by_threshold
+
+    return top_terms_by_threshold(_enhanced(spark, sf_dir), 3, by="doc_frequency").drop("frequency")
+
+
+def q_tukey_many_groups(spark, sf_dir):
+    """All pairs of suppliers by the prices of what they ship, in millions."""
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice").cast("double") / 1e6).alias("price"))
+    return stats.tukey_hsd(items, "l_suppkey", "price")
+
+
+def q_scatter_sample(spark, sf_dir):
+    return stats.scatter_sample(table(spark, sf_dir, "lineitem").withColumn("k", F.concat_ws("-", "l_orderkey", "l_linenumber")), "l_quantity", "l_extendedprice", "k", cells=16, per_cell=3)
+
+
+def q_missing_detected_cells(spark, sf_dir):
+    """Detected columns with null cells: they are skipped."""
+    e = _enhanced(spark, sf_dir)
+    cells = [F.when(F.col("doc_id") % 4 != i, F.col(f"{c}_detected_words")).alias(f"{c}_detected_words") for i, c in enumerate(CATEGORIES)]
+    return corpus_term_frequencies(e.select("doc_id", *cells), CATEGORIES)
+
+
+def q_json_records_nan(spark, sf_dir):
+    """A page of records with numbers that are not numbers: JSON nulls."""
+    d = _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, float("nan")).when(F.col("doc_id") % 3 == 1, F.col("n_chars") / 2).alias("half"))
+    return to_json_records(d, ["doc_id"], 0, 90)
+
+
+def q_column_roles(spark, sf_dir):
+    """Which columns serve as text, number and category, with the count of distinct values."""
+    out = None
+    for name in ("documents", "labels", "lineitem"):
+        t = table(spark, sf_dir, name)
+        roles = {"text": text_columns(t) if name != "labels" else [], "numeric": numeric_columns(t), "category": categorical_columns(t)}
+        counts = t.agg(*[F.countDistinct(F.col(c)).alias(c) for c in t.columns])
+        cells = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column_name"), F.col(c).alias("n_distinct")) for r, cs in roles.items() for c in cs])
+        one = counts.select(F.lit(name).alias("table_name"), F.explode(cells).alias("x")).select("table_name", "x.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_error_codes(spark, sf_dir):
+    """The codes of errors over the given tables, one row for each misuse."""
+    from termlens.errors import TermLensError
+    from termlens.sources.datasets import read_dataset
+
+    d, bench = _docs(spark, sf_dir), benchmark_wordlist(spark, sf_dir)
+    cases = {
+        "no DicTerm column": lambda: vocabulary_from_wordlist(bench.withColumnRenamed("DicTerm", "term")),
+        "no category column": lambda: vocabulary_from_wordlist(bench.select("DicTerm")),
+        "unknown category": lambda: _vocab(spark).select(["nope"]),
+        "no text column": lambda: text_columns(table(spark, sf_dir, "labels")),
+        "unknown column": lambda: select_columns(d, ["nope"]),
+        "unsupported format": lambda: read_dataset(spark, os.path.join(sf_dir, "documents.docx")),
+    }
+    codes = {}
+    for case, call in cases.items():
+        try:
+            call()
+        except TermLensError as e:
+            codes[case] = e.code
+    rows = F.array(*[F.struct(F.lit(k).alias("misuse"), F.lit(codes.get(k)).alias("code")) for k in cases])
+    return d.agg(F.count(F.lit(1)).alias("n_documents")).select("n_documents", F.explode(rows).alias("x")).select("x.misuse", "x.code", "n_documents")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_stats": q_tokenize_stats,
     "token_freq_by_lang": q_token_freq_by_lang,
@@ -682,4 +846,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analyze_duplicate_and_null_keys": q_analyze_duplicate_and_null_keys,
     "anova_summary": q_anova_summary,
     "scatter_points": q_scatter_points,
+    "stream_term_totals": q_stream_term_totals,
+    "csv_infer_types": q_csv_infer_types,
+    "numbers_as_text": q_numbers_as_text,
+    "tokens_and_ngrams": q_tokens_and_ngrams,
+    "xlsx_roundtrip": q_xlsx_roundtrip,
+    "indexed_pages": q_indexed_pages,
+    "export_chunks": q_export_chunks,
+    "top_terms_threshold": q_top_terms_threshold,
+    "top_terms_threshold_by_docs": q_top_terms_threshold_by_docs,
+    "tukey_many_groups": q_tukey_many_groups,
+    "scatter_sample": q_scatter_sample,
+    "missing_detected_cells": q_missing_detected_cells,
+    "json_records_nan": q_json_records_nan,
+    "column_roles": q_column_roles,
+    "error_codes": q_error_codes,
 }

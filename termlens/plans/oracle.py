@@ -20,6 +20,8 @@ from termlens.plans.catalog import (
 
 TOKEN_SQL = r"'[\p{L}\p{N}_'']+'"
 STEPS = 100_000  # Simpson panels (even)
+# The columns of lineitem by what they serve as.
+LINEITEM_ROLES = [(role, c) for role, names in (("text", ("l_returnflag", "l_linestatus")), ("numeric", ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")), ("category", ("l_returnflag", "l_linestatus"))) for c in names]
 
 
 def _q(s: str) -> str:
@@ -227,7 +229,7 @@ fine as (select (select max(q) from pc where p < 0.95) + i * 0.0005 q from range
 lo as (select max_by(q, p) q0, max(p) p0 from pf where p < 0.95),
 hi as (select min_by(q, p) q1, min(p) p1 from pf where p >= 0.95),
 crit as (select q0 + (q1 - q0) * (0.95 - p0) / (p1 - p0) qc from lo, hi)
-select group1, group2, round(diff, 4) meandiff, round(1 - p, 4) "p-adj", round(diff - qc * se, 4) "lower", round(diff + qc * se, 4) "upper", 1 - p < 0.05 reject
+select group1, group2, round(diff, 4) + 0.0 meandiff, case when q < 0.01 then 1.0 else round(1 - p, 4) end "p-adj", round(diff - qc * se, 4) "lower", round(diff + qc * se, 4) "upper", q >= 0.01 and 1 - p < 0.05 reject
 from pr join pp using (q), crit"""
 
 
@@ -432,4 +434,47 @@ from ({q['tokenize_stats']}) d left join ({q['analyze_table_vocab']}) w on d.doc
     q["pearson_lineitem"] = _pearson_sql(li, [("l_quantity", "l_extendedprice")], source="lineitem")
     q["group_ci_lineitem"] = _ci_sql(li, "l_returnflag", "l_extendedprice", source="lineitem")
     q["anova_lineitem"] = _anova_sql(li, "l_linestatus", "l_discount", source="lineitem")
+    q["stream_term_totals"] = q["corpus_term_freq"]
+    q["csv_infer_types"] = """select doc_id, length(nullif(text, ''))::bigint n_chars, case when doc_id % 2 = 0 then 'yes' else 'no' end yes_no,
+ case when doc_id % 3 = 0 then 't' else 'f' end t_f, (doc_id % 90) || case when doc_id % 2 = 0 then 'd' else 'f' end code, doc_id % 2 = 0 truth,
+ case when doc_id % 5 <> 0 then (doc_id % 7)::double end gaps, round((doc_id % 8) * pow(10.0, doc_id % 5 - 2), 6) power,
+ 'doc_id bigint, text string, yes_no string, t_f string, code string, truth boolean, gaps double, power double' types from documents"""
+    q["numbers_as_text"] = f"""with v as (select l_orderkey, l_linenumber, case l_linenumber when 1 then l_extendedprice::double * 1e12::double
+   when 2 then l_extendedprice::double * 1e-9::double when 3 then floor(l_extendedprice::double) else l_extendedprice::double end::varchar printed from lineitem)
+select l_orderkey, l_linenumber, printed, array_to_string(regexp_extract_all(lower(printed), {TOKEN_SQL}), '|') tokens from v"""
+    q["tokens_and_ngrams"] = f"""with {_tk()}
+select k doc_id, array_to_string(list_concat(tk, list_concat(list_transform(range(1, len(tk)), lambda i: array_to_string(tk[i:i+1], ' ')),
+  list_transform(range(1, len(tk) - 1), lambda i: array_to_string(tk[i:i+2], ' ')))), '|') terms from t"""
+    q["xlsx_roundtrip"] = "select doc_id, nullif(text, '') \"text\", nullif(lang, '') lang, nullif(source, '') source, n_chars from documents"
+    q["indexed_pages"] = """with r as (select doc_id, lang, source, n_chars, row_number() over (order by source nulls first, doc_id) - 1 i, count(*) over () n from documents)
+select doc_id, lang, source, n_chars, case when i < 20 then 0 when i between 130 and 169 then 1 else 2 end page from r
+where i < 20 or i between 130 and 169 or (i >= n * 3 // 4 and i < n * 3 // 4 + 60)"""
+    q["export_chunks"] = """with r as (select source, doc_id, (row_number() over (order by source nulls first, doc_id) - 1) i from documents),
+c as (select i // 300 chunk, count(*) "rows", min(i) a, max(i) b from r group by i // 300)
+select chunk::bigint chunk, "rows", to_json({'source': f.source, 'doc_id': f.doc_id})::varchar first_key, to_json({'source': l.source, 'doc_id': l.doc_id})::varchar last_key
+from c join r f on f.i = a join r l on l.i = b"""
+    q["top_terms_threshold"] = q["top_terms_all_categories"]
+    q["top_terms_threshold_by_docs"] = q["top_terms_by_docs"]
+    q["tukey_many_groups"] = _tukey_sql("with an as (select l_suppkey, l_extendedprice::double / 1e6 price from lineitem)", "l_suppkey", "price")
+    q["scatter_sample"] = """with p as (select l_orderkey || '-' || l_linenumber "key", l_quantity::double x, l_extendedprice::double y from lineitem),
+e as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from p),
+c as (select "key", x, y, least(15, floor((x - x0) / (x1 - x0) * 16))::int cell_x, least(15, floor((y - y0) / (y1 - y0) * 16))::int cell_y from p, e),
+r as (select *, row_number() over (partition by cell_x, cell_y order by md5("key"), x, y) i, count(*) over (partition by cell_x, cell_y) n_cell from c)
+select "key", x, y, cell_x, cell_y, n_cell from r where i <= 3"""
+    kept = " or ".join(f"(cat = {_q(c)} and k % 4 <> {i})" for i, c in enumerate(CATEGORIES))
+    q["missing_detected_cells"] = f"""{_analysis_cte()}
+select cat category, term, sum(occ)::bigint frequency, count(*)::bigint doc_frequency from h where {kept} group by cat, term"""
+    q["json_records_nan"] = """select to_json({'doc_id': doc_id, 'half': case when doc_id % 3 = 1 then n_chars::double / 2 end})::varchar "value"
+from documents order by doc_id limit 90"""
+    roles = {
+        "documents": [("text", c) for c in ("text", "lang", "source")] + [("numeric", c) for c in ("doc_id", "n_chars")] + [("category", c) for c in ("text", "lang", "source")],
+        "labels": [("numeric", c) for c in ("doc_id", "quality", "toxic")],
+        "lineitem": LINEITEM_ROLES,
+    }
+    q["column_roles"] = " union all ".join(f"select '{t}' table_name, '{r}' \"role\", '{c}' column_name, count(distinct {c}) n_distinct from {t}" for t, cs in roles.items() for r, c in cs)
+    codes = {
+        "no DicTerm column": "missing_dicterm_column", "no category column": "no_category_columns", "unknown category": "unknown_category",
+        "no text column": "no_text_column", "unknown column": "unknown_column", "unsupported format": "unsupported_format",
+    }
+    q["error_codes"] = " union all ".join(f"select '{m}' misuse, '{c}' code, count(*) n_documents from documents" for m, c in codes.items())
     return q

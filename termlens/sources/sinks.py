@@ -7,7 +7,7 @@ map type); Parquet keeps them native unless ``render_maps`` is set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,8 @@ def export(
 ) -> None:
     """Write ``df`` to ``path`` (a folder of part files) in ``fmt`` (SNK-1..3, SNK-5).
 
-    ``max_records_per_file`` bounds each output file (the chunked-export
-    counterpart, SNK-2).
+    ``max_records_per_file`` bounds each output file; for chunks of exact size in key order see
+    :func:`termlens.operators.paging.export_chunks` (SNK-2).
     """
     fmt = fmt.lower()
     if fmt not in SINK_FORMATS:
@@ -53,17 +53,19 @@ def export(
     w = out.write.mode(mode)
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)
+    writer_of(w, fmt)(path)
+
+
+def writer_of(w: DataFrameWriter, fmt: str):
+    """The writing method of ``fmt`` with the library's options, to be called with a path."""
     if fmt in ("csv", "tsv"):
-        (
+        return (
             w.option("header", True)
             .option("sep", "," if fmt == "csv" else "\t")
             .option("quote", '"')
             .option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False)
             .option("ignoreTrailingWhiteSpace", False)
-            .csv(path)
+            .csv
         )
-    elif fmt == "parquet":
-        w.parquet(path)
-    else:
-        w.json(path)
+    return w.parquet if fmt == "parquet" else w.json
