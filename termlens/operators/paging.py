@@ -50,6 +50,7 @@ class PageIndex:
         rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
         # the id counts the rows of a task in its lower 33 bits
         rows = rows.withColumn(RANGE, F.spark_partition_id()).withColumn(NTH, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        df.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
         rows.write.mode("overwrite").partitionBy(RANGE).option("compression", "zstd").parquet(f"{path}/rows")
         written = spark.read.schema(_with_places(df.schema)).parquet(f"{path}/rows")
         counts = written.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n"))
@@ -76,7 +77,8 @@ class PageIndex:
         if offset < 0 or (limit is not None and limit < 0):
             raise ValueError("offset/limit must be >= 0")
         touched = self.ranges.where(F.col("begin") + F.col("n") > offset)
-        rows = self.spark.read.parquet(f"{self.path}/rows")
+        columns = self.spark.read.parquet(f"{self.path}/columns").schema
+        rows = self.spark.read.schema(_with_places(columns)).parquet(f"{self.path}/rows")
         if limit is not None:
             touched = touched.where(F.col("begin") < offset + limit)
             # at most limit / rows_per_range + 2 of them: only their folders are listed and read

@@ -4,11 +4,14 @@ Vocabulary table (one row per distinct matching entry)::
 
     namespace STRING, category STRING, category_pos INT,
     match_kind STRING ('exact' | 'prefix'), is_multi BOOLEAN,
-    key STRING, key_len INT, n_words INT, weight BIGINT
+    key STRING, key_len INT, n_words INT, weight BIGINT,
+    first_place STRUCT<path STRING, start BIGINT, nth BIGINT>
 
 ``weight`` is 1 for an exact entry (a category's exact terms are a set) and
 the number of duplicate rows for a prefix entry (a category's wildcard
 entries are a bag, so a repeated ``happ*`` doubles the count).
+``first_place`` is where an entry first stands in the files that a wordlist
+was read from (null for a frame, which has no order).
 
 The vocabulary stays a DataFrame end to end.  Only small, explicitly
 size-checked facts reach the driver: the category list (needed because the
@@ -38,6 +41,7 @@ from termlens.session import stage_table
 # The term column is named "DicTerm"; a cell is active when it
 # equals "X" after trimming, case-insensitively; a trailing "*" marks a prefix.
 DICTERM = "DicTerm"
+ORDINAL = "__tl_ordinal"  # the place of a row in its files, added by read_wordlist
 ACTIVE_CELL = "X"
 WILDCARD = "*"
 
@@ -52,6 +56,7 @@ VOCAB_SCHEMA = T.StructType(
         T.StructField("key_len", T.IntegerType()),
         T.StructField("n_words", T.IntegerType()),
         T.StructField("weight", T.LongType()),
+        T.StructField("first_place", T.StructType([T.StructField("path", T.StringType()), T.StructField("start", T.LongType()), T.StructField("nth", T.LongType())])),
     ]
 )
 
@@ -65,34 +70,37 @@ def category_columns(wordlist: DataFrame) -> list[str]:
     cols = wordlist.columns
     if DICTERM not in cols:
         raise MissingDicTermColumnError(f"the wordlist must contain a '{DICTERM}' column; got {cols}")
-    cats = [c for c in cols if c != DICTERM]
+    cats = [c for c in cols if c not in (DICTERM, ORDINAL)]
     if not cats:
         raise NoCategoryColumnsError(f"the wordlist has no category columns (only '{DICTERM}')")
     return cats
 
 
 def wordlist_entries(wordlist: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Unpivot + normalise: ``(category, is_multi, is_prefix, key)`` per active cell (bag).
+    """Unpivot + normalise: ``(category, is_multi, is_prefix, key, place)`` per active cell (bag).
 
     The term column is selected **by name**, whatever its position.  ``names``
     gives the output category names (default: sanitised + uniquified raw names).
     """
     raw = category_columns(wordlist)
     names = list(names) if names is not None else sanitize_columns(raw)
+    place = F.col(ORDINAL) if ORDINAL in wordlist.columns else F.lit(None)
     renamed = wordlist.select(
+        place.cast(VOCAB_SCHEMA["first_place"].dataType).alias("place"),
         F.col(f"`{DICTERM}`").cast("string").alias("__term"),
         *[F.col(f"`{c}`").cast("string").alias(f"__c{i}") for i, c in enumerate(raw)],
     )
     # unpivot with literal category names: (term, category, cell)
     stacked = renamed.select(
+        "place",
         "__term",
         F.explode(
             F.array(*[F.struct(F.lit(n).alias("category"), F.col(f"__c{i}").alias("cell")) for i, n in enumerate(names)])
         ).alias("__e"),
-    ).select("__term", F.col("__e.category").alias("category"), F.col("__e.cell").alias("cell"))
+    ).select("place", "__term", F.col("__e.category").alias("category"), F.col("__e.cell").alias("cell"))
     term = F.lower(strip(F.col("__term")))
     active = stacked.filter(F.upper(strip(F.col("cell"))) == ACTIVE_CELL).select(
-        "category", term.alias("term")
+        "category", "place", term.alias("term")
     )
     active = active.filter(F.col("term").isNotNull() & (F.col("term") != ""))
     is_prefix = F.col("term").endswith(WILDCARD)
@@ -104,6 +112,7 @@ def wordlist_entries(wordlist: DataFrame, names: Sequence[str] | None = None) ->
             (_n_words(F.col("term")) > 1).alias("is_multi"),
             is_prefix.alias("is_prefix"),
             key.alias("key"),
+            "place",
         )
         .filter(F.col("key") != "")
     )
@@ -111,7 +120,7 @@ def wordlist_entries(wordlist: DataFrame, names: Sequence[str] | None = None) ->
 
 def _to_vocab(entries: DataFrame, namespace: str, positions: Mapping[str, int]) -> DataFrame:
     """Bag of entries -> vocabulary rows (exact deduped, prefix counted)."""
-    grouped = entries.groupBy("category", "is_multi", "is_prefix", "key").agg(F.count(F.lit(1)).alias("n"))
+    grouped = entries.groupBy("category", "is_multi", "is_prefix", "key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place"))
     pos_map = F.create_map(*[x for k, v in positions.items() for x in (F.lit(k), F.lit(v))]) if positions else None
     return grouped.select(
         F.lit(namespace).alias("namespace"),
@@ -123,6 +132,7 @@ def _to_vocab(entries: DataFrame, namespace: str, positions: Mapping[str, int])
         F.length("key").cast("int").alias("key_len"),
         _n_words(F.col("key")).cast("int").alias("n_words"),
         F.when(F.col("is_prefix"), F.col("n")).otherwise(F.lit(1)).cast("bigint").alias("weight"),
+        F.col("place").alias("first_place"),
     )
 
 
@@ -322,7 +332,8 @@ def vocabulary_summary(vocab: Vocabulary, sample: int = 10) -> DataFrame:
     ``sample`` example terms (VOC-11).
 
     Sample order: exact single sorted, exact multi sorted, then prefix single
-    and prefix multi with ``*`` re-attached (sorted; a bag has no file order in Spark).
+    and prefix multi with ``*`` re-attached, each once, in the order of the files (sorted where the
+    wordlist is a frame).
     The vocabulary is staged once; a category without entries has 0 terms and an empty sample.
     """
     rank = (
@@ -332,9 +343,10 @@ def vocabulary_summary(vocab: Vocabulary, sample: int = 10) -> DataFrame:
         .otherwise(3)
     )
     shown = F.when(F.col("match_kind") == "prefix", F.concat(F.col("key"), F.lit(WILDCARD))).otherwise(F.col("key"))
-    t = vocab.staged().select("category", "weight", rank.alias("r"), shown.alias("term"))
+    place = F.when(F.col("match_kind") == "prefix", F.col("first_place"))
+    t = vocab.staged().select("category", "weight", rank.alias("r"), place.alias("place"), shown.alias("term"))
     totals = t.groupBy("category").agg(F.sum("weight").cast("bigint").alias("n"))
-    samples = _bounded_lists(t, ["r", "term"], {"some": (False, sample)})
+    samples = _bounded_lists(t, ["r", "place", "term"], {"some": (False, sample)})
     return vocab.category_table().join(totals, "category", "left").join(samples, "category", "left").select(
         "namespace",
         "category",

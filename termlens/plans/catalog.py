@@ -716,9 +716,9 @@ def q_top_terms_threshold_by_docs(spark, sf_dir):
 
 
 def q_tukey_many_groups(spark, sf_dir):
-    """All pairs of suppliers by the prices of what they ship, in millions."""
-    items = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_extendedprice").cast("double") / 1e6).alias("price"))
-    return stats.tukey_hsd(items, "l_suppkey", "price")
+    """All pairs of languages and sources by the size of their documents, in millions of characters."""
+    d = _docs(spark, sf_dir).select(F.concat("lang", F.lit("/"), "source").alias("group"), (F.col("n_chars").cast("double") / 1e6).alias("size"))
+    return stats.tukey_hsd(d, "group", "size")
 
 
 def q_scatter_sample(spark, sf_dir):
@@ -751,6 +751,17 @@ def q_column_roles(spark, sf_dir):
     return out
 
 
+def q_vocab_summary_file_order(spark, sf_dir):
+    """The wordlist's prefixes read from a file in another order than theirs: samples keep the file's."""
+    from termlens.sources.datasets import read_wordlist
+    from termlens.sources.sinks import export
+
+    path = _scratch(spark) + ".dicx"
+    prefixes = benchmark_wordlist(spark, sf_dir).where(F.col("DicTerm").endswith("*"))
+    export(prefixes.coalesce(1).sortWithinPartitions(F.md5(F.col("DicTerm").cast("binary"))), path, "csv")
+    return vocabulary_summary(vocabulary_from_wordlist(read_wordlist(spark, path))).select("category", "n_terms", "sample_terms")
+
+
 def q_error_codes(spark, sf_dir):
     """The codes of errors over the given tables, one row for each misuse."""
     from termlens.errors import TermLensError
@@ -861,4 +872,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "json_records_nan": q_json_records_nan,
     "column_roles": q_column_roles,
     "error_codes": q_error_codes,
+    "vocab_summary_file_order": q_vocab_summary_file_order,
 }

@@ -212,7 +212,8 @@ def _ptukey(src: str, out: str) -> str:
     from (select distinct q from {src}) x, tot)) y left join rng using (j) group by q)"""
 
 
-def _tukey_sql(an_cte: str, cat: str, val: str) -> str:
+def _tukey_sql(an_cte: str, cat: str, val: str, least: float = 0.01) -> str:
+    """``least``: below this q the probability of a smaller range counts as 0."""
     return f"""{_groups_sql(an_cte, cat, val)},
 tot as (select (sum(n) - count(*))::double df, count(*) k, sum(coalesce((n - 1) * var, 0.0)) / (sum(n) - count(*)) mse from gp),
 pr as (select a.grp::varchar group1, b.grp::varchar group2, b.mean - a.mean diff, sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) se,
@@ -229,7 +230,7 @@ fine as (select (select max(q) from pc where p < 0.95) + i * 0.0005 q from range
 lo as (select max_by(q, p) q0, max(p) p0 from pf where p < 0.95),
 hi as (select min_by(q, p) q1, min(p) p1 from pf where p >= 0.95),
 crit as (select q0 + (q1 - q0) * (0.95 - p0) / (p1 - p0) qc from lo, hi)
-select group1, group2, round(diff, 4) + 0.0 meandiff, case when q < 0.01 then 1.0 else round(1 - p, 4) end "p-adj", round(diff - qc * se, 4) "lower", round(diff + qc * se, 4) "upper", q >= 0.01 and 1 - p < 0.05 reject
+select group1, group2, round(diff, 4) + 0.0 meandiff, case when q < {least} then 1.0 else round(1 - p, 4) end "p-adj", round(diff - qc * se, 4) "lower", round(diff + qc * se, 4) "upper", q >= {least} and 1 - p < 0.05 reject
 from pr join pp using (q), crit"""
 
 
@@ -273,6 +274,19 @@ r as (select *, row_number() over (partition by lang order by frequency desc, te
 select lang, rank, term, frequency, doc_frequency from r where rank <= {k}"""
 
 
+def _file_order(summary: str) -> str:
+    """The summary with prefixes ordered by the hash of their cells, as they stand in the file."""
+    cells = " union all ".join(f"select '{c}' category, \"DicTerm\" cell from wide where upper(trim({c})) = 'X'" for c in BENCH_CATS)
+    places = f"""places as (select category, len(string_split_regex(trim(lower(cell)), '\\s+')) > 1 is_multi,
+  trim(left(lower(trim(cell)), length(trim(cell)) - 1)) key, min(md5(cell)) place from ({cells}) where ends_with(trim(cell), '*') group by all),
+s as ("""
+    summary = summary.replace("wide as (", "cells as (", 1).replace("vocab as (", "wide as (select * from cells where ends_with(\"DicTerm\", '*')),\nvocab as (", 1)
+    summary = summary.replace("\ns as (", "\n" + places, 1)
+    summary = summary.replace("then key || '*' else key end term from vocab)", "then key || '*' else key end term, case when match_kind = 'prefix' then place end place from vocab left join places using (category, is_multi, key))")
+    # the categories without a prefix have no entries
+    return summary.replace("order by r, term) i", "order by r, place, term) i") + "\nunion all select 'medium', 0, '' union all select 'short', 0, ''"
+
+
 def oracle_sql() -> dict[str, str]:
     perc_cols = ", ".join(f"round({c}_word_perc, 6) {c}_word_perc" for c in CATEGORIES)
     wide = ", ".join(f"{c}_word_count, round({c}_word_perc, 6) {c}_word_perc" for c in CATEGORIES)
@@ -455,7 +469,7 @@ select chunk::bigint chunk, "rows", to_json({'source': f.source, 'doc_id': f.doc
 from c join r f on f.i = a join r l on l.i = b"""
     q["top_terms_threshold"] = q["top_terms_all_categories"]
     q["top_terms_threshold_by_docs"] = q["top_terms_by_docs"]
-    q["tukey_many_groups"] = _tukey_sql("with an as (select l_suppkey, l_extendedprice::double / 1e6 price from lineitem)", "l_suppkey", "price")
+    q["tukey_many_groups"] = _tukey_sql("with an as (select lang || '/' || source grp_name, n_chars::double / 1e6 size from documents)", "grp_name", "size", 1.0)
     q["scatter_sample"] = """with p as (select l_orderkey || '-' || l_linenumber "key", l_quantity::double x, l_extendedprice::double y from lineitem),
 e as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from p),
 c as (select "key", x, y, least(15, floor((x - x0) / (x1 - x0) * 16))::int cell_x, least(15, floor((y - y0) / (y1 - y0) * 16))::int cell_y from p, e),
@@ -476,5 +490,6 @@ from documents order by doc_id limit 90"""
         "no DicTerm column": "missing_dicterm_column", "no category column": "no_category_columns", "unknown category": "unknown_category",
         "no text column": "no_text_column", "unknown column": "unknown_column", "unsupported format": "unsupported_format",
     }
+    q["vocab_summary_file_order"] = _file_order(q["vocab_summary"])
     q["error_codes"] = " union all ".join(f"select '{m}' misuse, '{c}' code, count(*) n_documents from documents" for m, c in codes.items())
     return q

@@ -45,11 +45,13 @@ def resolve_format(path: str, fmt: str | None, table: dict[str, str], kind: str)
     return table[suf]
 
 
-def _delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str] | None = None, multiline: bool | str = True) -> DataFrame:
+def _delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str] | None = None, multiline: bool | str = True, place: str | None = None) -> DataFrame:
     """A delimited file as string columns: short rows end in nulls, longer rows than the header are an error.
 
     ``multiline``: ``True`` splits files also when cells hold line breaks; ``False`` takes every line
     as a record (one pass less); ``"whole"`` reads each file by one task, with Spark's multi-line reader.
+    ``place`` names a column with every row's place (file, start of its split, place in the order of its
+    task), which needs ``multiline="whole"``.
     """
     if multiline not in (True, False, "whole"):
         raise ValueError(f"multiline is True, False or 'whole', not {multiline!r}")
@@ -66,6 +68,9 @@ def _delimited(spark: SparkSession, path: str, sep: str, names: Sequence[str] |
     if rows is None:
         fields = [T.StructField(n, T.StringType()) for n in [*names, extra]]
         rows = reader.option("mode", "PERMISSIVE").option("enforceSchema", True).schema(T.StructType(fields)).csv(path)
+    if place:
+        meta = F.col("_metadata")
+        rows = rows.withColumn(place, F.struct(meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("nth")))
     message = F.concat(F.lit(f"a row of {path} has more than {len(names)} cells, the first beyond them: "), F.col(extra))
     fits = F.when(F.col(extra).isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
     return rows.filter(fits).drop(extra)
@@ -169,8 +174,11 @@ def read_wordlist(spark: SparkSession, src: str | DataFrame, fmt: str | None = N
     """Read a wide wordlist matrix with every cell as a string (SRC-8).
 
     ``.csv``/``.dicx`` are comma-separated; ``.tsv``/``.txt``/``.dic`` tab-separated; ``.xlsx`` workbook.
-    Missing-value strings become null (so a literal ``NA`` term is skipped).
+    Missing-value strings become null (so a literal ``NA`` term is skipped).  Rows of delimited files
+    keep their place in the column ``ORDINAL``, for samples in the order of the files.
     """
+    from termlens.operators.vocabulary import ORDINAL
+
     if isinstance(src, DataFrame):
         return src
     kind = resolve_format(src, fmt, WORDLIST_FORMATS, "wordlist")
@@ -179,5 +187,5 @@ def read_wordlist(spark: SparkSession, src: str | DataFrame, fmt: str | None = N
 
         df = read_xlsx(spark, src)
     else:
-        df = _delimited(spark, src, "," if kind == "csv" else "\t")
+        df = _delimited(spark, src, "," if kind == "csv" else "\t", multiline="whole", place=ORDINAL)
     return mark_missing(df)

@@ -162,3 +162,15 @@ def test_wordlist_file_formats(spark, tmpdir_path):
         assert _entries(v) == [("Affect", "exact", False, "happy", 1), ("Place", "exact", True, "new york", 1)]
     with pytest.raises(UnsupportedFormatError):
         read_wordlist(spark, os.path.join(tmpdir_path, "wl.json"))
+
+
+def test_wildcards_in_file_order(spark, tmpdir_path):
+    from termlens.operators.vocabulary import vocabulary_summary
+
+    with open(f"{tmpdir_path}/w.csv", "w") as f:
+        f.write('DicTerm,c\nzeta*,X\nbeta,X\n"alpha*",X\nnew york*,X\nzeta*,X\nmid*,\nalpha,X\n"mu*",X\nbig a*,X\n')
+    wide = read_wordlist(spark, f"{tmpdir_path}/w.csv")
+    got = vocabulary_summary(vocabulary_from_wordlist(wide)).collect()[0]
+    assert got["sample_terms"] == "alpha, beta, zeta*, alpha*, mu*, new york*, big a*" and got["n_terms"] == 8
+    frame = vocabulary_summary(vocabulary_from_wordlist(wide.drop("__tl_ordinal"))).collect()[0]
+    assert frame["sample_terms"] == "alpha, beta, alpha*, mu*, zeta*, big a*, new york*"
