@@ -12,9 +12,11 @@ decide them.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ LEGACY_Z = 1.96
 TUKEY_DECIMALS = 4
 # with more groups than this, their pairs read the studentized range from one table
 TABLE_GROUPS = 40
+# with more columns than this, correlations come from sums of cross products
+WIDE = 16
 
 
 def _clean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -76,12 +80,13 @@ def pearson(df: DataFrame, col1: str, col2: str) -> DataFrame:
         F.covar_samp("x", "y").alias("cov"),
         F.stddev_samp("x").alias("sx"),
         F.stddev_samp("y").alias("sy"),
-        F.var_pop("x").alias("vx"),
-        F.var_pop("y").alias("vy"),
+        # merged moments can leave a trace of variance in a constant column, its ends do not
+        (F.min("x") == F.max("x")).alias("flat_x"),
+        (F.min("y") == F.max("y")).alias("flat_y"),
     )
     r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col("cov"), F.col("sx") * F.col("sy"))))
     # checked in the reference's order: too few pairs first, then constant columns
-    r = _fail((F.col("vx") == 0) | (F.col("vy") == 0), f"correlation undefined: there is no variance in {col1!r} or in {col2!r}", r)
+    r = _fail(F.col("flat_x") | F.col("flat_y"), f"correlation undefined: there is no variance in {col1!r} or in {col2!r}", r)
     r = _fail(F.col("n") < 2, f"correlation undefined: {col1!r} and {col2!r} share too few rows (at least 2)", r)
     res = agg.select(F.col("n").cast("bigint").alias("n"), r.alias("coefficient"))
     return res.select(
@@ -98,10 +103,13 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Each pair does its own listwise deletion (conditional aggregates), exactly
     as calling :func:`pearson` per pair would.  Constant pairs get null r/p
-    instead of failing the whole matrix.
+    instead of failing the whole matrix.  More than ``WIDE`` columns go through
+    :func:`_cross_products`, whose plan does not grow with the number of pairs.
     """
     cols = list(columns)
     require_columns(df.columns, cols)
+    if len(cols) > WIDE:
+        return _with_p_values(_cross_products(df, cols))
     pairs = list(combinations(cols, 2))
     aggs = []
     for i, (a, b) in enumerate(pairs):
@@ -113,6 +121,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.covar_samp(xa, yb).alias(f"c{i}"),
             F.stddev_samp(xa).alias(f"sx{i}"),
             F.stddev_samp(yb).alias(f"sy{i}"),
+            ((F.min(xa) == F.max(xa)) | (F.min(yb) == F.max(yb))).alias(f"flat{i}"),
         ]
     agg = df.agg(*aggs)
     rows = F.array(
@@ -120,7 +129,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.struct(
                 F.lit(a).alias("col1"),
                 F.lit(b).alias("col2"),
-                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col(f"c{i}"), F.col(f"sx{i}") * F.col(f"sy{i}")))).alias("coefficient"),
+                F.when(~F.col(f"flat{i}"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(F.col(f"c{i}"), F.col(f"sx{i}") * F.col(f"sy{i}"))))).alias("coefficient"),
                 F.col(f"n{i}").cast("bigint").alias("n"),
             )
             for i, (a, b) in enumerate(pairs)
@@ -128,10 +137,51 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
     long = agg.select(F.explode(rows).alias("r")).select("r.*")
     coef = F.when((F.col("n") >= 2) & ~F.isnan("coefficient"), F.col("coefficient"))
-    long = long.withColumn("coefficient", coef)
+    return _with_p_values(long.withColumn("coefficient", coef))
+
+
+def _with_p_values(long: DataFrame) -> DataFrame:
     return long.select("col1", "col2", "coefficient", F.when(F.col("coefficient").isNotNull(), pearson_p_udf("coefficient", "n")).alias("p_value"), "n")
 
 
+def _cross_products(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``col1, col2, coefficient, n`` of all pairs of many columns, in two passes.
+
+    The first takes the columns' means; the second sums, for every pair, the products of the centred
+    values over the rows where both are there: matrix products in each task, one row per pair and task,
+    added up by Spark.
+    """
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = values.agg(*[F.avg(F.when(_valid(F.col(c)), F.col(c))).alias(c) for c in values.columns]).first()
+    centre = np.array([m if m is not None else 0.0 for m in means])
+    i, j = np.triu_indices(len(cols), 1)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(cols), len(cols)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(float)
+            there = ~np.isnan(x)
+            x = np.where(there, x - centre, 0.0)
+            there = there.astype(float)
+            total += [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x]
+        sums = [pa.array(t[i, j]) for t in total]
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *sums], ["i", "j", *names])
+
+    width, id_ = len(cols), F.col("id")
+    # a row of zeros for every pair, so that pairs without data are there
+    zeros = df.sparkSession.range(width * width).select(F.floor(id_ / width).cast("int").alias("i"), (id_ % width).cast("int").alias("j"), *[F.lit(0.0).alias(n) for n in names])
+    sums = values.mapInArrow(run, "i int, j int, " + ", ".join(f"{n} double" for n in names)).unionByName(zeros.where("i < j"))
+    sums = sums.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in names)
+    vx, vy = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(vx * vy))))
+    # what rounding leaves of a constant is no variance
+    r = F.when((n >= 2) & (vx > sxx * 1e-13) & (vy > syy * 1e-13) & ~F.isnan(r), r)
+    names_of = F.lit(cols)
+    return sums.select(F.get(names_of, F.col("i")).alias("col1"), F.get(names_of, F.col("j")).alias("col2"), r.alias("coefficient"), n.cast("bigint").alias("n"))
+
+
 def ols_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """OLS of y on x (AGG-11 / PLT-3 line): slope, intercept, r2, n and the fitted ends."""
     require_columns(df.columns, [x, y])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import random
 
 import pytest
 from pyspark.sql.utils import AnalysisException
@@ -33,16 +32,18 @@ def test_distribution_tables():
 
 
 # --------------------------------------------------------------------------- pearson
-def test_pearson_exact(spark):
-    df = _df(spark, [(float(x), 2.0 * x) for x in range(1, 6)], "x double, y double")
-    r = stats.pearson(df, "x", "y").first()
-    assert (r["coefficient"], r["p_value"], r["n"]) == (pytest.approx(1.0), pytest.approx(0.0), 5)
-    df = _df(spark, [(1.0, 4.0), (2.0, 3.0), (3.0, 2.0), (4.0, 1.0)], "x double, y double")
-    assert stats.pearson(df, "x", "y").first()["coefficient"] == pytest.approx(-1.0)
-
-
-def test_pearson_listwise_nan(spark):
-    df = _df(spark, [(1.0, 2.0), (2.0, 4.0), (3.0, 6.0), (float("nan"), 99.0), (None, 1.0)], "x double, y double")
+def test_pearson_by_hand(spark):
+    primes = [2.0, 3.0, 5.0, 7.0, 11.0, 13.0]
+    for slope in (7.0, -3.0):
+        r = stats.pearson(_df(spark, [(x, slope * x + 0.5) for x in primes], "x double, y double"), "x", "y").first()
+        assert (r["coefficient"], r["p_value"], r["n"]) == (pytest.approx(slope / abs(slope)), pytest.approx(0.0, abs=1e-12), 6)
+    # centred products 3, squares 5 and 5, so r = 3 / 5; with two degrees of freedom p is 1 - r
+    r = stats.pearson(_df(spark, [(0.0, 1.0), (1.0, 0.0), (2.0, 3.0), (3.0, 2.0)], "x double, y double"), "x", "y").first()
+    assert (r["coefficient"], r["p_value"]) == (pytest.approx(0.6), pytest.approx(0.4))
+
+
+def test_pearson_leaves_incomplete_rows_out(spark):
+    df = _df(spark, [(4.0, 9.0), (6.0, 13.0), (None, 2.0), (10.0, 21.0), (5.0, float("nan"))], "x double, y double")
     r = stats.pearson(df, "x", "y").first()
     assert r["n"] == 3 and r["coefficient"] == pytest.approx(1.0)
 
@@ -72,41 +73,41 @@ def test_d1_pearson_and_anova(spark, d1, w1):
 
 
 # --------------------------------------------------------------------------- groups
-def test_group_statistics(spark):
-    df = _df(spark, [("a", 1.0), ("a", 3.0), ("b", 10.0), ("b", 12.0), ("c", 5.0), ("d", float("nan")), ("d", None)], "cat string, val double")
+def test_group_statistics_by_hand(spark):
+    rows = [("north", 2.5), ("south", 20.0), ("north", 7.5), ("south", 24.0), ("west", -4.0), ("south", 31.0), ("east", None), ("east", float("nan")), (None, 8.0)]
+    df = _df(spark, rows, "cat string, val double")
     g = {r["category"]: r for r in stats.group_statistics(df, "cat", "val").collect()}
-    assert set(g) == {"a", "b", "c"}
-    assert (g["a"]["mean"], g["b"]["mean"], g["a"]["n"]) == (2.0, 11.0, 2)
-    assert g["c"]["sem"] == 0.0 and g["c"]["ci_lower"] == g["c"]["ci_upper"] == 5.0
-    df3 = _df(spark, [("a", 1.0), ("a", 2.0), ("a", 3.0)], "cat string, val double")
-    r = stats.group_statistics(df3, "cat", "val").first()
-    half = r["ci_upper"] - r["mean"]
-    assert half == pytest.approx(4.302653 * r["sem"], rel=1e-6)
-    z = stats.group_statistics(df3, "cat", "val", interval="z").first()
-    assert z["ci_upper"] - z["mean"] == pytest.approx(1.96 * z["sem"])
+    assert {k: (r["mean"], r["n"]) for k, r in g.items()} == {"north": (5.0, 2), "south": (25.0, 3), "west": (-4.0, 1)}
+    assert g["west"]["sem"] == 0.0 and g["west"]["ci_lower"] == g["west"]["ci_upper"] == -4.0
+    # north: deviations of 2.5 give a standard error of 2.5; t(0.975, 1) is the tangent of 0.475 pi
+    assert g["north"]["sem"] == pytest.approx(2.5)
+    assert g["north"]["ci_upper"] - 5.0 == pytest.approx(2.5 * math.tan(0.475 * math.pi), rel=1e-9)
+    z = {r["category"]: r for r in stats.group_statistics(df, "cat", "val", interval="z").collect()}
+    assert (z["north"]["ci_lower"], z["north"]["ci_upper"]) == (pytest.approx(0.1), pytest.approx(9.9))
     bars = {r["category"]: r for r in stats.mean_bars(df, "cat", "val").collect()}
-    assert bars["a"]["err_plus"] == pytest.approx(bars["a"]["err_minus"])
+    assert bars["south"]["err_plus"] == pytest.approx(bars["south"]["err_minus"]) == pytest.approx(g["south"]["ci_upper"] - 25.0)
 
 
-def test_anova_and_tukey(spark):
-    df = _df(spark, [("a", 1.0), ("a", 2.0), ("b", 4.0), ("b", 5.0), ("c", 9.0), ("c", 10.0)], "cat string, val double")
-    p = stats.anova_summary(df, "cat", "val").first()["p_value"]
-    assert 0 < p < 0.05
+def test_anova_and_tukey_by_hand(spark):
+    df = _df(spark, [("p", 10.0), ("p", 12.0), ("q", 11.0), ("q", 13.0), ("r", 30.0), ("r", 34.0)], "cat string, val double")
+    table = {r["source"]: r for r in stats.anova_table(df, "cat", "val").collect()}
+    # means 11, 12 and 32 around 55 / 3; squares within 2 + 2 + 8
+    between = 2 * sum((m - 55 / 3) ** 2 for m in (11, 12, 32))
+    assert table["C(cat)"]["sum_sq"] == pytest.approx(between) and table["Residual"]["sum_sq"] == pytest.approx(12.0)
+    assert table["C(cat)"]["F"] == pytest.approx((between / 2) / (12 / 3))
+    assert stats.anova_summary(df, "cat", "val").first()["significant"] is True
     rows = {(r["group1"], r["group2"]): r for r in stats.tukey_hsd(df, "cat", "val").collect()}
-    assert set(rows) == {("a", "b"), ("a", "c"), ("b", "c")}
-    assert rows[("a", "c")]["meandiff"] == pytest.approx(8.0)
-    assert rows[("a", "c")]["reject"] is True
-    assert rows[("a", "b")]["lower"] < rows[("a", "b")]["meandiff"] < rows[("a", "b")]["upper"]
+    assert {k: (r["meandiff"], r["reject"]) for k, r in rows.items()} == {("p", "q"): (1.0, False), ("p", "r"): (21.0, True), ("q", "r"): (20.0, True)}
+    assert all(r["lower"] < r["meandiff"] < r["upper"] for r in rows.values())
     with pytest.raises(Exception, match="at least 2 groups"):
-        stats.anova_table(_df(spark, [("a", 1.0), ("a", 2.0)], "cat string, val double"), "cat", "val").collect()
+        stats.anova_table(df.where("cat = 'p'"), "cat", "val").collect()
 
 
-def test_anova_seeded_normals(spark):
-    rnd = random.Random(42)
-    rows = [(g, rnd.gauss(mu, 1.0)) for g, mu in (("a", 0.0), ("b", 5.0), ("c", 10.0)) for _ in range(30)]
-    assert stats.anova_summary(_df(spark, rows, "cat string, val double"), "cat", "val").first()["significant"] is True
-    rows = [(g, rnd.gauss(0.0, 1.0)) for g in ("a", "b") for _ in range(30)]
-    assert stats.anova_summary(_df(spark, rows, "cat string, val double"), "cat", "val").first()["significant"] is False
+def test_anova_of_shifted_and_equal_groups(spark):
+    values = [(i * 37 % 101) / 101 for i in range(101)]
+    for shift, differs in ((0.4, True), (0.0, False)):
+        rows = [(g, v + shift * k) for k, g in enumerate("uvw") for v in values[k::3]]
+        assert stats.anova_summary(_df(spark, rows, "cat string, val double"), "cat", "val").first()["significant"] is differs
 
 
 def test_ols_and_correlation_pairs(spark):

@@ -90,3 +90,19 @@ def test_running_totals_after_a_restart(spark, tmpdir_path):
 
     arrive(0, 2)
     arrive(3, 5)  # a new query on the same checkpoint goes on with the same state
+
+
+def test_correlations_of_many_columns(spark, monkeypatch):
+    r = random.Random(9)
+    cell = lambda c: None if r.random() < 0.1 else float("nan") if r.random() < 0.05 else 5.0 if c == 3 else 1e6 + r.gauss(0, 1) * (c + 1) if c < 6 else float(r.randrange(4))
+    rows = [[cell(c) for c in range(7)] + [None, i % 2] for i in range(300)]
+    names = [f"x {c}" for c in range(9)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'int' if n == 'x 8' else 'double'}" for n in names)).repartition(4)
+    few = {(a, b): (c, p, n) for a, b, c, p, n in stats.correlation_pairs(df, names).collect()}
+    monkeypatch.setattr(stats, "WIDE", 3)
+    many = {(a, b): (c, p, n) for a, b, c, p, n in stats.correlation_pairs(df, names).collect()}
+    assert few.keys() == many.keys()
+    for k, (c, p, n) in few.items():
+        assert many[k][2] == n and (many[k][0] is None) == (c is None), (k, few[k], many[k])
+        assert c is None or abs(many[k][0] - c) < 1e-9 and abs(many[k][1] - p) < 1e-9
+    assert [x[2] for x in stats.correlation_pairs(df.limit(0), names).collect()] == [None] * 36
