@@ -7,8 +7,9 @@ of each group, decontamination drops documents that hold a benchmark item, the s
 secrets in the text (and sets ``n_chars`` anew), and packing returns the pieces of the sequences.
 
 Defined results: empty tables pass through; null and empty texts stay (they are neither toxic nor
-copies of one another) and pack to the end id; extra columns are carried along; see the operators for
-nulls, ties and repeated rows.
+copies of one another) and pack to the end id; extra columns are carried along; rows are judged one by
+one, so rows that share an id but not a text all stay, and copies without an id go; texts of any length
+are processed whole; see the operators for ties.
 """
 
 from __future__ import annotations
@@ -61,8 +62,9 @@ STAGES = [
     ("packing", packing),
 ]
 
-# No SQL: nearest labelled examples, minhash components, alignment and retrieval are not expressible;
-# the tests hold every stage against a brute-force version.
+# No SQL: nearest labelled examples, minhash components, alignment and retrieval are not expressible.
+# The tests hold near_duplicates, decontamination, secret_scan and the pieces of packing against
+# brute-force versions of their operators, and toxicity's search against all cosines.
 ORACLE_SQL = None
 
 
