@@ -10,8 +10,9 @@ The number of languages is taken to be small (each has a few centroids of ``DIMS
 data sent to the executors).
 
 Defined results: null text and text without a letter get ``und`` and score 0; repeated rows and ids
-are judged one by one; ties go to the smaller language name; with no training row every text is
-``und``; an empty table gives an empty result; other columns are ignored.
+are judged one by one; ties go to the smaller language name; texts of any length are counted whole;
+with no training row every text is ``und``; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SAMPLE = 500  # training texts of a language that the centroids are fitted on (e
 CENTROIDS = 4
 ROUNDS = 8
 REJECT_SD = 4.0
-_LETTER = np.array([chr(c).isalpha() for c in range(65536)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def gram_counts(texts: list[str]) -> np.ndarray:
@@ -37,7 +38,7 @@ def gram_counts(texts: list[str]) -> np.ndarray:
     parts, owner = [], []
     for i, t in enumerate(texts):
         c = characters(t)
-        c = np.where(_LETTER[np.minimum(c, 65535)], c, 0x20).astype(np.uint32)
+        c = np.where(_LETTER[c], c, 0x20).astype(np.uint32)
         if len(c):
             c = c[np.append(True, (c[1:] != 0x20) | (c[:-1] != 0x20))]  # a gap is one space
         parts.append(np.concatenate([[0x20], c, [0x20, 0, 0]]).astype(np.uint32))

@@ -546,3 +546,31 @@ def test_op2_long_runs():
     text = prose(10, 1) + " " * 200_000 + prose(25, 777) + "\n" * 200_000 + "-" * 200_000
     assert [n for n, *_ in index.search(text)] == [177] and index.search(" " * 200_000) == []
     assert time.time() - began < 30 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_op4_by_hand(spark):
+    odd = "".join(chr(0x10400 + i) for i in (1, 5, 9, 30))  # letters beyond the first plane
+    other = "".join(chr(0x10480 + i) for i in (2, 4, 6, 8))
+    r = random.Random(6)
+    words = {"aa": ["la", "que", "der", "mit"], "bb": ["xoo", "zik", "wum", "pfa"], "cc": [odd, odd[::-1]], "dd": [other, other[1:]]}
+    rows = [(i, " ".join(r.choices(words[lang], k=12)), lang) for i, lang in enumerate(list(words) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = o4.train(df, o4.id_crc("doc_id") % 3 != 1)
+    texts = [t for _, t, _ in rows] + [odd * 3, other, "la " + odd + " que der", "x" * 30000, "123 !", "Que DER"]
+    got = model.predict(texts)
+    assert got["lang_pred"][: len(rows)].tolist() == [x for *_, x in rows]
+    assert got["lang_pred"][len(rows)] == "cc" and got["lang_pred"][len(rows) + 1] == "dd" and got["lang_pred"][len(rows) + 4] == "und"
+    # the nearest centroid, one cosine at a time
+    for t, lang, score in zip(texts, got["lang_pred"], got["score"]):
+        if lang == "und":
+            continue
+        count = o4.gram_counts([t])[0]
+        v = [(1 + math.log(n)) * w if n else 0.0 for n, w in zip(count.tolist(), model.idf.tolist())]
+        size = math.sqrt(sum(x * x for x in v))
+        cosine = [sum(a * b for a, b in zip(v, c.tolist()) if a) / size for c in model.centre]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert abs(max(cosine) - score) < 1e-4 and (lang == model.langs[model.owner[best]] or sorted(cosine)[-1] - sorted(cosine)[-2] < 1e-5)
+    # every gram is counted: letters, pairs and triples with one space at each end
+    n = 7
+    assert o4.gram_counts(["abcdefg"]).sum() == n + (n + 1) + n and o4.gram_counts([odd]).sum() == 4 + 5 + 4
+    assert o4.gram_counts(["ab  ,cd"]).sum() == o4.gram_counts(["ab cd"]).sum()
