@@ -9,7 +9,8 @@ Spans are [start, end) in code points of the whole text.  Positions come from sp
 the rule's pattern: match i begins after the lengths of the pieces and matches before it.
 
 Defined results: a null text is empty text and has no spans; repeated rows and repeated ids each get
-their blob's findings; an empty table gives an empty result; other columns of the input are ignored.
+their blob's findings; spans that begin together are ordered by rule; texts of any length are scanned
+whole; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termlens.functions.text import let
 from termlens.llm.common import keep, table
 
 
@@ -44,6 +46,7 @@ BASE_RULES = (
 )
 
 SPANS = "array<struct<start:int,end:int>>"
+WALK = 256  # matches walked in one run
 LEDGER = f"blob string, rule string, rule_version int, spans {SPANS}"
 
 
@@ -58,25 +61,41 @@ def spans_of(text: Column, rule: Rule) -> Column:
     part = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
     steps = F.arrays_zip(gaps.alias("gap"), whole.alias("hit"), part.alias("part"))
+    none = F.array().cast(SPANS)
+
     # walk the (gap, match) pairs, carrying the end of the last match; the pair after the last
     # match has a null hit
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(x["part"]) >= rule.least,
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"))),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
+    def walk(some: Column) -> Column:
+        return F.aggregate(
+            some,
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
+                F.when(
+                    F.length(x["part"]) >= rule.least,
+                    F.concat(
+                        acc["out"],
+                        F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"))),
+                    ),
+                )
+                .otherwise(acc["out"])
+                .alias("out"),
+            ),
+        )
+
+    # an array that grows is copied at every step, so runs of WALK pairs are walked on their own and
+    # moved to where they begin
+    runs = let(steps, lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(WALK)), lambda i: walk(F.slice(all_, i, F.lit(WALK)))))
+    joined = F.aggregate(
+        runs,
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out")),
+        lambda acc, run: F.struct(
+            (acc["at"] + run["at"]).alias("at"),
+            F.concat(acc["out"], F.array(F.transform(run["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"))))).alias("out"),
         ),
+        lambda acc: F.flatten(acc["out"]),
     )
-    return F.when(text.rlike(rule.hint), walked["out"]).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.hint), joined).otherwise(none)
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:

@@ -574,3 +574,18 @@ def test_op4_by_hand(spark):
     n = 7
     assert o4.gram_counts(["abcdefg"]).sum() == n + (n + 1) + n and o4.gram_counts([odd]).sum() == 4 + 5 + 4
     assert o4.gram_counts(["ab  ,cd"]).sum() == o4.gram_counts(["ab cd"]).sum()
+
+
+def test_op1_many_secrets(spark):
+    import time
+
+    n = 30_000
+    many = " ".join(f"{i:016x}" for i in range(n))
+    texts = ["é " + many, "𝄞" + "token=" + "a" * 12 + " x" * 300_000 + " AKIA" + "B" * 16, "password: short", many[:5000]]
+    began = time.time()
+    rows = o1.attach(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), o1.ledger_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()
+    got = {r["doc_id"]: [(s["rule"], s["start"], s["end"]) for s in r["secret_spans"]] for r in rows}
+    assert got[0] == [("hex", 2 + 17 * i, 18 + 17 * i) for i in range(n)]
+    assert got[1] == [("assign", 1, 19), ("access", 600_020, 600_040)] and got[2] == []
+    assert got[3] == [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", texts[3])]
+    assert time.time() - began < 60
