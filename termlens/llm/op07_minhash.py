@@ -289,7 +289,8 @@ def deduplicate(docs: DataFrame, text: str = "text", words: int = 5) -> DataFram
     rows = keep(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows, number, text, words)
     stay = keep(found.where("kept").select(F.col("doc_id").alias(number)), "kept")
-    return rows.join(stay, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # ids compress so well that Spark would take a large table for a small one and send it
+    return rows.join(stay.hint("merge"), number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
