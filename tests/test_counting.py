@@ -159,6 +159,23 @@ def test_auto_plan_switches_above_literal_threshold(spark):
     v = vocabulary_from_entries(spark, TEST_WORDLIST)
     small = analyze(docs, "text", v, key_col="doc_id", keep_columns=False)
     big = analyze(docs, "text", v, key_col="doc_id", keep_columns=False, literal_threshold=5)
-    assert "Generate" in big._jdf.queryExecution().optimizedPlan().toString()
-    assert "Generate" not in small._jdf.queryExecution().optimizedPlan().toString()
+    assert "pythonUDF" in big._jdf.queryExecution().optimizedPlan().toString()
+    assert "pythonUDF" not in small._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(_norm, small.collect())) == sorted(map(_norm, big.collect()))
+
+
+def test_matches_in_the_row_equal_the_shuffled_ones(spark):
+    from termlens.operators.matches import analyze_by_join
+    from termlens.plans.catalog import TEST_WORDLIST, table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").union(spark.createDataFrame([(None, None), (1, ""), (1, "de la de la")], "doc_id long, text string"))
+    v = vocabulary_from_entries(spark, {**TEST_WORDLIST, "none": ["zzzzqq"]})
+    for convention in ("tokens", "types"):
+        here = analyze_by_join(docs, "text", v, convention=convention)
+        plan = here._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "Exchange" not in plan and "Join" not in plan  # the text stays where it is
+        moved = analyze_by_join(docs, "text", v, convention=convention, broadcast_limit_bytes=0)
+        assert "Join" in moved._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(_norm, here.collect())) == sorted(map(_norm, moved.collect()))
+    nothing = analyze_by_join(docs, "text", vocabulary_from_entries(spark, {"c": ["zzzzqq"]}), with_detected=False)
+    assert {r["c_word_count"] for r in nothing.collect()} == {0}
