@@ -156,10 +156,15 @@ def _matrix(column, size: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(-1, size) if isinstance(column, pa.ChunkedArray) else column.flatten().to_numpy().reshape(-1, size)
 
 
+def _largest(x: np.ndarray) -> float:
+    """The largest size of an entry (the least long has no opposite)."""
+    return max(-float(x.min()), float(x.max())) if x.size else 0.0
+
+
 def _centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     """x - S / n, from the exact n * x - S where that fits."""
     mean = np.array([s / n for s in sums])
-    if len(x) and (float(np.abs(x).max()) * n + max(map(abs, sums)) < 2**62):
+    if len(x) and _largest(x) * n + max(map(abs, sums)) < 2**62:
         return (x * n - np.array(sums, np.int64)) / float(n)
     return x - mean
 
@@ -253,7 +258,7 @@ def transform(rows: DataFrame, model: Whitening, vector: str = "embedding", out:
     def run(x: pa.Array) -> pa.Array:
         size, n, sums, scaled = sent.value
         x = _matrix(x, size) if size else np.zeros((len(x), 0), np.int64)
-        far = float(np.abs(x).max(initial=0)) * n + max(map(abs, sums), default=0)
+        far = _largest(x) * n + max(map(abs, sums), default=0)
         if far * far * max(size, 1) < 2**62:
             deviation = ((x * n - np.array(sums, np.int64)) ** 2).sum(1).tolist()
         else:
