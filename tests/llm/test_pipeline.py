@@ -37,4 +37,4 @@ def test_empty_and_extra_columns(spark):
 
 
 def test_registered():
-    assert len(QUERIES) == 10 and set(ORACLE_SQL) <= set(QUERIES)
+    assert len(QUERIES) == 13 and set(ORACLE_SQL) <= set(QUERIES)
