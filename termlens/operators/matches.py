@@ -1,5 +1,10 @@
 """Join plan (shape B): dictionary matches via equi-joins, for dictionaries of any size.
 
+A dictionary whose measured size is under ``broadcast_limit_bytes`` is sent to all tasks (a broadcast
+join): every row's tokens are staged once next to its columns, and an Arrow function matches the distinct
+terms of a bounded number of rows to it (:func:`_row_hits`).  No n-gram is written or shuffled, and no
+text moves.  For larger dictionaries:
+
 1. The input is staged once: every row gets an internal id and, next to its columns, its token
    counts and its *term bag* (distinct terms with occurrences).  The staged table is written under
    the shared checkpoint folder, so ids never change when a task runs again, and a user's key
@@ -24,6 +29,8 @@ match_kind``.  ``occ`` is the term's occurrences in the row and ``weight`` the e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,6 +50,188 @@ PRUNE_LIMIT = 50_000
 MAX_PRUNE_PREFIX_LENGTHS = 4
 
 ROW_ID, ROW_KEY, BAG, TOKENS, TYPES = "__tl_row", "__tl_key", "__tl_bag", "__tl_n_tokens", "__tl_n_types"
+WORDS = "__tl_words"
+
+
+CHUNK_TOKENS = 1 << 19  # tokens matched at once, at most (a longer row goes alone)
+
+
+def stage_tokens(df: DataFrame, text_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` + the tokens of every row, written once and read back."""
+    df = balance(df)
+    kept = [F.col(f"`{c}`") for c in columns]
+    return stage_table(df.select(*kept, tokenize(text_column_of(df, text_col)).alias(WORDS)), "tokens")
+
+
+def _spans(first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """``first[i], first[i] + 1, ...`` (``times[i]`` of them) for every i, one after the other."""
+    return np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+
+
+def _first_words(keys: pa.Array) -> pa.Array:
+    return pc.list_element(pc.split_pattern(keys, " ", max_splits=1), 0) if len(keys) else keys
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[: len(values)]]
+
+
+class _Keys:
+    """Dictionary keys of one kind and the entries (rows of the dictionary table) that have them."""
+
+    def __init__(self, entries: pa.Table, rows: np.ndarray, prefix: bool):
+        self.groups = []
+        length = entries.column("key_len").to_numpy()[rows] if prefix else np.zeros(len(rows), int)
+        for n in np.unique(length):
+            here = rows[length == n]
+            keys = entries.column("key").take(pa.array(here)).combine_chunks().dictionary_encode()
+            code = keys.indices.to_numpy()
+            ends = np.searchsorted(np.sort(code), np.arange(len(keys.dictionary) + 1))
+            self.groups.append((int(n) if prefix else None, keys.dictionary, ends, here[np.argsort(code, kind="stable")]))
+
+    def find(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``terms``, entry) of every match."""
+        places, entries = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, keys, ends, rows in self.groups if len(terms) else ():
+            probe = terms if n is None else pc.utf8_slice_codeunits(terms, 0, n)
+            at = pc.fill_null(pc.index_in(probe, value_set=keys), -1).to_numpy()
+            hit = np.flatnonzero(at >= 0)
+            times = ends[at[hit] + 1] - ends[at[hit]]
+            places.append(np.repeat(hit, times))
+            entries.append(rows[_spans(ends[at[hit]], times)])
+        return np.concatenate(places), np.concatenate(entries)
+
+
+class _Dictionary:
+    """The entries (key, key_len, n_words, is_multi, match_kind, category, weight) as a task looks them up."""
+
+    def __init__(self, table: pa.Table, cats: list[str], orders: list[int]):
+        self.orders = orders
+        multi = table.column("is_multi").to_numpy()
+        prefix = pc.equal(table.column("match_kind"), "prefix").to_numpy()
+        # a key without a space starts an n-gram exactly when it starts the first token
+        spaced = pc.match_substring(table.column("key"), " ").to_numpy()
+        rows = lambda mask, kind: _Keys(table, np.flatnonzero(mask), kind)
+        self.firsts = pc.unique(_first_words(table.column("key").filter(pa.array(multi & spaced)).combine_chunks()))
+        self.words, self.starts = rows(~multi & ~prefix, False), rows(~multi & prefix, True)
+        self.grams, self.openers, self.longer = rows(multi & ~prefix, False), rows(multi & prefix & ~spaced, True), rows(multi & prefix & spaced, True)
+        place = {c: i for i, c in enumerate(cats)}
+        self.category = np.array([place[c] for c in table.column("category").to_pylist()], np.int64)
+        self.weight, self.prefix = table.column("weight").to_numpy(), prefix
+
+    def match(self, code: np.ndarray, words: pa.Array, row: np.ndarray, size: np.ndarray):
+        """Hits of some rows: (terms, row, term, occ, entry), sorted by row; ``code`` numbers the tokens' ``words``."""
+        word, entry = self.words.find(words)
+        more = self.starts.find(words)
+        found = [(np.concatenate([word, more[0]]), np.concatenate([entry, more[1]]))]
+        terms, at_row, at_term = [words], [row], [code]
+        opened, opener = self.openers.find(words)
+        order = np.argsort(opened, kind="stable")
+        opened, opener = opened[order], opener[order]
+        ends = np.searchsorted(opened, np.arange(len(words) + 1))
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(code))  # tokens from here to the end of the row
+        # n-grams are only built where some multi-word entry can start
+        begins = pc.is_in(words, value_set=self.firsts).to_numpy(zero_copy_only=False) | (np.diff(ends) > 0)
+        where = np.flatnonzero(begins[code])
+        gram, base, text = code[where].astype(np.int64), len(words), words
+        first = np.arange(len(words))  # the first word of every term
+        for n in range(2, max(self.orders, default=1) + 1):
+            fits = left[where] >= n
+            where = where[fits]
+            pair, gram = np.unique(gram[fits] * len(words) + code[where + n - 1], return_inverse=True)
+            before, last = np.divmod(pair, max(1, len(words)))
+            text = pc.binary_join_element_wise(text.take(pa.array(before)), words.take(pa.array(last)), " ")
+            first = first[before]
+            if n not in self.orders:
+                continue
+            times = ends[first + 1] - ends[first]
+            parts = [self.grams.find(text), self.longer.find(text), (np.repeat(np.arange(len(first)), times), opener[_spans(ends[first], times)])]
+            found.append((np.concatenate([p[0] for p in parts]) + base, np.concatenate([p[1] for p in parts])))
+            terms.append(text)
+            at_row.append(row[where])
+            at_term.append(gram + base)
+            base += len(text)
+        term, entry = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(term, kind="stable")
+        term, entry = term[order], entry[order]
+        ends = np.searchsorted(term, np.arange(base + 1))
+        at_row, at_term = np.concatenate(at_row), np.concatenate(at_term)
+        hit = ends[at_term + 1] > ends[at_term]
+        pair, occ = np.unique(at_row[hit] * base + at_term[hit], return_counts=True)
+        at_row, at_term = np.divmod(pair, max(1, base))
+        times = ends[at_term + 1] - ends[at_term]
+        expand = lambda a: np.repeat(a, times)
+        return pa.concat_arrays(terms), expand(at_row), expand(at_term), expand(occ), entry[_spans(ends[at_term], times)]
+
+
+def _row_hits(dictionary: _Dictionary, words: pa.Array) -> Iterator[tuple]:
+    """(first row, past the last, distinct tokens of every row, hits by :meth:`_Dictionary.match`) of all rows
+    of the token lists ``words``, a bounded number of tokens at a time."""
+    ends = words.offsets.to_numpy()
+    begin = 0
+    while begin < len(words):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + CHUNK_TOKENS, side="right")) - 1)
+        some = words.slice(begin, end - begin)
+        tokens = some.flatten().cast(pa.string()).dictionary_encode()
+        code, size = tokens.indices.to_numpy().astype(np.int64), np.diff(ends[begin : end + 1])
+        row = np.repeat(np.arange(end - begin), size)
+        n = max(1, len(tokens.dictionary))
+        types = np.bincount(_distinct(row * n + code) // n, minlength=end - begin)
+        yield begin, end, types, dictionary.match(code, tokens.dictionary, row, size)
+        begin = end
+
+
+def _sent(v: DataFrame, cats: list[str], orders: list[int]):
+    """The dictionary table (of checked size) on all tasks."""
+    table = v.select("key", "key_len", "is_multi", "match_kind", "category", F.col("weight").cast("bigint").alias("weight")).toArrow().combine_chunks()
+    names = ["key", "match_kind", "category"]
+    table = table.cast(pa.schema([pa.field(f.name, pa.string()) if f.name in names else f for f in table.schema]))
+    return v.sparkSession.sparkContext.broadcast(_Dictionary(table, cats, orders))
+
+
+def _counted(words: Column, sent, width: int, convention: str, with_detected: bool) -> Column:
+    """``struct<types, counts, detected>``: a row's distinct tokens, and every category's counts and terms."""
+    legacy = convention != "tokens"
+
+    @F.arrow_udf("struct<types:bigint,counts:array<bigint>,detected:array<map<string,bigint>>>")
+    def run(words: pa.Array) -> pa.Array:
+        d, out = sent.value, []
+        for begin, end, types, (terms, row, term, occ, entry) in _row_hits(d, words):
+            n = end - begin
+            cell = row * width + d.category[entry]
+            amount = np.where(d.prefix[entry] | (not legacy), occ, 1) * d.weight[entry]
+            counts = np.zeros(n * width, np.int64)
+            np.add.at(counts, cell, amount)
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), values)
+            maps = pa.nulls(n * width, pa.map_(pa.string(), pa.int64()))
+            if with_detected:  # each term once in a cell, by name
+                rank = np.empty(len(terms), np.int64)
+                rank[pc.sort_indices(terms).to_numpy()] = np.arange(len(terms))
+                _, one = np.unique(cell * max(1, len(terms)) + rank[term], return_index=True)
+                offsets = np.concatenate([[0], np.cumsum(np.bincount(cell[one], minlength=n * width))])
+                maps = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), terms.take(pa.array(term[one])), pa.array(occ[one], pa.int64()))
+            out.append(pa.StructArray.from_arrays([pa.array(types, pa.int64()), lists(pa.array(counts)), lists(maps)], ["types", "counts", "detected"]))
+        return pa.concat_arrays(out) if out else pa.nulls(0, pa.struct([("types", pa.int64()), ("counts", pa.list_(pa.int64())), ("detected", pa.list_(pa.map_(pa.string(), pa.int64())))]))
+
+    return run(words)
+
+
+def _listed(words: Column, sent, cats: list[str]) -> Column:
+    """A row's hits: ``array<struct<category, term, occ, weight, match_kind>>``."""
+
+    @F.arrow_udf("array<struct<category:string,term:string,occ:bigint,weight:bigint,match_kind:string>>")
+    def run(words: pa.Array) -> pa.Array:
+        d, out = sent.value, []
+        names, kinds = pa.array(cats, pa.string()), pa.array(["exact", "prefix"])
+        for begin, end, _, (terms, row, term, occ, entry) in _row_hits(d, words):
+            take = lambda values, at: values.take(pa.array(at, pa.int64()))
+            cells = [take(names, d.category[entry]), take(terms, term), pa.array(occ, pa.int64()), pa.array(d.weight[entry], pa.int64()), take(kinds, d.prefix[entry].astype(np.int64))]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - begin))])
+            out.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(cells, ["category", "term", "occ", "weight", "match_kind"])))
+        return pa.concat_arrays(out) if out else pa.nulls(0, pa.list_(pa.struct([("category", pa.string()), ("term", pa.string()), ("occ", pa.int64()), ("weight", pa.int64()), ("match_kind", pa.string())])))
+
+    return run(words)
 
 
 def stage_rows(df: DataFrame, text_col: str, orders: list[int], columns: list[str], start_filters: dict | None = None) -> DataFrame:
@@ -237,6 +426,13 @@ def term_matches(
     """
     v = vocab.staged()
     orders = needed_orders(None, max_n, v)
+    if estimated_bytes(v, ["key", "category"]) <= broadcast_limit_bytes:
+        cats = checked_categories(v)
+        staged = stage_tokens(df, text_col, [key_col]).withColumnRenamed(key_col, ROW_KEY)
+        hits = staged.select(ROW_KEY, _listed(F.col(WORDS), _sent(v, cats, orders), cats).alias("__hits"))
+        return explode_rows(hits, [F.col(ROW_KEY).alias(key_col)], F.col("__hits"), "__h").select(
+            key_col, *[F.col(f"__h.{c}").alias(c) for c in ("category", "term", "occ", "weight", "match_kind")]
+        )
     staged = stage_rows(df, text_col, orders, [key_col], _multi_start_filters(v, orders)).withColumnRenamed(key_col, ROW_KEY)
     matched = stage_table(_matched(staged, v), "matched")
     return _hits(staged, matched, [ROW_KEY], broadcast_limit_bytes).select(
@@ -244,6 +440,21 @@ def term_matches(
     )
 
 
+def _looked_up_columns(originals: list[str], names: dict[str, str], n_tok: Column, n_types: Column, cats: list[str], with_detected: bool) -> list[Column]:
+    """The analysis columns of rows whose counts are in ``__res``."""
+    from termlens.operators.analyze import COUNT_SUFFIX, DETECTED_SUFFIX, N_TOKENS, N_TYPES, PERC_SUFFIX
+
+    out = [F.col(f"`{c}`") for c in originals]
+    out += [n_tok.alias(names[N_TOKENS]), n_types.alias(names[N_TYPES])]
+    for i, c in enumerate(cats):
+        count = F.get(F.col("__res.counts"), F.lit(i))
+        out.append(count.alias(names[f"{c}{COUNT_SUFFIX}"]))
+        out.append(word_share(count, n_tok).alias(names[f"{c}{PERC_SUFFIX}"]))
+        if with_detected:
+            out.append(F.get(F.col("__res.detected"), F.lit(i)).alias(names[f"{c}{DETECTED_SUFFIX}"]))
+    return out
+
+
 def analyze_by_join(
     df: DataFrame,
     text_col: str,
@@ -266,23 +477,22 @@ def analyze_by_join(
     originals = list(df.columns) if keep_columns else ([key_col] if key_col else [])
     v = vocab.staged()
     orders = needed_orders(None, max_n, v)
+    names = _output_names(originals, cats)
+    if estimated_bytes(v, ["key", "category"]) <= broadcast_limit_bytes:
+        rows = stage_tokens(df, text_col, originals)
+        rows = rows.withColumn("__res", _counted(F.col(WORDS), _sent(v, cats, orders), len(cats), convention, with_detected))
+        n_tok = F.size(WORDS).cast("bigint")
+        return rows.select(*_looked_up_columns(originals, names, n_tok, F.col("__res.types"), cats, with_detected))
     staged = stage_rows(df, text_col, orders, originals, _multi_start_filters(v, orders))
     amount = lambda kind: F.coalesce(F.sum(F.when(F.col("match_kind") == kind, F.col("weight"))), F.lit(0)).cast("bigint")
     per_term = _matched(staged, v).groupBy("is_multi", "term", "n", "category").agg(amount("exact").alias("e"), amount("prefix").alias("m"))
     per_term = stage_table(per_term, "matched")
-    names = _output_names(originals, cats)
     n_tok = F.col(TOKENS)
     out = [F.col(f"`{c}`") for c in originals]
     out += [n_tok.alias(names[N_TOKENS]), F.col(TYPES).alias(names[N_TYPES])]
     if estimated_bytes(per_term, ["term", "category"]) <= broadcast_limit_bytes:
         rows = staged.withColumn("__res", _looked_up(F.col(BAG), per_term, cats, convention, with_detected))
-        for i, c in enumerate(cats):
-            count = F.get(F.col("__res.counts"), F.lit(i))
-            out.append(count.alias(names[f"{c}{COUNT_SUFFIX}"]))
-            out.append(word_share(count, n_tok).alias(names[f"{c}{PERC_SUFFIX}"]))
-            if with_detected:
-                out.append(F.get(F.col("__res.detected"), F.lit(i)).alias(names[f"{c}{DETECTED_SUFFIX}"]))
-        return rows.select(*out)
+        return rows.select(*_looked_up_columns(originals, names, n_tok, F.col(TYPES), cats, with_detected))
     hits = _hits(staged, per_term, [ROW_ID], broadcast_limit_bytes)
     # legacy: an exact entry counts the term once, a prefix entry its occurrences
     exact = F.col("occ") * F.col("e") if convention == "tokens" else F.col("e")
