@@ -612,7 +612,8 @@ def q_stream_analyze(spark, sf_dir):
     """Documents arriving as a file stream, analysed per micro-batch (availableNow), read back."""
     from termlens.streaming.incremental import analyze_stream, read_document_stream, write_incremental
 
-    stream = read_document_stream(spark, sf_dir, glob="documents.parquet")
+    # a pattern: the table may be one file or a folder of files, and a stream's plain path must be a folder
+    stream = read_document_stream(spark, os.path.join(sf_dir, "{documents.parquet}"))
     out = analyze_stream(stream.select("doc_id", "text"), "text", _vocab(spark), enhanced=False)
     cols = [F.col("doc_id"), F.col("n_tokens"), F.col("n_types")]
     for c in CATEGORIES:
@@ -624,12 +625,13 @@ def q_stream_analyze(spark, sf_dir):
 
 
 def q_stream_term_totals(spark, sf_dir):
-    """Documents arriving file by file, their term totals kept as state and read at the end."""
+    """Documents arriving in four lots of files, their term totals kept as state and read at the end."""
     from termlens.streaming.incremental import read_document_stream, read_term_totals, running_term_totals
 
     base = _scratch(spark)
-    _docs(spark, sf_dir).select("doc_id", "text").repartition(4, "doc_id").write.parquet(base + "/in")
-    stream = read_document_stream(spark, base + "/in", max_files_per_trigger=1)
+    lot = spark.sparkContext.defaultParallelism  # files at once: one for each core
+    _docs(spark, sf_dir).select("doc_id", "text").repartition(4 * lot).write.parquet(base + "/in")
+    stream = read_document_stream(spark, base + "/in", max_files_per_trigger=lot)
     running_term_totals(stream, "text", _vocab(spark), base + "/totals", base + "/checkpoint").awaitTermination()
     return read_term_totals(spark, base + "/totals")
 
