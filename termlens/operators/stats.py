@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from termlens.errors import StatisticsError, require_columns
 from termlens.functions.distributions import f_sf_udf, pearson_p_udf, qtukey, t_ppf_udf, tukey_q_udf, tukey_sf_column, tukey_sf_udf
+from termlens.functions.text import explode_rows
 from termlens.session import stage_table
 
 # Significance level 0.05; confidence 0.95; the legacy interval
@@ -39,7 +41,14 @@ WIDE = 16
 def _clean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """FLT-1: listwise deletion of null and NaN on exactly these columns (a row filter)."""
     require_columns(df.columns, list(cols))
-    return df.select(*[F.col(f"`{c}`") for c in cols]).na.drop()
+    complete = F.lit(True)
+    for c in cols:
+        complete = complete & F.col(f"`{c}`").isNotNull()
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            complete = complete & ~F.isnan(f"`{c}`")
+    # above a generated column: a filter on the columns would be pushed below the projections that compute them
+    row = F.when(complete, F.struct(*[F.col(f"`{c}`") for c in cols]))
+    return explode_rows(df, [], F.array(row), "__row").select("__row.*")
 
 
 def _valid(*cols: Column) -> Column:
