@@ -3,7 +3,8 @@
 * ``balance``: text analysis is CPU-bound per byte of text.  A scan of
   fewer and smaller files than the cluster has cores for (one big row group, a few
   files) would run it on a handful of cores, so such inputs are spread round-robin
-  to ``spark.default.parallelism`` partitions.  Inputs that already give every core
+  to ``spark.default.parallelism`` partitions, or more where each would take over ``TASK_BYTES``, so the
+  longest task does not grow with the input.  Inputs that already give every core
   a full split -- any large table on a real cluster -- are left alone, so no
   shuffle is added at scale.
 * Row-local vs join plan for the dictionary match: see
@@ -21,6 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+TASK_BYTES = 16 << 20  # of files for one spread partition
+
+
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread ``df`` round-robin when the files under it are fewer and smaller than the cluster's
     cores can work on: fewer files than cores, and fewer than one full split (the session's
@@ -33,9 +37,12 @@ def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     files = df.inputFiles()
-    if not 0 < len(files) < target or _bytes(spark, files) >= target * _split_bytes(spark):
+    if not 0 < len(files) < target:
+        return df
+    size = _bytes(spark, files)
+    if size >= target * _split_bytes(spark):
         return df
-    return df.repartition(target)
+    return df.repartition(max(target, -(-size // TASK_BYTES)))
 
 
 def _bytes(spark, files: list[str]) -> int:
