@@ -667,9 +667,10 @@ def q_numbers_as_text(spark, sf_dir):
     """A numeric column analysed as text: every number as it is usually printed, and its tokens."""
     price, n = F.col("l_extendedprice").cast("double"), F.col("l_linenumber")
     value = F.when(n == 1, price * F.lit(1e12)).when(n == 2, price * F.lit(1e-9)).when(n == 3, F.floor(price).cast("double")).otherwise(price)
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", value.alias("number"))
-    text = text_column_of(rows, "number")
-    return rows.select("l_orderkey", "l_linenumber", text.alias("printed"), F.array_join(tokenize(text), "|").alias("tokens"))
+    rows = balance(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", value.alias("number"))
+    # printed in a projection of its own: each number once
+    printed = rows.select("l_orderkey", "l_linenumber", text_column_of(rows, "number").alias("printed"))
+    return printed.select("l_orderkey", "l_linenumber", "printed", F.array_join(tokenize("printed"), "|").alias("tokens"))
 
 
 def q_tokens_and_ngrams(spark, sf_dir):

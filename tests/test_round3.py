@@ -98,3 +98,16 @@ def test_balance_bounds_the_bytes_of_a_task(spark, tmp_path, monkeypatch):
     df = spark.read.parquet(f"{tmp_path}/t")
     monkeypatch.setattr(strategy, "TASK_BYTES", 1 << 16)
     assert strategy.balance(df, 2).rdd.getNumPartitions() >= 8
+
+
+def test_numbers_are_printed_once_on_all_cores(spark, tmp_path):
+    """The text of a number stands in one projection, and a small file is spread."""
+    from termlens.plans.catalog import QUERIES
+
+    rows = [(1, 1, 0.5), (1, 2, 2500.0), (2, 3, 7.9), (None, 4, None), (1, 1, -0.0)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").coalesce(1)
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["numbers_as_text"](spark, str(tmp_path))
+    assert sorted((r["printed"], r["tokens"]) for r in got.collect()) == [("", ""), ("-0.0", "0|0"), ("2.5e-06", "2|5e|06"), ("500000000000.0", "500000000000|0"), ("7.0", "7|0")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("AS printed") == 1
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
