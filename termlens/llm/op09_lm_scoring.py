@@ -6,8 +6,8 @@ frequency plus one among the rare words, with one more place for all unknown wor
 token's code is predicted in several contexts (its place in the code tree alone, with the last token,
 with the last two, with the one before the last).  Counts of hashed contexts come from all training
 documents.  The predictions are combined in the logistic domain by weights that a gate selects (the
-confidence of the two-token context and the depth of the bit), starting from trained weights and
-learning on through the document after every ``STEP`` bits, and sooner at its beginning; an adaptive map
+confidence of the two-token context and the depth of the bit), starting from trained weights (fitted on
+every bit of all training documents, each predicted from the counts without itself) and learning on through the document after every ``STEP`` bits, and sooner at its beginning; an adaptive map
 (by the mixed probability and depth) refines the result: it starts as the trained map, worth ``HOLD`` bits
 in each cell, and takes in the document's own bits after every step.  The score is the sum over all bits and escapes in log10, so
 probabilities of all tokens sum to one.
@@ -30,13 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termlens.llm.common import chunks, id_crc, keep, parts, sample_share, table, word_hashes
+from termlens.llm.common import chunks, id_crc, keep, parts, table, word_hashes
 
 TOP = 1 << 18  # words whose counts are sent to the executors, at most
 SYMBOLS = 4096  # tokens with a code of their own, with end and escape
 SLOTS = 1 << 18  # of each hashed context
-SAMPLE = 600  # training texts that the mixing weights are fitted on (expected number)
-SAMPLE_BYTES = 1 << 16  # longer texts are not drawn for that
+FRACTION = 1 << 16  # the fit's sums are added up as whole numbers of 1 / FRACTION, the same in any order
 STEP = 512  # bits between two updates of a document's weights
 PIECE = 1 << 15  # tokens scored at once; a longer text goes on from the state its last piece left (a step ends there)
 EARLY = 32  # bits of a document's first step; each later step is as long as all before it, up to STEP
@@ -146,11 +145,11 @@ class Vocabulary:
         second = offset[:-1] + 1
         two[offset[:-1]] = past[1]
         two[second[second < offset[1:]]] = past[0]
-        node = self.node[place].astype(np.uint32) * np.uint32(0x9E3779B1)
+        node = self.node.take(place).astype(np.uint32) * np.uint32(0x9E3779B1)
         a, b = one * np.uint32(0x85EBCA6B) + np.uint32(1), two * np.uint32(0xC2B2AE35) + np.uint32(2)
         slots = []
         for i, past in enumerate((a, a * np.uint32(0x27D4EB2F) ^ b, b)):
-            x = node ^ past[token]
+            x = node ^ past.take(token)
             x ^= x >> np.uint32(15)
             x *= np.uint32(0x2C1B3C6D)
             x ^= x >> np.uint32(13)
@@ -178,7 +177,7 @@ class Mixer:
 
     def __init__(self, vocabulary: Vocabulary, zero: np.ndarray, one: np.ndarray):
         self.v = vocabulary
-        self.zero, self.one = zero, one  # only for fit(), not sent
+        self.zero, self.one = zero, one  # only for without_own(), not sent
         self.logit, self.trust = self._predict(zero, one)
         self.weight = np.zeros((GATES, INPUTS), np.float32)
         self.weight[:, 0] = 0.4
@@ -210,30 +209,33 @@ class Mixer:
             out[first:last] = self.bits(symbol[first:last], inner, weight=weight, past=past, state=own)
         return out
 
-    def bits(self, symbol: np.ndarray, offset: np.ndarray, learn: bool = False, weight: np.ndarray | None = None, past: tuple[int, int] = (0, 0), state: Own | None = None):
+    def bits(self, symbol: np.ndarray, offset: np.ndarray, weight: np.ndarray | None = None, past: tuple[int, int] = (0, 0), state: Own | None = None, less: tuple[np.ndarray, np.ndarray] | None = None):
         """log2 of the probability of every token's code, documents side by side in steps.
 
         ``weight`` (documents x gates x inputs) and ``state`` are where the documents start, and are updated;
-        without ``state`` the trained map stays as it is and all steps are ``STEP`` bits.
+        without ``state`` the trained map stays as it is and all steps are ``STEP`` bits.  With ``less`` (see
+        ``without_own``) they are training texts, and what the fit needs of every bit is returned.
         """
         token, place, slots = self.v.events(symbol, offset, past)
         n = len(token)
         if not n:
             return np.zeros(len(symbol))
-        bit = self.v.bit[place].astype(np.float32)
+        bit = self.v.bit.take(place).astype(np.float32)
         x = np.empty((n, INPUTS), np.float32)
-        x[:, 0] = self.v.tree[self.v.node[place]]
+        x[:, 0] = self.v.tree.take(self.v.node.take(place))
         trusts = []
+        own_bit = bit.astype(np.int64) * (ORDERS * SLOTS) if less is not None else None
         for i, s in enumerate(slots):
-            if learn:  # the sample is part of the counts: leave each bit's own count out
-                logit, trust = self._predict(np.maximum(0, self.zero[s] - (1 - bit)), np.maximum(0, self.one[s] - bit))
+            if less is not None:
+                s = s + own_bit
+                logit, trust = less[0].take(s), less[1].take(s)
             else:
-                logit, trust = self.logit[s], self.trust[s]
+                logit, trust = self.logit.take(s), self.trust.take(s)
             # contexts never seen fall back on the code tree
             x[:, i + 1] = np.where(trust > 0, logit, x[:, 0])
             trusts.append(trust)
         x[:, -1] = 0.3
-        depth = self.v.depth[place].astype(np.int64)
+        depth = self.v.depth.take(place).astype(np.int64)
         gate = trusts[1].astype(np.int64) * 3 + depth
         begin = np.searchsorted(token, offset)  # events of every document
         mixed = np.empty(n, np.float32)
@@ -249,22 +251,22 @@ class Mixer:
             size = np.minimum(step, begin[alive + 1] - at[alive])
             row = np.repeat(np.arange(len(alive)), size)
             i = np.arange(size.sum()) + np.repeat(at[alive] - (np.cumsum(size) - size), size)
-            slot = row * GATES + gate[i]
-            xi = x[i]
-            own = weight[alive].reshape(-1, INPUTS)
-            dot = np.einsum("ij,ij->i", own[slot], xi)
+            slot = row * GATES + gate.take(i)
+            xi, at_bit = x.take(i, axis=0), bit.take(i)
+            own = weight.take(alive, axis=0).reshape(-1, INPUTS)  # take: much faster than an index
+            dot = np.einsum("ij,ij->i", own.take(slot, axis=0), xi)
             mixed[i] = dot
-            error = bit[i] - 1 / (1 + np.exp(-dot))
+            error = at_bit - 1 / (1 + np.exp(-dot))
             root = np.sqrt(np.maximum(1, np.bincount(slot, minlength=len(own))))
             for j in range(INPUTS):
                 own[:, j] += RATE * np.bincount(slot, error * xi[:, j], len(own)) / root
             weight[alive] = own.reshape(-1, GATES, INPUTS)
             if state is not None:
-                refined[i] = self._refine(state, alive, row, dot, depth[i], bit[i])
+                refined[i] = self._refine(state, alive, row, dot, depth.take(i), at_bit)
                 state.done[alive] += size
             at[alive] += size
             alive = alive[at[alive] < begin[alive + 1]]
-        if learn:
+        if less is not None:
             return x, gate, bit, mixed, depth
         mixed = np.clip(mixed, -9, 9)
         if state is None:
@@ -286,33 +288,50 @@ class Mixer:
         ones, both = state.ones[alive], state.both[alive]
         value = ((HOLD * self.map.reshape(-1) + ones) / (HOLD + both)).reshape(-1)
         slot = row * (3 * CELLS) + depth * CELLS + low
-        out = value[slot] * (1 - part) + value[slot + 1] * part
+        out = value.take(slot) * (1 - part) + value.take(slot + 1) * part
         for to, share in ((slot, 1 - part), (slot + 1, part)):
             ones += np.bincount(to, share * bit, value.size).reshape(ones.shape)
             both += np.bincount(to, share, value.size).reshape(both.shape)
         state.ones[alive], state.both[alive] = ones, both
         return out
 
-    def fit(self, texts: list[bytes], rounds: int = 4) -> None:
-        """Weights and map from a bounded sample of training texts."""
-        for turn in range(rounds):
-            seen = []
-            for a, b in chunks(texts, [len(t) for t in texts], 1 << 18):
-                h, offset = token_hashes(texts[a:b])
-                x, gate, bit, mixed, depth = self.bits(self.v.lookup(h)[0], offset, learn=True)
-                seen.append((mixed, depth, bit))
-                for s in range(0, len(x), 4096):
-                    xs, gs = x[s : s + 4096], gate[s : s + 4096]
-                    error = bit[s : s + 4096] - 1 / (1 + np.exp(-np.einsum("ij,ij->i", self.weight[gs], xs)))
-                    count = np.maximum(1, np.bincount(gs, minlength=GATES))
-                    for j in range(INPUTS):
-                        self.weight[:, j] += 0.1 / (1 + turn) * np.bincount(gs, error * xs[:, j], GATES) / count
-            if turn == rounds - 1:
-                mixed, depth, bit = (np.concatenate(c) for c in zip(*seen, strict=True))
-                cell = np.clip(np.rint(np.clip(mixed, -9, 9) / 0.75 + (CELLS - 1) / 2), 0, CELLS - 1).astype(int) + depth * CELLS
-                ones, both = np.bincount(cell, bit, 3 * CELLS), np.bincount(cell, minlength=3 * CELLS)
-                prior = self.map.reshape(-1)
-                self.map = ((ones + 20 * prior) / (both + 20)).reshape(3, CELLS)
+    def without_own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and trust of every slot without one of its zeros, and then without one of its ones: what a
+        training text's bits are predicted from, as the text is part of the counts."""
+        less = [self._predict(np.maximum(0, self.zero - z), np.maximum(0, self.one - (1 - z))) for z in (1, 0)]
+        return tuple(np.concatenate(c) for c in zip(*less, strict=True))
+
+    def sums(self, texts: list[bytes], less: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """What the fit adds up over all bits of ``texts``: by gate, the gradient and the curvature of their
+        log-likelihood at the weights; by cell of the map, ones and bits, at the mixed probabilities that
+        the texts have while their weights learn on."""
+        step, curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
+        ones, both, weight = np.zeros(3 * CELLS), np.zeros(3 * CELLS), None
+        h, offset = token_hashes(texts)
+        symbol = self.v.lookup(h)[0]
+        for first, last, inner, past in spans_of(symbol, offset):
+            if past == (0, 0):  # texts begin here
+                weight = np.broadcast_to(self.weight, (len(inner) - 1, GATES, INPUTS)).copy()
+            x, gate, bit, mixed, depth = self.bits(symbol[first:last], inner, weight=weight, past=past, less=less)
+            cell = np.clip(np.rint(np.clip(mixed, -9, 9) / 0.75 + (CELLS - 1) / 2), 0, CELLS - 1).astype(int) + depth * CELLS
+            ones += np.bincount(cell, bit, 3 * CELLS)
+            both += np.bincount(cell, minlength=3 * CELLS)
+            order = np.argsort(gate.astype(np.int8), kind="stable")
+            x, bit = x.take(order, axis=0), bit.take(order)
+            cut = np.cumsum([0, *np.bincount(gate, minlength=GATES)])
+            for g in range(GATES):
+                xs = x[cut[g] : cut[g + 1]]
+                p = 1 / (1 + np.exp(-(xs @ self.weight[g])))
+                step[g] += (bit[cut[g] : cut[g + 1]] - p) @ xs
+                curve[g] += xs.T @ (xs * (p * (1 - p))[:, None])
+        return np.concatenate([step.ravel(), curve.ravel(), ones, both])
+
+    def fit(self, sums: np.ndarray) -> None:
+        """Weights (one Newton step) and map from the sums over all training texts."""
+        step, curve, ones, both = np.split(sums, np.cumsum([GATES * INPUTS, GATES * INPUTS**2, 3 * CELLS]))
+        step, curve = step.reshape(GATES, INPUTS, 1), curve.reshape(GATES, INPUTS, INPUTS)
+        self.weight += np.linalg.solve(curve + np.eye(INPUTS), step)[..., 0].astype(np.float32)  # a gate of few bits stays near its start
+        self.map = ((ones + 20 * self.map.reshape(-1)) / (both + 20)).reshape(3, CELLS)
 
 
 def _lower(batch, limit: int = 1 << 20):
@@ -334,9 +353,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text") -> tuple[Mixer, DataFrame]:
-    """The model, and the table of all words' counts (word, n), from the rows where ``learn`` holds."""
+    """The model, and the table of all words' counts (word, n), from all rows where ``learn`` holds (``key`` is no input)."""
     spark = docs.sparkSession
-    rows = docs.where(learn).select(F.col(key).alias("key"), F.col(text).alias("body"))
+    rows = docs.where(learn).select(F.col(text).alias("body"))
     counts = keep(word_counts(rows, "body"), "counts")
     documents = rows.count()
     size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -369,15 +388,27 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         slot = np.flatnonzero(zero + one)
         yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(zero[slot]), pa.array(one[slot])], names=["slot", "zero", "one"])
 
-    summed = rows.select("body").mapInArrow(contexts, "slot int, zero long, one long").groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
+    summed = rows.mapInArrow(contexts, "slot int, zero long, one long").groupBy("slot").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow()
     zero, one = np.zeros(ORDERS * SLOTS), np.zeros(ORDERS * SLOTS)
     slot = summed.column("slot").to_numpy()
     zero[slot], one[slot] = summed.column("zero").to_numpy(), summed.column("one").to_numpy()
     model = Mixer(vocabulary, zero, one)
-    sample = rows.where(sample_share("key", SAMPLE / max(1, documents)) & (F.length("body") <= SAMPLE_BYTES)).select("key", "body").collect()
-    texts = sorted((r["body"] or "").encode("utf-8", "surrogatepass").lower() for r in sample)[: 2 * SAMPLE]
-    if texts:
-        model.fit(texts)
+    learner = spark.sparkContext.broadcast((model, model.without_own()))
+
+    def fitted(batches):
+        m, less = learner.value
+        total = 0.0
+        for batch in batches:
+            for _, bodies in _lower(batch):
+                total = total + m.sums(bodies, less)
+        amount = np.rint(np.atleast_1d(total) * FRACTION).astype(np.int64)
+        at = np.flatnonzero(amount).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(amount[at])], names=["place", "amount"])
+
+    sums = np.zeros(GATES * INPUTS * (INPUTS + 1) + 2 * 3 * CELLS)
+    for r in rows.mapInArrow(fitted, "place int, amount long").groupBy("place").agg(F.sum("amount").alias("amount")).collect():
+        sums[r["place"]] = r["amount"] / FRACTION
+    model.fit(sums)
     return model, counts
 
 

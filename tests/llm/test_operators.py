@@ -513,6 +513,48 @@ def test_op9_table_is_bounded(spark, monkeypatch):
     assert (got["n_known"], got["train_tokens"]) == (100_002, 300_012)
 
 
+def test_op9_learns_from_all_training_texts(spark):
+    """The weights and the map are those of every bit of all training texts, long ones too."""
+    rng = random.Random(29)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, weights=range(1, 301), k=n)) for n in (20_000, 5, 0, 700, 700)] + [None]
+    texts[4] = texts[3]  # a repeated row counts twice
+    df = spark.createDataFrame(list(enumerate([*texts, "held out " * 50])), "doc_id long, text string")
+    model, _ = o9.train(df, F.col("doc_id") < len(texts))
+    raw = [(t or "").encode() for t in texts]
+    h, offset = o9.token_hashes(raw)
+    v = model.v
+    symbol = v.lookup(h)[0]
+    _, place, slots = v.events(symbol, offset)
+    bit = v.bit[place].astype(int)
+    zero, one = np.zeros(o9.ORDERS * o9.SLOTS), np.zeros(o9.ORDERS * o9.SLOTS)
+    for s in slots:
+        np.add.at(one, s, bit)
+        np.add.at(zero, s, 1 - bit)
+    x, seen = [v.tree[v.node[place]].astype(float)], []
+    for s in slots:
+        n1, n0 = one[s] - bit, zero[s] - (1 - bit)
+        x.append(np.where(n1 + n0 > 0, np.log((n1 + 0.4) / (n0 + 0.4)), x[0]))
+        seen.append(n1 + n0)
+    x = np.stack([*x, np.full(len(bit), 0.3)], axis=1)
+    gate = np.digitize(seen[1], [1, 4, 32]) * 3 + v.depth[place]
+    start = o9.Mixer(v, zero, one)
+    want = start.weight.astype(float)
+    for g in range(o9.GATES):
+        xs, p = x[gate == g], 1 / (1 + np.exp(-(x[gate == g] @ want[g])))
+        want[g] += np.linalg.solve((xs * (p * (1 - p))[:, None]).T @ xs + np.eye(o9.INPUTS), (bit[gate == g] - p) @ xs)
+    assert np.abs(want - start.weight).max() > 0.05
+    assert model.weight == pytest.approx(want, abs=2e-3)
+    ones, both = np.zeros((3, o9.CELLS)), np.zeros((3, o9.CELLS))
+    for a, b in zip(offset[:-1], offset[1:]):
+        _, _, b1, mixed, depth = start.bits(symbol[a:b], np.array([0, b - a]), less=start.without_own())
+        cell = np.clip(np.rint(np.clip(mixed, -9, 9) / 0.75 + (o9.CELLS - 1) / 2), 0, o9.CELLS - 1).astype(int)
+        np.add.at(ones, (depth, cell), b1)
+        np.add.at(both, (depth, cell), 1)
+    assert both.sum() == len(bit)
+    assert model.map == pytest.approx((ones + 20 * start.map) / (both + 20), abs=2e-3)
+
+
 def test_op2_repeated_grams(monkeypatch):
     r = random.Random(8)
     ruler, indent = "-" * 60, " " * 40
