@@ -66,7 +66,7 @@ def local_counts(long: DataFrame, by: str) -> DataFrame:
     return stage_table(long.select("category", "term", "occ").mapInArrow(run, _LOCAL), "local-counts")
 
 
-def _kth(sums: DataFrame, k: int, name: str) -> DataFrame:
+def kth_sum(sums: DataFrame, k: int, name: str) -> DataFrame:
     """(category, name): the k-th largest sum ``s`` of each category that has k of them."""
     place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("s")))
     return sums.withColumn("__i", place).where(F.col("__i") <= k).groupBy("category").agg(F.when(F.count(F.lit(1)) == k, F.min("s")).alias(name))
@@ -77,11 +77,11 @@ def candidates(local: DataFrame, k: int, by: str) -> DataFrame:
     sites = local.select("site").distinct().count()
     first = local.where(F.col("place") <= k).groupBy("category", "term").agg(F.sum(by).alias("s"))
     # one row for each category; without k terms at hand everything stays
-    bound = _kth(first, k, "low").withColumn("least", F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("low"), F.lit(0)) / max(1, sites))))
+    bound = kth_sum(first, k, "low").withColumn("least", F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("low"), F.lit(0)) / max(1, sites))))
     seen = local.join(bound.select("category", "least"), "category").where(F.col(by) >= F.col("least"))
     sums = seen.groupBy("category", "term", "least").agg(F.sum(by).alias("s"), F.count(F.lit(1)).alias("r"))
     sums = stage_table(sums, "partial-sums")
-    high = _kth(sums, k, "high")
+    high = kth_sum(sums, k, "high")
     may = F.col("s") + (F.lit(sites) - F.col("r")) * (F.col("least") - 1)
     return sums.join(high, "category").where(may >= F.coalesce(F.col("high"), F.lit(0))).select("category", "term")
 

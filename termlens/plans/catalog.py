@@ -123,18 +123,11 @@ def q_token_freq_by_lang(spark, sf_dir):
 
 
 def _ngram_top(spark, sf_dir, n, k=25):
-    from pyspark.sql import Window
+    from termlens.operators.grams import top_ngrams
 
     d = _spread_docs(spark, sf_dir)
-    t = d.select("lang", tokenize(text_column_of(d, "text")).alias("tk"))
-    t = with_run_length(t, ngrams(F.col("tk"), n), "pairs", ["lang"])
-    freq = (
-        explode_rows(t, ["lang"], F.col("pairs"), "p")
-        .groupBy("lang", F.col("p.term").alias("term"))
-        .agg(F.sum("p.occ").cast("bigint").alias("frequency"), F.count(F.lit(1)).cast("bigint").alias("doc_frequency"))
-    )
-    w = Window.partitionBy("lang").orderBy(F.desc("frequency"), F.asc("term"))
-    return freq.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("lang", "rank", "term", "frequency", "doc_frequency")
+    rows = d.select(F.col("lang").alias("category"), tokenize(text_column_of(d, "text")).alias("tk"))
+    return top_ngrams(rows, n, k).withColumnRenamed("category", "lang")
 
 
 def q_ngram_bigrams_top(spark, sf_dir):

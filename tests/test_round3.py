@@ -111,3 +111,31 @@ def test_numbers_are_printed_once_on_all_cores(spark, tmp_path):
     assert sorted((r["printed"], r["tokens"]) for r in got.collect()) == [("", ""), ("-0.0", "0|0"), ("2.5e-06", "2|5e|06"), ("500000000000.0", "500000000000|0"), ("7.0", "7|0")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("AS printed") == 1
     assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_top_ngrams_shuffle_candidates_only(spark):
+    """Exact top n-grams by language; what is shuffled does not grow with the number of different n-grams."""
+    import collections
+    import random
+
+    from termlens.operators import grams
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)] + ["é", "o'"]
+    rows = [(rng.choice(["a", "b", None]), rng.choices(words, k=rng.randint(0, 90))) for _ in range(120)] + [("c", ["x", "y"]), ("d", None), (None, []), ("c", ["x", "x", "x", "x"])]
+    df = spark.createDataFrame(rows, "category string, tk array<string>").repartition(3)
+    for n, k in ((2, 25), (3, 4), (1, 3)):
+        want = []
+        for lang in {r[0] for r in rows}:
+            found = [[" ".join(t[i : i + n]) for i in range(len(t) - n + 1)] for g, t in rows if g == lang and t]
+            total, docs = (collections.Counter(x for f in found for x in part(f)) for part in (list, set))
+            best = sorted(total, key=lambda t: (-total[t], t.encode()))[:k]
+            want += [(lang, i + 1, t, total[t], docs[t]) for i, t in enumerate(best)]
+        for buckets in (1 << 18, 7):
+            got = grams.top_ngrams(df, n, k, buckets=buckets, tokens=50)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    common = ["the"] * 40
+    many = spark.createDataFrame([("a", [*common, *(f"r{j}x{i}" for i in range(2000))]) for j in range(20)], "category string, tk array<string>")
+    out = grams.top_ngrams(many, 3, 1)
+    assert [tuple(r) for r in out.collect()] == [("a", 1, "the the the", 760, 20)]
+    assert grams.candidates(many, 3, 1).count() < 500  # of more than 40,000 different ones
