@@ -16,12 +16,14 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,11 @@ END = 1
 TERMS = 16  # of the seed's terms, the heaviest ones that are looked up
 K1, B = 1.2, 0.75
 LONG = 100_000  # characters; longer texts are encoded by the tokenizer file itself
+# White space as the tokenizer's pattern takes it; two or more in a row
+WHITE = "\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = f"[{WHITE}]{{2}}"
+BEFORE_LAST = re.compile(f"(?<=[{WHITE}])(?=[{WHITE}][^{WHITE}])")
+AHEAD = r"|\s+(?!\S)"
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
@@ -67,9 +74,11 @@ def _tokenizer(name: str):
 class Encoder:
     """Token ids of whole texts, as the tokenizer file gives them.
 
-    The same vocabulary as ranks gives the same ids faster.  Texts with a special token's string go
-    through the tokenizer file itself, and so do texts of more than ``LONG`` characters: the faster
-    library fails on runs of white space that are some hundred thousand characters long.
+    The same vocabulary as ranks gives the same ids faster.  The pattern's look-ahead, which makes it slow,
+    only leaves the last character of a run of white space to what follows: texts are cut before that
+    character, and the pieces are the same without it.  Texts with a special token's string go through the
+    tokenizer file itself, and so do texts of more than ``LONG`` characters: the faster library fails on
+    runs of white space that are some hundred thousand characters long.
     """
 
     def __init__(self, about: Tokens):
@@ -79,12 +88,15 @@ class Encoder:
         self.about, self.code = about, "H" if about.kind is np.uint16 else "I"
         with open(files.path(about.ranks), "rb") as f:
             pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("own", pat_str=files.PATTERN, mergeable_ranks=pairs, special_tokens={})
+        assert AHEAD in files.PATTERN
+        self.fast = tiktoken.Encoding("own", pat_str=files.PATTERN.replace(AHEAD, ""), mergeable_ranks=pairs, special_tokens={})
 
-    def __call__(self, text: str) -> bytes:
-        """The ids of ``text`` as bytes of the ids' kind."""
+    def __call__(self, text: str, runs: bool = True) -> bytes:
+        """The ids of ``text`` as bytes of the ids' kind; without ``runs`` no two white-space characters meet in it."""
         if len(text) > LONG or any(s in text for s in self.about.special):
             ids = _tokenizer(self.about.tokenizer).encode(text, add_special_tokens=False).ids
+        elif runs:
+            ids = [i for part in BEFORE_LAST.split(text) for i in self.fast.encode_ordinary(part)]
         else:
             ids = self.fast.encode_ordinary(text)
         return array(self.code, ids).tobytes()
@@ -106,19 +118,22 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
         enc, kind = encoder(about), about.kind
         end = np.array([END], kind).tobytes()
         df = np.zeros(about.size + 1, np.int64)
+        last = np.zeros(about.size + 1, np.int64)  # where a token stands last in the document at hand
         total = n = 0
         names = ["doc_id", "ids", "place", "df", "n_docs", "n_tokens"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
         for batch in batches:
             ids, place = [], []
             known: dict[str, bytes] = {}  # copies in a batch are encoded once
-            for t in batch.column("body").to_pylist():
+            runs = pc.match_substring_regex(batch.column("body"), RUN).to_pylist()
+            for t, meets in zip(batch.column("body").to_pylist(), runs, strict=True):
                 if t not in known:
-                    known[t] = (enc(t) if t else b"") + end
+                    known[t] = (enc(t, meets) if t else b"") + end
                 ids.append(known[t])
                 x = np.frombuffer(ids[-1], kind)
-                seen = np.flatnonzero(np.bincount(x)) if len(x) > 2000 else np.unique(x)
-                df[seen] += 1
+                at = np.arange(len(x))
+                last[x] = at
+                df[x[last[x] == at]] += 1  # each token once
                 total += len(x)
                 n += 1
                 y = x.astype(np.uint32)
