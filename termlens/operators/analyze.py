@@ -20,8 +20,9 @@ Per row::
         detected_words  = {term: occ | e_c + m_c > 0}
         word_perc       = word_count / n_tokens, 0.0 when there are no tokens
 
-N-grams are generated only for orders some entry can match, and only at
-positions whose first token can start a matching entry (exact pruning).
+Every token is tested once, for whether an entry can match there; words and
+n-grams (only of orders some entry can match) are built at these positions alone
+(exact pruning).
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from termlens.errors import AnalysisConfigError, NoTextColumnError
 from termlens.functions.naming import uniquify
 from termlens.functions.text import (
     DEFAULT_MAX_N,
-    ngrams,
     text_column_of,
     tokenize,
     with_run_length,
@@ -48,6 +48,8 @@ from termlens.operators.vocabulary import LiteralVocabulary, Vocabulary, collect
 # and the join plan is used (measured: cost grows with literal count).
 LITERAL_THRESHOLD = 10_000
 
+FEW = 8  # prefixes up to this number are compared one by one, more are looked up by their lengths
+
 CONVENTIONS = ("tokens", "types")
 
 N_TOKENS = "n_tokens"
@@ -80,9 +82,35 @@ def _in(c: Column, keys) -> Column:
     return c.isin(keys) if keys else F.lit(False)
 
 
-def _any_prefix(term: Column, keys: dict[str, int]) -> Column:
-    conds = [_in(F.substring(term, 1, L), [k for ks in by_w.values() for k in ks]) for L, by_w in sorted(_by_len(keys).items())]
-    return _or(conds)
+def _shortest(keys) -> list[str]:
+    """The keys that no other key is a prefix of: what begins with some key begins with one of these."""
+    out: list[str] = []
+    for k in sorted(keys):
+        if not out or not k.startswith(out[-1]):
+            out.append(k)
+    return out
+
+
+def _any_prefix(term: Column, keys) -> Column:
+    keys = _shortest(keys)
+    if len(keys) <= FEW:
+        return _or([F.startswith(term, F.lit(k)) for k in keys])
+    return _or([_in(F.substring(term, 1, L), ks) for L, ks in _same_length(keys).items()])
+
+
+def _same_length(keys) -> dict[int, list[str]]:
+    out: dict[int, list[str]] = defaultdict(list)
+    for k in keys:
+        out[len(k)].append(k)
+    return dict(sorted(out.items()))
+
+
+def _any(term: Column, exact, prefix) -> Column:
+    """Whether some entry matches ``term``; exact entries that a prefix covers are not looked up."""
+    short = _shortest(prefix)
+    by_length = [(n, set(ks)) for n, ks in _same_length(short).items()]
+    left = [k for k in exact if not any(k[:n] in ks for n, ks in by_length)]
+    return _or([c for c in (_any_prefix(term, short) if short else None, _in(term, left) if left else None) if c is not None])
 
 
 def _or(conds: list[Column]) -> Column:
@@ -97,7 +125,9 @@ def _or(conds: list[Column]) -> Column:
 def _weighted(term: Column, keys: dict[str, int], prefix: bool) -> Column:
     """Sum of weights of the entries matching ``term`` (bigint, 0 if none)."""
     parts: list[Column] = []
-    if prefix:
+    if prefix and len(keys) <= FEW:
+        parts = [F.when(F.startswith(term, F.lit(k)), F.lit(w)).otherwise(F.lit(0)) for k, w in sorted(keys.items())]
+    elif prefix:
         for L, by_w in sorted(_by_len(keys).items()):
             probe = F.substring(term, 1, L)
             for w, ks in sorted(by_w.items()):
@@ -116,25 +146,26 @@ def _weighted(term: Column, keys: dict[str, int], prefix: bool) -> Column:
     return out.cast("bigint")
 
 
-def _start_filter(lv: LiteralVocabulary, n: int):
-    """First-token test for order-``n`` n-grams that some multi entry could match."""
-    exact_first = {k.split()[0] for k in lv.keys(None, True, "exact") if len(k.split()) == n}
-    prefix_first: set[str] = set()
-    prefix_one: dict[str, int] = {}
+def _starts(lv: LiteralVocabulary, n: int) -> tuple[set[str], set[str]]:
+    """(words, prefixes): the first token of every order-``n`` n-gram that some multi entry matches is
+    one of the words or begins with one of the prefixes."""
+    words = {k.split()[0] for k in lv.keys(None, True, "exact") if len(k.split()) == n}
+    prefixes: set[str] = set()
     for k in lv.keys(None, True, "prefix"):
-        words = k.split()
-        if len(words) > n:
+        parts = k.split()
+        if len(parts) > n:
             continue
-        if len(words) >= 2:
-            prefix_first.add(words[0])
+        if len(parts) >= 2:
+            words.add(parts[0])
         else:
-            prefix_one[k] = 1
-    firsts = exact_first | prefix_first
+            prefixes.add(k)
+    return words, prefixes
 
-    def test(t: Column) -> Column:
-        return _or([c for c in (_in(t, firsts) if firsts else None, _any_prefix(t, prefix_one) if prefix_one else None) if c is not None])
 
-    return test
+def _start_filter(lv: LiteralVocabulary, n: int):
+    """First-token test for order-``n`` n-grams that some multi entry could match."""
+    words, prefixes = _starts(lv, n)
+    return lambda t: _any(t, words, prefixes)
 
 
 # --------------------------------------------------------------------------- #
@@ -207,25 +238,23 @@ def _analyze_rowlocal(
     base = df.select(*[F.col(f"`{c}`") for c in originals], tokenize(text_column_of(df, text_col)).alias(f"{tmp}tk"))
     tk = F.col(f"{tmp}tk")
 
-    # level 2: sizes + union hits (each occurrence kept)
-    uni_hit = lambda t: _or(
-        [c for c in (_in(t, all_es) if all_es else None, _any_prefix(t, all_ps) if all_ps else None) if c is not None]
-    )
-    hit_parts = []
-    if all_es or all_ps:
-        hit_parts.append(F.filter(tk, uni_hit))
+    # level 2: where a match can begin (each token is tested once), then sizes + union hits (each occurrence kept)
     if orders and (all_em or all_pm):
-        gram_hit = lambda g: _or(
-            [c for c in (_in(g, all_em) if all_em else None, _any_prefix(g, all_pm) if all_pm else None) if c is not None]
-        )
+        starts = [_starts(lv, n) for n in orders]
+        words = set(all_es).union(*(w for w, _ in starts))
+        prefixes = set(all_ps).union(*(p for _, p in starts))
+        begins = F.transform(tk, lambda t, i: F.when(_any(t, words, prefixes), i))
+        base = base.select(*[F.col(f"`{c}`") for c in originals], tk, F.filter(begins, lambda i: i.isNotNull()).alias(f"{tmp}at"))
+        hit_parts = []
+        if all_es or all_ps:
+            hit_parts.append(F.filter(_grams_at(tk, F.col(f"{tmp}at"), 1), lambda t: _any(t, all_es, all_ps)))
         for n in orders:
-            hit_parts.append(F.filter(ngrams(tk, n, _start_filter(lv, n)), gram_hit))
-    if not hit_parts:
-        hits = F.array().cast("array<string>")
-    elif len(hit_parts) == 1:
-        hits = hit_parts[0]
+            hit_parts.append(F.filter(_grams_at(tk, F.col(f"{tmp}at"), n), lambda g: _any(g, all_em, all_pm)))
+        hits = hit_parts[0] if len(hit_parts) == 1 else F.concat(*hit_parts)
+    elif all_es or all_ps:
+        hits = F.filter(tk, lambda t: _any(t, all_es, all_ps))
     else:
-        hits = F.concat(*hit_parts)
+        hits = F.array().cast("array<string>")
 
     sized = base.select(
         *[F.col(f"`{c}`") for c in originals],
@@ -244,13 +273,26 @@ def _analyze_rowlocal(
         ps = lv.keys(c, False, "prefix")
         pm = lv.keys(c, True, "prefix")
 
-        cp = F.filter(F.transform(pairs, _annotator(es, ps, pm)), lambda x: (x["e"] + x["m"]) > 0)
+        # most pairs are of other categories: a test without weights first
+        mine = F.filter(pairs, _matcher(es, ps, pm))
+        cp = F.filter(F.transform(mine, _annotator(es, ps, pm)), lambda x: (x["e"] + x["m"]) > 0)
         per_cat.append(cp.alias(f"{tmp}cp{i}"))
 
     lvl3 = lvl2.select(*[F.col(f"`{c}`") for c in originals], F.col(f"{tmp}n_tokens"), F.col(f"{tmp}n_types"), *per_cat)
     return _finish(lvl3, originals, cats, out_names, convention, with_detected, tmp)
 
 
+def _grams_at(tk: Column, at: Column, n: int) -> Column:
+    """The order-``n`` n-grams at the positions ``at``; null where the tokens end before."""
+    space = F.lit(" ")
+    return F.transform(at, lambda i: F.concat(*[c for k in range(n) for c in ((space, F.get(tk, i + k)) if k else (F.get(tk, i),))]))
+
+
+def _matcher(es: dict[str, int], ps: dict[str, int], pm: dict[str, int]):
+    """Lambda ``pair -> boolean``: true for every pair that an entry of the category can match."""
+    return lambda p: _any(p["term"], es, {**ps, **pm})
+
+
 def _annotator(es: dict[str, int], ps: dict[str, int], pm: dict[str, int]):
     """Lambda ``pair -> struct(term, occ, e, m)`` for one category (bound by closure:
     PySpark counts default arguments as lambda parameters)."""

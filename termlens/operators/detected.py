@@ -52,7 +52,9 @@ def detected_long(df: DataFrame, key_cols: Sequence[str], categories: Sequence[s
         return df.select(*key_cols).limit(0)
     # parsed in a projection of its own: each cell once
     cells = df.select(*[F.col(f"`{k}`") for k in key_cols], *[_cells(df, f"{c}{DETECTED_SUFFIX}").alias(f"__d{i}") for i, c in enumerate(cats)])
-    per_cat = F.array(*[F.struct(F.lit(c).alias("category"), _one_per_term(F.col(f"__d{i}")).alias("pairs")) for i, c in enumerate(cats)])
+    # a map holds a term once, a display string may repeat it
+    once = [F.col(f"__d{i}") if isinstance(df.schema[f"{c}{DETECTED_SUFFIX}"].dataType, T.MapType) else _one_per_term(F.col(f"__d{i}")) for i, c in enumerate(cats)]
+    per_cat = F.array(*[F.struct(F.lit(c).alias("category"), p.alias("pairs")) for c, p in zip(cats, once, strict=True)])
     per = explode_rows(cells, [F.col(f"`{k}`") for k in key_cols], per_cat, "__c")
     exploded = explode_rows(per, [*key_cols, F.col("__c.category").alias("category")], F.col("__c.pairs"), "__p")
     return exploded.select(*key_cols, "category", F.col("__p.term").alias("term"), F.col("__p.occ").alias("occ"))

@@ -27,6 +27,7 @@ from termlens.operators.detected import detected_categories, detected_long
 from termlens.session import stage_table
 
 HELD = 1_000_000  # different terms that a task counts at once
+WAITING = 100_000  # rows that a task takes at least before it sums them
 MEASURES = ("frequency", "doc_frequency")
 _LOCAL = "site long, category string, term string, frequency long, doc_frequency long, place long"
 
@@ -53,13 +54,20 @@ def local_counts(long: DataFrame, by: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        new: list[pa.Table] = []
+        waiting = 0
         number = TaskContext.get().partitionId() << 20
         for batch in batches:
-            new = pa.table({"category": batch.column("category").cast(pa.string()), "term": batch.column("term").cast(pa.string()), "frequency": batch.column("occ"), "doc_frequency": pa.array(np.ones(batch.num_rows, np.int64))})
-            held = summed([new] if held is None else [held, new])
-            if held.num_rows > HELD:
-                yield from site(held, number)
-                held, number = None, number + 1
+            new.append(pa.table({"category": batch.column("category").cast(pa.string()), "term": batch.column("term").cast(pa.string()), "frequency": batch.column("occ"), "doc_frequency": pa.array(np.ones(batch.num_rows, np.int64))}))
+            waiting += batch.num_rows
+            # summed when as many rows wait as are held, so each row is summed a few times, however many there are
+            if waiting >= max(WAITING, held.num_rows if held is not None else 0):
+                held, new, waiting = summed(new if held is None else [held, *new]), [], 0
+                if held.num_rows > HELD:
+                    yield from site(held, number)
+                    held, number = None, number + 1
+        if waiting:
+            held = summed(new if held is None else [held, *new])
         if held is not None and held.num_rows:
             yield from site(held, number)
 
